@@ -49,10 +49,6 @@ def month_last(year: int, month: int) -> date:
     return following - timedelta(days=1)
 
 
-def in_month(stamp: Column, year: int, month: int) -> Column:
-    return between_days(stamp, month_first(year, month), month_last(year, month))
-
-
 def months_before(value: datetime, months: int) -> Column:
     """Same clock time ``months`` earlier; clamps to the month's last day."""
     return instant(value) - F.expr(f"INTERVAL '{int(months)}' MONTH")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock
 from wardops.operators.numbering import running_number
+from wardops.operators.pruning import since
 from wardops.schemas import LOGIN_ACTION
 from wardops.tables import Tables
 
@@ -27,8 +28,9 @@ def staff_activity(t: Tables, user_id: int | None = None) -> DataFrame:
 
 
 def actions_last_24h(t: Tables, as_of: datetime) -> DataFrame:
-    since = clock.instant(as_of - timedelta(hours=24))
-    return t.audit_logs.filter(F.col("timestamp") > since).agg(F.count("*").alias("action_count"))
+    start = clock.instant(as_of - timedelta(hours=24))
+    newer = since(t.audit_logs, "timestamp", start).filter(F.col("timestamp") > start)
+    return newer.agg(F.count("*").alias("action_count"))
 
 
 def _logins(t: Tables) -> DataFrame:

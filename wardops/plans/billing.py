@@ -11,6 +11,7 @@ from wardops.operators.access import permitted, with_role
 from wardops.operators.calendar import days_of_month
 from wardops.operators.coverage import active_policy, rate_or_zero, with_active_rate
 from wardops.operators.parents import with_visit
+from wardops.operators.pruning import since, within_days
 from wardops.schemas import ACCOUNTANT, ADMIN
 from wardops.tables import Tables
 
@@ -24,6 +25,12 @@ def _paid(t: Tables) -> DataFrame:
     return t.invoices.filter(F.col("payment_status") == "Paid")
 
 
+def _in_month(rows: DataFrame, year: int, month: int) -> DataFrame:
+    return within_days(
+        rows, "invoice_date", clock.month_first(year, month), clock.month_last(year, month)
+    )
+
+
 def _collected() -> Column:
     return money.revenue(F.sum(money.collected(F.col("net_amount"), F.col("total_amount"))))
 
@@ -113,7 +120,7 @@ def patient_bill(t: Tables) -> DataFrame:
 
 def monthly_revenue(t: Tables, year: int, month: int) -> DataFrame:
     """One row; the revenue of a month without paid invoices is NULL."""
-    return _paid(t).filter(clock.in_month(F.col("invoice_date"), year, month)).agg(
+    return _in_month(_paid(t), year, month).agg(
         _collected().alias("total_revenue"), F.count("invoice_id").alias("total_invoices")
     )
 
@@ -152,8 +159,7 @@ def monthly_average(t: Tables, year: int, month: int) -> DataFrame:
 def daily_revenue(t: Tables, year: int, month: int, spark: SparkSession | None = None) -> DataFrame:
     """Every day of the month, 0 where nothing was paid."""
     taken = (
-        _paid(t)
-        .filter(clock.in_month(F.col("invoice_date"), year, month))
+        _in_month(_paid(t), year, month)
         .groupBy(F.day("invoice_date").alias("day"))
         .agg(_collected().alias("taken"))
     )
@@ -167,8 +173,7 @@ def revenue_trend_12m(t: Tables, as_of: datetime) -> DataFrame:
     """From twelve months before ``as_of`` onward, by month; no upper bound."""
     stamp = F.col("invoice_date")
     return (
-        _paid(t)
-        .filter(stamp >= clock.months_before(as_of, 12))
+        since(_paid(t), "invoice_date", clock.months_before(as_of, 12))
         .groupBy(F.year(stamp).alias("yr"), F.month(stamp).alias("mo"))
         .agg(_collected().alias("revenue"))
         .withColumn("month_label", clock.month_label(F.col("yr"), F.col("mo")))
@@ -177,9 +182,8 @@ def revenue_trend_12m(t: Tables, as_of: datetime) -> DataFrame:
 
 
 def payment_history(t: Tables, first: date, last: date) -> DataFrame:
-    settled = (
-        t.invoices.filter(F.col("payment_status").isin(SETTLED))
-        .filter(clock.between_days(F.col("invoice_date"), first, last))
+    settled = within_days(
+        t.invoices.filter(F.col("payment_status").isin(SETTLED)), "invoice_date", first, last
     )
     return (
         _with_patient_name(with_visit(settled, t, "invoice_id"), t)
@@ -193,8 +197,7 @@ def period_net_revenue(t: Tables, first: date, last: date) -> DataFrame:
     amount = money.collected_nonzero(F.col("net_amount"), F.col("total_amount"))
     total = F.coalesce(money.revenue(F.sum(amount)), F.lit(0).cast("decimal(20,2)"))
     return (
-        _paid(t)
-        .filter(clock.between_days(F.col("invoice_date"), first, last))
+        within_days(_paid(t), "invoice_date", first, last)
         .agg(total.alias("total_net_revenue"))
         .withColumn("total_display", money.dollars(F.col("total_net_revenue")))
     )

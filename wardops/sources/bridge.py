@@ -64,6 +64,11 @@ class Bridge:
             name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in SOURCES
         }
 
+    def over(self, **frames: DataFrame) -> "Bridge":
+        """The same derivations with some source tables replaced."""
+        self._src = {**self._src, **frames}
+        return self
+
     def _count(self, name: str) -> Column:
         return self._src[name].agg(F.count("*")).scalar()
 
