@@ -114,8 +114,6 @@ COMMANDS = {
         WHERE payment_status = 'Paid' AND admission_id IS NOT NULL""",
 }
 
-COMPLETED_NOW = f"'Completed' AS status, {AS_OF} AS completed_at"
-
 CHANGE_SQL = {
     "w01_new_patients": """
         SELECT (SELECT max(patient_id) FROM patients) + n AS patient_id, full_name, dob, gender, phone, email
@@ -303,4 +301,31 @@ CHANGE_SQL = {
         SELECT 'appointments', 'key', 'appt_id', CAST(appt_id AS VARCHAR), count(*) FROM (
           SELECT appt_id FROM appointments UNION ALL SELECT appt_id FROM cmd_visit_states
           UNION ALL SELECT patient_id FROM cmd_bookings) y GROUP BY appt_id HAVING count(*) > 1""",
+    "snapshot_sql_text": """
+        SELECT concat('INSERT INTO `invoices` VALUES (', CAST(invoice_id AS VARCHAR), ', ',
+          coalesce(CAST(appt_id AS VARCHAR), 'NULL'), ', ', coalesce(CAST(admission_id AS VARCHAR), 'NULL'), ', ',
+          '''' || strftime(invoice_date, '%Y-%m-%d %H:%M:%S') || '''', ', ', '''' || CAST(total_amount AS VARCHAR) || '''', ', ',
+          '''' || payment_status || '''', ', ', coalesce('''' || CAST(net_amount AS VARCHAR) || '''', 'NULL'), ');') AS statement
+        FROM invoices""",
+    "bookings_stream": f"""
+        SELECT (SELECT max(invoice_id) FROM invoices) + n AS invoice_id,
+          (SELECT max(appt_id) FROM appointments) + n AS appt_id, CAST(NULL AS BIGINT) AS admission_id,
+          {AS_OF} AS invoice_date, CAST(0 AS DECIMAL(10,2)) AS total_amount, 'Unpaid' AS payment_status,
+          CAST(NULL AS DECIMAL(10,2)) AS net_amount
+        FROM done_bookings""",
+    "records_stream": f"""
+        SELECT a.appt_id, a.patient_id, a.doctor_id, a.appt_date, {AS_OF} AS completed_at, 'Completed' AS status
+        FROM appointments a JOIN cmd_records c ON c.appt_id = a.appt_id WHERE c.diagnosis <> ''""",
+    "payments_stream": """
+        SELECT bed_id, bed_code, room_id, 'Available' AS status FROM beds
+        WHERE bed_id IN (SELECT bed_id FROM done_payments JOIN admissions USING (admission_id))""",
+    # Windows that the final watermark (newest event less one hour) has passed.
+    "actions_24h_stream": """
+        SELECT w.window_end - INTERVAL 24 HOUR AS window_start, w.window_end,
+          CAST(sum(h.n) AS BIGINT) AS action_count
+        FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)) + INTERVAL 1 HOUR,
+                date_trunc('hour', max(ts) - INTERVAL 1 HOUR), INTERVAL 1 HOUR)) AS window_end FROM events) w
+        JOIN (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1) h
+          ON h.hour >= w.window_end - INTERVAL 24 HOUR AND h.hour < w.window_end
+        GROUP BY w.window_end""",
 }

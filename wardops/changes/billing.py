@@ -99,14 +99,16 @@ def reprice_invoices(
     touched = (
         records.join(t.prescriptions.select("presc_id", "record_id"), "record_id")
         .join(latest, "presc_id")
-        .select("appt_id", "admission_id", "presc_id", "change_seq")
+        # Only the last change per visit can win, so one row per visit is paired.
+        .groupBy("appt_id", "admission_id")
+        .agg(F.max(F.struct("change_seq", "presc_id")).alias("change"))
     )
     billed = t.invoices.select("invoice_id", "appt_id", "admission_id", "payment_status")
     winners = (
         linked_pairs(billed, touched)
         .groupBy("invoice_id")
         .agg(
-            F.max(F.struct("change_seq", "presc_id")).alias("last"),
+            F.max("change").alias("last"),
             F.max("admission_id").alias("admission_id"),
             F.max("payment_status").alias("payment_status"),
         )

@@ -130,23 +130,41 @@ def _double_parent(rows: DataFrame, t: Tables, key: str) -> DataFrame:
     )
 
 
-def with_visit(
-    rows: DataFrame, t: Tables, key: str, matches: DataFrame | None = None
-) -> DataFrame:
+def with_visit(rows: DataFrame, t: Tables, key: str) -> DataFrame:
     """Add ``patient_id``, ``other_patient_id`` and ``visit_date``.
 
     ``patient_id`` comes from the appointment, else from the admission;
     ``other_patient_id`` is set only where both parents exist and disagree.
-    With ``matches``, its rows that share a parent are left-joined as well, on
-    the same partitioning.
     """
     single = _single_parent(rows, key).join(visits(t), VISIT_KEY, "left").withColumn(
         "other_patient_id", F.lit(None).cast("bigint")
     )
-    double = _double_parent(rows, t, key)
-    if matches is not None:
-        single = single.join(_keyed(matches), _same_parent(), "left").drop(*_LOOKUP)
-        both = rows.filter(_both_set()).select(key, "appt_id", "admission_id")
-        pairs = linked_pairs(both, matches).drop("appt_id", "admission_id")
-        double = double.join(pairs, key, "left")
-    return single.drop(*VISIT_KEY).unionByName(double)
+    return single.drop(*VISIT_KEY).unionByName(_double_parent(rows, t, key))
+
+
+def left_linked(left: DataFrame, right: DataFrame, key: str, right_parents: DataFrame) -> DataFrame:
+    """Left join on ``appt_id`` equal OR ``admission_id`` equal.
+
+    ``right_parents`` lists the right side's (appt_id, admission_id).  The right
+    side may hold a hot parent, so matched and unmatched rows are joined apart
+    (see ``left_spread``); ``key`` identifies left rows.
+    """
+    matched = linked_pairs(left, right)
+    parents = (
+        _per_parent(right_parents.select("appt_id", "admission_id"))
+        .select(F.col("visit_kind").alias("right_kind"), F.col("visit_id").alias("right_id"))
+        .distinct()
+    )
+    alone = (
+        _single_parent(left, key)
+        .join(parents, (F.col("visit_kind") == F.col("right_kind")) & (F.col("visit_id") == F.col("right_id")), "left_anti")
+        .drop(*VISIT_KEY)
+    )
+    both = left.filter(_both_set())
+    both_matched = linked_pairs(both.select(key, "appt_id", "admission_id"), right_parents).select(key).distinct()
+    missing = [
+        F.lit(None).cast(f.dataType).alias(f.name)
+        for f in right.schema.fields if f.name not in ("appt_id", "admission_id")
+    ]
+    unmatched = alone.unionByName(both.join(both_matched, key, "left_anti"))
+    return matched.unionByName(unmatched.select("*", *missing))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import text
+from wardops.operators.spread import left_spread
 from wardops.tables import Tables
 
 
@@ -28,10 +29,11 @@ def bed_status(t: Tables, dept_name: str | None = None, status: str | None = Non
     """A bed with several open admissions gives several rows."""
     patients = t.patients.select("patient_id", "full_name")
     inside = _open_admissions(t).select("bed_id", "patient_id").join(patients, "patient_id", "left")
+    listed = left_spread(
+        _placed_beds(t, dept_name, status), inside, ["bed_id"], right_keys=_open_admissions(t)
+    )
     return (
-        _placed_beds(t, dept_name, status)
-        .join(inside, "bed_id", "left")
-        .select(
+        listed.select(
             "bed_code", "room_name", "dept_name", "bed_status",
             F.coalesce("full_name", F.lit("Empty")).alias("current_patient"),
         )

@@ -10,8 +10,9 @@ from wardops.functions import clock, money
 from wardops.operators.access import permitted, with_role
 from wardops.operators.calendar import days_of_month
 from wardops.operators.coverage import active_policy, rate_or_zero, with_active_rate
-from wardops.operators.parents import with_visit
+from wardops.operators.parents import left_linked, with_visit
 from wardops.operators.pruning import since, within_days
+from wardops.operators.spread import left_spread
 from wardops.schemas import ACCOUNTANT, ADMIN
 from wardops.tables import Tables
 
@@ -86,23 +87,29 @@ def patient_bill(t: Tables) -> DataFrame:
     defines it; a stored net amount always wins over a computed one.
     """
     medicines = t.medicines.select("med_id", F.col("med_name").alias("medicine_name"))
-    lines = t.presc_details.select("presc_id", "med_id", "dosage").join(medicines, "med_id", "left")
-    treated = (
+    lines = (
+        t.presc_details.select("presc_id", "med_id", "dosage")
+        .join(medicines, "med_id", "left")
+        .select("presc_id", "medicine_name", "dosage")
+    )
+    prescribed = left_spread(
+        t.prescriptions.select("record_id", "presc_id"), lines, ["presc_id"], right_keys=t.presc_details
+    ).select("record_id", "medicine_name", "dosage")
+    treated = left_spread(
         t.medical_records.select(
             "record_id", "appt_id", "admission_id", F.col("diagnosis").alias("doctor_diagnosis")
-        )
-        .join(t.prescriptions.select("record_id", "presc_id"), "record_id", "left")
-        .join(lines, "presc_id", "left")
-        .select("appt_id", "admission_id", "doctor_diagnosis", "medicine_name", "dosage")
-    )
+        ),
+        prescribed, ["record_id"], right_keys=t.prescriptions,
+    ).select("appt_id", "admission_id", "doctor_diagnosis", "medicine_name", "dosage")
     covered = (
         t.patients.select("patient_id", F.col("full_name").alias("patient_name"))
         .join(t.insurance.select("patient_id", "coverage_rate"), "patient_id", "left")
     )
-    billed = with_visit(
+    paid = with_visit(
         _paid(t).select("invoice_id", "invoice_date", "appt_id", "admission_id", "total_amount", "net_amount"),
-        t, "invoice_id", matches=treated,
-    )
+        t, "invoice_id",
+    ).select("invoice_id", "invoice_date", "appt_id", "admission_id", "total_amount", "net_amount", "patient_id")
+    billed = left_linked(paid, treated, "invoice_id", t.medical_records)
     rate = rate_or_zero(F.col("coverage_rate"))
     return billed.join(covered, "patient_id", "left").select(
         "invoice_id",
