@@ -23,12 +23,12 @@ from wardops.operators.numbering import allocate_ids  # noqa: E402
 from wardops.operators.rewrite import with_rows  # noqa: E402
 from wardops.plans import audit, beds, billing, clinical, people, scheduling  # noqa: E402
 from wardops.schemas import ACCOUNTANT  # noqa: E402
-from wardops.session import configure  # noqa: E402
+from wardops.session import configure, stager  # noqa: E402
 from wardops.sources import batches  # noqa: E402
 from wardops.sources.bridge import bridge_tables  # noqa: E402
 from wardops.sources.sqltext import insert_statements  # noqa: E402
 from wardops.streaming.activity import actions_24h_stream  # noqa: E402
-from wardops.streaming.demo import bookings_stream, payments_stream, records_stream  # noqa: E402
+from wardops.streaming import demo  # noqa: E402
 from wardops.tables import Tables  # noqa: E402
 
 AS_OF = datetime(1999, 6, 15, 9, 55)
@@ -145,8 +145,8 @@ def _reprice(t: Tables) -> Changes:
 
 
 def _reprice_new_lines(t: Tables) -> DataFrame:
-    written = _prescribe(t)
-    return pricing.reprice_invoices(care.line_changes(written), written.apply(t), AS_OF).updates["invoices"]
+    stage = stager(t.prescriptions.sparkSession, "new-lines")
+    return care.prescribe_and_price(batches.prescription_lines(t), t, AS_OF, stage).updates["invoices"]
 
 
 def _pay(t: Tables) -> Changes:
@@ -190,6 +190,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w03_new_invoices": lambda t: _book(t).inserts["invoices"],
     "w03_audit": lambda t: _book(t).audit_rows(t),
     "w03_slot_conflicts": lambda t: _book(t, check_slots=True).rejected,
+    "w03_booking_slips": lambda t: visits.booking_slips(_book(t), t),
     "w04_appointments": lambda t: visits.set_visit_state(batches.visit_states(t), t, AS_OF).apply(t).appointments,
     "w05_new_records": lambda t: _record(t).inserts["medical_records"],
     "w05_appointments": lambda t: _record(t).apply(t).appointments,
@@ -233,9 +234,11 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
 
 STREAMS: dict[str, Query] = {
     "actions_24h_stream": actions_24h_stream,
-    "bookings_stream": bookings_stream,
-    "records_stream": records_stream,
-    "payments_stream": payments_stream,
+    "bookings_stream": demo.bookings_stream,
+    "records_stream": demo.records_stream,
+    "lines_stream": demo.lines_stream,
+    "payments_stream": demo.payments_stream,
+    "logins_stream": demo.logins_stream,
 }
 
 

@@ -328,4 +328,15 @@ CHANGE_SQL = {
         JOIN (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1) h
           ON h.hour >= w.window_end - INTERVAL 24 HOUR AND h.hour < w.window_end
         GROUP BY w.window_end""",
+    "w03_booking_slips": """
+        SELECT (SELECT max(appt_id) FROM appointments) + b.n AS appt_id,
+          concat('Appointment booked for ', p.full_name, ' (', p.phone, ') with ', s.full_name, ' at ',
+            strftime(b.appt_date, '%d/%m/%Y %H:%M'), ' (Appointment ID: ',
+            CAST((SELECT max(appt_id) FROM appointments) + b.n AS VARCHAR), ')') AS slip
+        FROM done_bookings b JOIN patients p ON p.patient_id = b.patient_id
+        JOIN doctors d ON d.doctor_id = b.doctor_id JOIN staff s ON s.staff_id = d.staff_id""",
+    "logins_stream": f"""
+        SELECT (SELECT max(log_id) FROM audit_logs) + row_number() OVER (ORDER BY user_id) AS log_id, user_id,
+          'User Logged In' AS action, {AS_OF} AS timestamp FROM users""",
 }
+CHANGE_SQL["lines_stream"] = CHANGE_SQL["w06_after_new_lines"]

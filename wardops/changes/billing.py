@@ -13,6 +13,7 @@ from wardops.operators.coverage import with_active_rate
 from wardops.operators.parents import linked_pairs, with_visit
 from wardops.operators.rewrite import last_per_key
 from wardops.schemas import ACCOUNTANT, DOMAINS
+from wardops.session import Stage, keep
 from wardops.tables import Tables
 
 # The message to refused executors.
@@ -52,7 +53,8 @@ def release_beds(
 
 
 def pay_invoices(
-    commands: DataFrame, t: Tables, as_of: datetime, only_on_transition: bool = False
+    commands: DataFrame, t: Tables, as_of: datetime, only_on_transition: bool = False,
+    stage: Stage = keep,
 ) -> Changes:
     """Commands (seq, invoice_id, executor_id); accountants only.
 
@@ -60,6 +62,7 @@ def pay_invoices(
     unknown invoice changes nothing but is still logged.
     """
     allowed, refused = gate(commands, t, [ACCOUNTANT], PAYMENT_DENIED)
+    allowed = stage(allowed)
     chosen = allowed.select("invoice_id").distinct()
     invoices = t.invoices.select(
         "invoice_id", "appt_id", "admission_id", "total_amount",
@@ -85,7 +88,8 @@ def pay_invoices(
 
 
 def reprice_invoices(
-    changed: DataFrame, t: Tables, as_of: datetime, only_on_transition: bool = False
+    changed: DataFrame, t: Tables, as_of: datetime, only_on_transition: bool = False,
+    stage: Stage = keep,
 ) -> Changes:
     """Invoices follow the prescription whose lines changed last.
 
@@ -104,7 +108,7 @@ def reprice_invoices(
         .agg(F.max(F.struct("change_seq", "presc_id")).alias("change"))
     )
     billed = t.invoices.select("invoice_id", "appt_id", "admission_id", "payment_status")
-    winners = (
+    winners = stage(
         linked_pairs(billed, touched)
         .groupBy("invoice_id")
         .agg(
@@ -123,13 +127,13 @@ def reprice_invoices(
         .agg(F.sum(F.col("price") * F.col("quantity")).alias("total"))
     )
     repriced = winners.join(totals, "presc_id", "left").select(
-        "invoice_id", "admission_id", "payment_status",
-        F.col("payment_status").alias("old_status"),
-        F.coalesce("total", F.lit(0)).cast("decimal(10,2)").alias("total_amount"),
+        "invoice_id", F.coalesce("total", F.lit(0)).cast("decimal(10,2)").alias("total_amount")
+    )
+    released = release_beds(
+        winners.withColumn("old_status", F.col("payment_status")), t, as_of, only_on_transition
     )
-    released = release_beds(repriced, t, as_of, only_on_transition)
     return Changes(
-        updates={"invoices": repriced.select("invoice_id", "total_amount"), **released.updates}
+        updates={"invoices": repriced, **released.updates}
     )
 
 

@@ -6,9 +6,11 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardops.changes.billing import reprice_invoices
 from wardops.changes.core import Changes, audit_of, mark_known, reject, split
 from wardops.functions import clock, text
 from wardops.operators.numbering import allocate_ids, dense_number
+from wardops.session import Stage, keep
 from wardops.tables import Tables
 
 OLDEST_BIRTH = date(1900, 1, 1)  # fixed value
@@ -18,7 +20,9 @@ def _last(t: Tables, table: str, key: str):
     return t[table].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
 
 
-def register_patients(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+def register_patients(
+    commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
+) -> Changes:
     """New patients with a health profile and, if a provider is named, a policy.
 
     Commands (seq, executor_id, full_name, dob, gender, phone, email,
@@ -44,7 +48,7 @@ def register_patients(commands: DataFrame, t: Tables, as_of: datetime) -> Change
     accepted, repeated = split(
         valid.join(free, "seq", "left"), [(F.col("is_free"), "Email address is already registered")]
     )
-    numbered = dense_number(accepted, "seq", "number")
+    numbered = stage(dense_number(accepted, "seq", "number"))
     patient_id = (F.col("number") + _last(t, "patients", "patient_id")).alias("patient_id")
     profile_id = (F.col("number") + _last(t, "patient_health_profile", "profile_id")).alias("profile_id")
     rate = (F.col("rate_percent").cast("decimal(5,2)") / 100).cast("decimal(3,2)")
@@ -61,12 +65,12 @@ def register_patients(commands: DataFrame, t: Tables, as_of: datetime) -> Change
                 "patient_id", "coverage_rate", "expiry_date", "provider",
             ),
         },
-        audit=audit_of(accepted, "executor_id", action, as_of),
+        audit=audit_of(numbered, "executor_id", action, as_of),
         rejected=reject(incomplete).unionByName(reject(repeated)),
     )
 
 
-def prescribe(commands: DataFrame, t: Tables) -> Changes:
+def prescribe(commands: DataFrame, t: Tables, stage: Stage = keep) -> Changes:
     """Lines (seq, record_id, doctor_id, med_id, quantity, dosage).
 
     The lines of one record in one batch share a new prescription, written by
@@ -82,12 +86,13 @@ def prescribe(commands: DataFrame, t: Tables) -> Changes:
             (F.col("has_medicine"), "Unknown medicine"),
         ],
     )
+    accepted = stage(accepted)
     headers = (
         accepted.groupBy("record_id")
         .agg(F.min(F.struct("seq", "doctor_id")).alias("first"))
         .select("record_id", "first.seq", "first.doctor_id")
     )
-    numbered = allocate_ids(headers, "seq", t.prescriptions, "presc_id")
+    numbered = stage(allocate_ids(headers, "seq", t.prescriptions, "presc_id"))
     lines = accepted.join(numbered.select("record_id", "presc_id"), "record_id")
     if "detail_id" in t.presc_details.columns:
         lines = allocate_ids(lines, "seq", t.presc_details, "detail_id")
@@ -101,6 +106,15 @@ def prescribe(commands: DataFrame, t: Tables) -> Changes:
     )
 
 
+def prescribe_and_price(
+    commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
+) -> Changes:
+    """New lines, and in turn the invoices they reprice and the beds that frees."""
+    written = prescribe(commands, t, stage)
+    after = written.apply(t)
+    return written.then(reprice_invoices(line_changes(written), after, as_of, stage=stage))
+
+
 def line_changes(changes: Changes) -> DataFrame:
     """(presc_id, change_seq) of inserted lines, as the repricing rule wants them."""
     return changes.inserts["presc_details"].select("presc_id", F.col("seq").alias("change_seq"))

@@ -30,6 +30,24 @@ class Changes:
     audit: DataFrame | None = None
     rejected: DataFrame | None = None
 
+    def then(self, later: "Changes") -> "Changes":
+        """Both changes as one, where they update different columns or tables."""
+        shared = {
+            name
+            for part in ("inserts", "updates", "deletes")
+            for name in getattr(self, part)
+            if name in getattr(later, part)
+        }
+        if shared or (self.audit is not None and later.audit is not None):
+            raise ValueError(f"changes overlap: {sorted(shared) or 'audit'}")
+        return Changes(
+            inserts={**self.inserts, **later.inserts},
+            updates={**self.updates, **later.updates},
+            deletes={**self.deletes, **later.deletes},
+            audit=later.audit if self.audit is None else self.audit,
+            rejected=self.rejected if later.rejected is None else later.rejected,
+        )
+
     def touched(self) -> list[str]:
         named = [*self.deletes, *self.updates, *self.inserts]
         if self.audit is not None:

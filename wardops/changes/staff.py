@@ -12,6 +12,7 @@ from wardops.operators.access import gate
 from wardops.operators.numbering import dense_number
 from wardops.operators.rewrite import last_per_key
 from wardops.schemas import ADMIN, DOCTOR, HR, LOGIN_ACTION
+from wardops.session import Stage, keep
 from wardops.tables import Tables
 
 # Messages to refused executors.
@@ -24,7 +25,9 @@ def _last(t: Tables, table: str, key: str):
     return t[table].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
 
 
-def add_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+def add_staff(
+    commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
+) -> Changes:
     """A user account, a staff row and, for doctors, a doctor row per command.
 
     Commands (seq, executor_id, full_name, dob, gender, phone, email,
@@ -63,7 +66,7 @@ def add_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
             (F.col("new_mail"), "Email address is taken"),
         ],
     )
-    numbered = dense_number(accepted, "seq", "number")
+    numbered = stage(dense_number(accepted, "seq", "number"))
     user_id = (F.col("number") + _last(t, "users", "user_id")).alias("user_id")
     staff_id = (F.col("number") + _last(t, "staff", "staff_id")).alias("staff_id")
     doctors = dense_number(
@@ -82,7 +85,7 @@ def add_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
             ),
             "doctors": doctors.select(doctor_id, staff_id, "specialty"),
         },
-        audit=audit_of(accepted, "executor_id", action, as_of),
+        audit=audit_of(numbered, "executor_id", action, as_of),
         rejected=reject(denied).unionByName(reject(invalid)).unionByName(reject(repeated)),
     )
 
@@ -112,7 +115,9 @@ def transfer_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     )
 
 
-def delete_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+def delete_staff(
+    commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
+) -> Changes:
     """Commands (seq, staff_id, executor_id): the doctor row goes, then the staff row.
 
     A doctor with appointments, admissions or prescriptions cannot be removed.
@@ -131,6 +136,7 @@ def delete_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
         allowed.join(in_use, "staff_id", "left"),
         [(F.col("in_use").isNull(), "Doctor still has appointments, admissions or prescriptions")],
     )
+    accepted = stage(accepted)
     gone = accepted.select("staff_id").distinct()
     logged = (
         accepted.join(first_per(accepted, "staff_id"), "seq", "left")

@@ -13,6 +13,7 @@ from wardops.operators.numbering import allocate_ids, dense_number
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.slots import clashing_requests
 from wardops.schemas import ADMIN, DOMAINS, RECEPTIONIST
+from wardops.session import Stage, keep
 from wardops.tables import Tables
 
 # Messages to refused executors.
@@ -20,7 +21,7 @@ DELETE_DENIED = "Permission Denied: Only Admin or Receptionist can delete appoin
 
 
 def book_appointments(
-    commands: DataFrame, t: Tables, as_of: datetime, check_slots: bool = False
+    commands: DataFrame, t: Tables, as_of: datetime, check_slots: bool = False, stage: Stage = keep
 ) -> Changes:
     """Commands (seq, executor_id, patient_id, doctor_id, appt_date).
 
@@ -36,7 +37,7 @@ def book_appointments(
         marked = marked.join(taken, "seq", "left")
         checks.append((F.col("clash").isNull(), "Doctor is not available at that time"))
     accepted, refused = split(marked, checks)
-    numbered = dense_number(accepted, "seq", "number")
+    numbered = stage(dense_number(accepted, "seq", "number"))
 
     def next_id(table: str, key: str):
         last = t[table].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
@@ -59,11 +60,32 @@ def book_appointments(
     action = F.concat(F.lit("New appointment created for patient_id: "), F.col("patient_id").cast("string"))
     return Changes(
         inserts={"appointments": booked, "invoices": bills},
-        audit=audit_of(accepted, "executor_id", action, as_of),
+        audit=audit_of(numbered, "executor_id", action, as_of),
         rejected=reject(refused),
     )
 
 
+def booking_slips(changes: Changes, t: Tables) -> DataFrame:
+    """The confirmation text of every new appointment."""
+    patients = t.patients.select(
+        "patient_id", F.concat("full_name", F.lit(" ("), "phone", F.lit(")")).alias("patient")
+    )
+    doctors = t.doctors.select("doctor_id", "staff_id").join(
+        t.staff.select("staff_id", F.col("full_name").alias("doctor")), "staff_id"
+    )
+    slip = F.concat(
+        F.lit("Appointment booked for "), "patient", F.lit(" with "), "doctor", F.lit(" at "),
+        clock.day_clock_text(F.col("appt_date")),
+        F.lit(" (Appointment ID: "), F.col("appt_id").cast("string"), F.lit(")"),
+    )
+    return (
+        changes.inserts["appointments"]
+        .join(patients, "patient_id")
+        .join(doctors, "doctor_id")
+        .select("appt_id", slip.alias("slip"))
+    )
+
+
 def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     """Commands (seq, appt_id, status); the last wins.
 
@@ -90,15 +112,17 @@ def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     )
 
 
-def add_records(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+def add_records(
+    commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
+) -> Changes:
     """Commands (seq, executor_id, appt_id, admission_id, symptoms, diagnosis, doctor_notes).
 
     A record on an appointment completes that appointment.
     """
     complete = text.filled(F.col("symptoms")) & text.filled(F.col("diagnosis"))
     accepted, refused = split(commands, [(complete, "Please fill in symptoms and diagnosis")])
-    rows = allocate_ids(accepted, "seq", t.medical_records, "record_id")
-    done = accepted.filter(F.col("appt_id").isNotNull()).select("appt_id").distinct()
+    rows = stage(allocate_ids(accepted, "seq", t.medical_records, "record_id"))
+    done = rows.filter(F.col("appt_id").isNotNull()).select("appt_id").distinct()
     parent = F.coalesce("appt_id", "admission_id").cast("string")
     action = F.concat(F.lit("Created medical record for appt/adm: "), parent)
     return Changes(
@@ -113,7 +137,7 @@ def add_records(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
                 clock.instant(as_of).alias("completed_at"),
             )
         },
-        audit=audit_of(accepted, "executor_id", action, as_of),
+        audit=audit_of(rows, "executor_id", action, as_of),
         rejected=reject(refused),
     )
 
@@ -131,7 +155,9 @@ def discharge(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     )
 
 
-def delete_appointments(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+def delete_appointments(
+    commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
+) -> Changes:
     """Commands (seq, appt_id, executor_id): invoices go first, then the appointment.
 
     An appointment that has a medical record cannot be removed.
@@ -146,6 +172,7 @@ def delete_appointments(commands: DataFrame, t: Tables, as_of: datetime) -> Chan
         allowed.join(in_use, "appt_id", "left"),
         [(F.col("in_use").isNull(), "Appointment has medical records")],
     )
+    accepted = stage(accepted)
     gone = accepted.select("appt_id").distinct()
     patients = t.patients.select("patient_id", "full_name")
     names = t.appointments.select("appt_id", "patient_id").join(gone, "appt_id").join(patients, "patient_id")

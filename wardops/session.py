@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +52,30 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="wardops-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """The default stage: leave the frame lazy."""
+    return frame
+
+
+def stager(spark: SparkSession, purpose: str) -> Stage:
+    """A stage that writes frames to the shared folder and reads them back.
+
+    Rules with several outputs stage what the outputs have in common, so it is
+    worked out once, plans stay small, and a lost executor costs one re-read.
+    """
+    folder = shared_folder(spark, purpose)
+    count = 0
+
+    def stage(frame: DataFrame) -> DataFrame:
+        nonlocal count
+        count += 1
+        path = f"{folder}/{count}"
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    return stage

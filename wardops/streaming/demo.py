@@ -11,9 +11,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardops.changes import billing, visits
+from wardops.changes import billing, clinical, staff, visits
 from wardops.changes.core import Changes
-from wardops.session import configure, shared_folder
+from wardops.session import configure, shared_folder, stager
 from wardops.sources import batches
 from wardops.sources.bridge import Bridge, bridge_tables
 from wardops.streaming.rules import start_rule
@@ -53,7 +53,7 @@ def bookings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookings make appointments, invoices and audit rows; the invoices."""
     store = _run(
         spark, sf_dir, "customer", "patients", ["appointments", "invoices", "audit_logs"],
-        lambda c, t: visits.book_appointments(c, t, AS_OF),
+        lambda c, t: visits.book_appointments(c, t, AS_OF, stage=stager(spark, "bookings")),
         lambda t: batches.bookings(t, AS_OF),
     )
     return _changed(store, "invoices")
@@ -63,7 +63,7 @@ def records_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New records complete their visits; the appointments they changed."""
     store = _run(
         spark, sf_dir, "orders", "appointments", ["appointments", "medical_records", "audit_logs"],
-        lambda c, t: visits.add_records(c, t, AS_OF),
+        lambda c, t: visits.add_records(c, t, AS_OF, stage=stager(spark, "records")),
         batches.records,
     )
     return _changed(store, "appointments")
@@ -73,7 +73,28 @@ def payments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments settle invoices and free beds; the beds they changed."""
     store = _run(
         spark, sf_dir, "orders", "invoices", ["invoices", "beds", "admissions", "audit_logs"],
-        lambda c, t: billing.pay_invoices(c, t, AS_OF),
+        lambda c, t: billing.pay_invoices(c, t, AS_OF, stage=stager(spark, "payments")),
         batches.payments,
     )
     return _changed(store, "beds")
+
+
+def lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New prescription lines reprice invoices and free beds; the invoices."""
+    store = _run(
+        spark, sf_dir, "orders", "medical_records",
+        ["prescriptions", "presc_details", "invoices", "beds", "admissions"],
+        lambda c, t: clinical.prescribe_and_price(c, t, AS_OF, stage=stager(spark, "lines")),
+        batches.prescription_lines,
+    )
+    return _changed(store, "invoices").select("invoice_id", "total_amount")
+
+
+def logins_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ins become audit rows; those rows."""
+    store = _run(
+        spark, sf_dir, "events", "users", ["audit_logs"],
+        lambda c, t: staff.log_logins(c, AS_OF),
+        batches.logins,
+    )
+    return _changed(store, "audit_logs")

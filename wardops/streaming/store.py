@@ -46,6 +46,8 @@ class DeltaStore:
         if before is not None:
             deltas = deltas.filter(F.col("epoch") < before)
         key = KEYS[name]
+        if key not in columns:
+            return deltas.select(*columns)  # a table without key is only appended to
         rest = [c for c in columns if c != key]
         return (
             deltas.groupBy(key)
@@ -59,7 +61,9 @@ class DeltaStore:
         merged = {}
         for name in self.writes:
             changed = self.changed_rows(name, before)
-            kept = self._table(name).join(changed.select(KEYS[name]), KEYS[name], "left_anti")
+            kept = self._table(name)
+            if KEYS[name] in kept.columns:
+                kept = kept.join(changed.select(KEYS[name]), KEYS[name], "left_anti")
             merged[name] = kept.unionByName(changed.filter(~F.col(REMOVED)).drop(REMOVED))
         return self.base.replace(**merged)
 
