@@ -220,7 +220,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w15_invoices": lambda t: _remove_visits(t).apply(t).invoices,
     "w15_rejected": lambda t: _remove_visits(t).rejected,
     "w15_audit": lambda t: _remove_visits(t).audit_rows(t),
-    "w16_login_log": lambda t: hiring.log_logins(batches.logins(t), AS_OF).apply(t).audit_logs,
+    "w16_login_log": lambda t: hiring.log_logins(batches.logins(t), t, AS_OF).apply(t).audit_logs,
     "w17_gated_payments": lambda t: with_role(batches.payments(t), t).select(
         "seq", "executor_id", "role_name", permitted([ACCOUNTANT]).alias("allowed")
     ),

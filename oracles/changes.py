@@ -32,7 +32,8 @@ COMMANDS = {
         WHERE a.status IN ('Scheduled','CheckedIn','In-Progress')
           AND a.appt_date > c.appt_date - INTERVAL 30 MINUTE AND a.appt_date < c.appt_date + INTERVAL 30 MINUTE""",
     "done_bookings": f"""
-        SELECT *, {seq_number()} AS n FROM cmd_bookings WHERE doctor_id IN (SELECT doctor_id FROM doctors)""",
+        SELECT *, {seq_number()} AS n FROM cmd_bookings
+        WHERE doctor_id IN (SELECT doctor_id FROM doctors) AND executor_id IN (SELECT user_id FROM users)""",
     "cmd_visit_states": """
         SELECT appt_id * 2 + step AS seq, appt_id,
           CASE WHEN step = 0 THEN 'CheckedIn' WHEN appt_id % 3 = 0 THEN 'In-Progress'
@@ -44,6 +45,8 @@ COMMANDS = {
           'fever' AS symptoms, CASE WHEN appt_id % 10 = 0 THEN '' ELSE 'influenza' END AS diagnosis,
           'rest' AS doctor_notes
         FROM appointments WHERE status = 'In-Progress'""",
+    "done_records": """
+        SELECT * FROM cmd_records WHERE diagnosis <> '' AND executor_id IN (SELECT user_id FROM users)""",
     "cmd_lines": """
         SELECT record_id * 2 + step AS seq, record_id, CAST(1000000 AS BIGINT) AS doctor_id,
           (record_id * 3 + step) % (SELECT count(*) FROM medicines) + 1 AS med_id,
@@ -69,7 +72,7 @@ COMMANDS = {
         SELECT * FROM cmd_registrations
         WHERE full_name <> '' AND phone <> '' AND email <> ''
           AND dob BETWEEN DATE '1900-01-01' AND {TODAY} AND rate_percent BETWEEN 0 AND 100
-          AND (provider = '' OR expiry_date >= {TODAY})""",
+          AND (provider = '' OR expiry_date >= {TODAY}) AND executor_id IN (SELECT user_id FROM users)""",
     "done_registrations": """
         SELECT *, row_number() OVER (ORDER BY seq) AS n FROM (
           SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq) AS nth FROM valid_registrations) v
@@ -133,6 +136,7 @@ CHANGE_SQL = {
             WHEN dob NOT BETWEEN DATE '1900-01-01' AND {TODAY} THEN 'Birth date out of range'
             WHEN rate_percent NOT BETWEEN 0 AND 100 THEN 'Coverage must be between 0 and 100 percent'
             WHEN provider <> '' AND expiry_date < {TODAY} THEN 'Policy has expired'
+            WHEN executor_id NOT IN (SELECT user_id FROM users) THEN 'Unknown user'
             ELSE 'Email address is already registered' END AS reason
         FROM cmd_registrations WHERE seq NOT IN (SELECT seq FROM done_registrations)""",
     "w02_new_prescriptions": "SELECT * FROM new_prescriptions",
@@ -153,9 +157,10 @@ CHANGE_SQL = {
         FROM done_bookings""",
     "w03_slot_conflicts": """
         SELECT seq, CASE WHEN doctor_id NOT IN (SELECT doctor_id FROM doctors) THEN 'Unknown doctor'
+            WHEN executor_id NOT IN (SELECT user_id FROM users) THEN 'Unknown user'
             ELSE 'Doctor is not available at that time' END AS reason
         FROM cmd_bookings
-        WHERE doctor_id NOT IN (SELECT doctor_id FROM doctors) OR seq IN (SELECT seq FROM clashes)""",
+        WHERE seq NOT IN (SELECT seq FROM done_bookings) OR seq IN (SELECT seq FROM clashes)""",
     "w04_appointments": f"""
         SELECT a.appt_id, a.patient_id, a.doctor_id, a.appt_date,
           CASE WHEN x.ended THEN {AS_OF} ELSE a.completed_at END AS completed_at,
@@ -166,17 +171,17 @@ CHANGE_SQL = {
     "w05_new_records": """
         SELECT (SELECT max(record_id) FROM medical_records) + row_number() OVER (ORDER BY seq) AS record_id,
           appt_id, admission_id, symptoms, diagnosis, doctor_notes
-        FROM cmd_records WHERE diagnosis <> ''""",
+        FROM done_records""",
     "w05_appointments": f"""
         SELECT a.appt_id, a.patient_id, a.doctor_id, a.appt_date,
           CASE WHEN c.appt_id IS NOT NULL THEN {AS_OF} ELSE a.completed_at END AS completed_at,
           CASE WHEN c.appt_id IS NOT NULL THEN 'Completed' ELSE a.status END AS status
-        FROM appointments a LEFT JOIN (SELECT appt_id FROM cmd_records WHERE diagnosis <> '') c ON c.appt_id = a.appt_id""",
+        FROM appointments a LEFT JOIN done_records c ON c.appt_id = a.appt_id""",
     "w05_audit": f"""
         SELECT (SELECT max(log_id) FROM audit_logs) + row_number() OVER (ORDER BY seq) AS log_id,
           executor_id AS user_id, concat('Created medical record for appt/adm: ', CAST(appt_id AS VARCHAR)) AS action,
           {AS_OF} AS timestamp
-        FROM cmd_records WHERE diagnosis <> ''""",
+        FROM done_records""",
     "w06_repriced_invoices": """
         SELECT r.invoice_id, CAST(sum(m.price * l.quantity) AS DECIMAL(10,2)) AS total_amount
         FROM repriced r JOIN presc_details l USING (presc_id) JOIN medicines m USING (med_id) GROUP BY r.invoice_id""",
@@ -315,7 +320,7 @@ CHANGE_SQL = {
         FROM done_bookings""",
     "records_stream": f"""
         SELECT a.appt_id, a.patient_id, a.doctor_id, a.appt_date, {AS_OF} AS completed_at, 'Completed' AS status
-        FROM appointments a JOIN cmd_records c ON c.appt_id = a.appt_id WHERE c.diagnosis <> ''""",
+        FROM appointments a JOIN done_records c ON c.appt_id = a.appt_id""",
     "payments_stream": """
         SELECT bed_id, bed_code, room_id, 'Available' AS status FROM beds
         WHERE bed_id IN (SELECT bed_id FROM done_payments JOIN admissions USING (admission_id))""",

@@ -22,7 +22,14 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def bridge(spark):
+def bridge(spark, tmp_path_factory):
+    """The bridged tables, written once so that tests plan and run quickly."""
+    from wardops import Tables
     from wardops.sources.bridge import bridge_tables
 
-    return bridge_tables(spark, SMALL)
+    folder = tmp_path_factory.mktemp("bridge")
+    stored = {}
+    for name, table in bridge_tables(spark, SMALL).items():
+        table.coalesce(1).write.parquet(f"{folder}/{name}")
+        stored[name] = spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+    return Tables(stored)

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.changes.billing import reprice_invoices
-from wardops.changes.core import Changes, audit_of, mark_known, reject, split
+from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, mark_known, mark_user, reject, split
 from wardops.functions import clock, text
 from wardops.operators.numbering import allocate_ids, dense_number
 from wardops.session import Stage, keep
@@ -39,8 +39,9 @@ def register_patients(
         (F.col("dob").between(F.lit(OLDEST_BIRTH), clock.day(as_of)), "Birth date out of range"),
         (F.col("rate_percent").between(0, 100), "Coverage must be between 0 and 100 percent"),
         (~insured | (F.col("expiry_date") >= clock.day(as_of)), "Policy has expired"),
+        (F.col("has_user"), UNKNOWN_USER),
     ]
-    valid, incomplete = split(commands, form)
+    valid, incomplete = split(mark_user(commands, t), form)
     firsts = valid.groupBy("email").agg(F.min("seq").alias("seq"))
     free = firsts.join(t.patients.select("email"), "email", "left_anti").select(
         "seq", F.lit(True).alias("is_free")

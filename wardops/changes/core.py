@@ -110,6 +110,15 @@ def mark_known(commands: DataFrame, column: str, parent: DataFrame, key: str, fl
     return commands.join(parents, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+UNKNOWN_USER = "Unknown user"
+
+
+def mark_user(commands: DataFrame, t: Tables, user: str = "executor_id") -> DataFrame:
+    """Add ``has_user``: audit rows may name a known user or none."""
+    marked = mark_known(commands, user, t.users, "user_id", "has_user")
+    return marked.withColumn("has_user", F.col("has_user") | F.col(user).isNull())
+
+
 def reject(refused: DataFrame) -> DataFrame:
     """All rejected frames share one shape: (seq, reason)."""
     return refused.select("seq", "reason")

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardops.changes.core import Changes, audit_of, first_per, reject, split
+from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, first_per, mark_user, reject, split
 from wardops.functions import text
 from wardops.operators.access import gate
 from wardops.operators.numbering import dense_number
@@ -100,10 +100,11 @@ def transfer_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     departments = t.departments.groupBy("dept_name").agg(F.min("dept_id").alias("dept_id"))
     placed = commands.join(people, "staff_name", "left").join(departments, "dept_name", "left")
     accepted, refused = split(
-        placed,
+        mark_user(placed, t),
         [
             (F.col("staff_id").isNotNull(), "Unknown staff member"),
             (F.col("dept_id").isNotNull(), "Unknown department"),
+            (F.col("has_user"), UNKNOWN_USER),
         ],
     )
     moves = last_per_key(accepted.select("staff_id", "seq", "dept_id"), "staff_id", "seq")
@@ -153,6 +154,9 @@ def delete_staff(
     )
 
 
-def log_logins(commands: DataFrame, as_of: datetime) -> Changes:
-    """Commands (seq, user_id): one audit row per login."""
-    return Changes(audit=audit_of(commands, "user_id", F.lit(LOGIN_ACTION), as_of))
+def log_logins(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+    """Commands (seq, user_id): one audit row per login of a known user."""
+    accepted, refused = split(mark_user(commands, t, "user_id"), [(F.col("has_user"), UNKNOWN_USER)])
+    return Changes(
+        audit=audit_of(accepted, "user_id", F.lit(LOGIN_ACTION), as_of), rejected=reject(refused)
+    )

@@ -6,7 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardops.changes.core import Changes, audit_of, first_per, mark_known, reject, split
+from wardops.changes.core import (
+    UNKNOWN_USER, Changes, audit_of, first_per, mark_known, mark_user, reject, split,
+)
 from wardops.functions import clock, text
 from wardops.operators.access import gate
 from wardops.operators.numbering import allocate_ids, dense_number
@@ -31,7 +33,12 @@ def book_appointments(
     """
     marked = mark_known(commands, "patient_id", t.patients, "patient_id", "has_patient")
     marked = mark_known(marked, "doctor_id", t.doctors, "doctor_id", "has_doctor")
-    checks = [(F.col("has_patient"), "Unknown patient"), (F.col("has_doctor"), "Unknown doctor")]
+    marked = mark_user(marked, t)
+    checks = [
+        (F.col("has_patient"), "Unknown patient"),
+        (F.col("has_doctor"), "Unknown doctor"),
+        (F.col("has_user"), UNKNOWN_USER),
+    ]
     if check_slots:
         taken = clashing_requests(commands, t, "seq").withColumn("clash", F.lit(True))
         marked = marked.join(taken, "seq", "left")
@@ -120,7 +127,10 @@ def add_records(
     A record on an appointment completes that appointment.
     """
     complete = text.filled(F.col("symptoms")) & text.filled(F.col("diagnosis"))
-    accepted, refused = split(commands, [(complete, "Please fill in symptoms and diagnosis")])
+    accepted, refused = split(
+        mark_user(commands, t),
+        [(complete, "Please fill in symptoms and diagnosis"), (F.col("has_user"), UNKNOWN_USER)],
+    )
     rows = stage(allocate_ids(accepted, "seq", t.medical_records, "record_id"))
     done = rows.filter(F.col("appt_id").isNotNull()).select("appt_id").distinct()
     parent = F.coalesce("appt_id", "admission_id").cast("string")

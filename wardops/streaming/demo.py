@@ -94,7 +94,7 @@ def logins_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ins become audit rows; those rows."""
     store = _run(
         spark, sf_dir, "events", "users", ["audit_logs"],
-        lambda c, t: staff.log_logins(c, AS_OF),
+        lambda c, t: staff.log_logins(c, t, AS_OF),
         batches.logins,
     )
     return _changed(store, "audit_logs")
