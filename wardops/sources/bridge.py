@@ -60,31 +60,32 @@ def _has_record() -> Column:
 
 class Bridge:
     def __init__(self, spark: SparkSession, folder: str):
-        self._src = {
-            name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in SOURCES
-        }
+        def reader(name: str):
+            return lambda: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+        # Opened on first use: a query pays only for the files it reads.
+        self._src = Tables({name: reader(name) for name in SOURCES})
 
     def over(self, **frames: DataFrame) -> "Bridge":
         """The same derivations with some source tables replaced."""
-        self._src = {**self._src, **frames}
+        self._src = self._src.replace(**frames)
         return self
 
     def _count(self, name: str) -> Column:
         return self._src[name].agg(F.count("*")).scalar()
 
-    def _visits(self) -> DataFrame:
-        """Orders with their 15-minute slot and their doctor."""
-        key = F.col("o_orderkey")
-        pick = (key * 7) % self._count("supplier")
-        doctor = FIRST_DOCTOR + F.col("k") - F.when(F.col("k") % 4 == 3, 1).otherwise(0)
-        slot = F.timestamp_add("MINUTE", ((key % 96) * 15).cast("int"), F.col("o_orderdate"))
-        return (
-            self._src["orders"]
-            .withColumn("k", pick)
-            .withColumn("doctor_id", doctor)
-            .withColumn("slot", slot)
+    def _slotted(self) -> DataFrame:
+        """Orders with their 15-minute slot."""
+        minutes = ((F.col("o_orderkey") % 96) * 15).cast("int")
+        return self._src["orders"].withColumn(
+            "slot", F.timestamp_add("MINUTE", minutes, F.col("o_orderdate"))
         )
 
+    def _doctor(self) -> Column:
+        """The doctor who sees an order."""
+        pick = (F.col("o_orderkey") * 7) % self._count("supplier")
+        return FIRST_DOCTOR + pick - F.when(pick % 4 == 3, 1).otherwise(0)
+
     def departments(self) -> DataFrame:
         return self._src["nation"].select(
             (F.col("n_nationkey") + 1).alias("dept_id"), F.col("n_name").alias("dept_name")
@@ -227,10 +228,10 @@ class Bridge:
     def appointments(self) -> DataFrame:
         key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
         done = F.col("slot") + F.expr("INTERVAL '25' MINUTE")
-        return self._visits().filter(~_inpatient(key)).select(
+        return self._slotted().filter(~_inpatient(key)).select(
             (key + 1).alias("appt_id"),
             (F.col("o_custkey") + 1).alias("patient_id"),
-            "doctor_id",
+            self._doctor().alias("doctor_id"),
             F.col("slot").alias("appt_date"),
             F.when(priority == "5-LOW", done).alias("completed_at"),
             _choose(priority, APPOINTMENT_STATES, "Completed").alias("status"),
@@ -239,10 +240,10 @@ class Bridge:
     def admissions(self) -> DataFrame:
         key, customer = F.col("o_orderkey"), F.col("o_custkey")
         closed = F.col("o_orderstatus") != "P"
-        return self._visits().filter(_inpatient(key)).select(
+        return self._slotted().filter(_inpatient(key)).select(
             (key + 1).alias("admission_id"),
             (customer + 1).alias("patient_id"),
-            "doctor_id",
+            self._doctor().alias("doctor_id"),
             ((key * 3 + customer) % self._count("part") + 1).alias("bed_id"),
             F.col("slot").alias("admission_date"),
             F.when(closed, F.col("slot") + F.expr("INTERVAL '4' DAY")).alias("discharge_date"),
@@ -261,8 +262,8 @@ class Bridge:
         )
 
     def prescriptions(self) -> DataFrame:
-        seen = self._visits().filter(_has_record()).select(
-            F.col("o_orderkey").alias("l_orderkey"), "doctor_id"
+        seen = self._src["orders"].filter(_has_record()).select(
+            F.col("o_orderkey").alias("l_orderkey"), self._doctor().alias("doctor_id")
         )
         # One row per order and line parity: collapse the lines before the join.
         return (
@@ -295,7 +296,7 @@ class Bridge:
         net = F.when((key % 7 == 4) | (key % 3 == 0), F.lit(None)).otherwise(
             F.when(key % 11 == 0, F.lit(0).cast("decimal(10,2)")).otherwise(stored)
         )
-        return self._visits().select(
+        return self._slotted().select(
             (key + 1).alias("invoice_id"),
             F.when(~_inpatient(key), key + 1).alias("appt_id"),
             F.when(_inpatient(key), key + 1).alias("admission_id"),
