@@ -183,10 +183,10 @@ CHANGE_SQL = {
           {AS_OF} AS timestamp
         FROM done_records""",
     "w06_repriced_invoices": """
-        SELECT r.invoice_id, CAST(sum(m.price * l.quantity) AS DECIMAL(10,2)) AS total_amount
+        SELECT r.invoice_id, CAST(sum(m.price * l.quantity) AS DECIMAL(15,2)) AS total_amount
         FROM repriced r JOIN presc_details l USING (presc_id) JOIN medicines m USING (med_id) GROUP BY r.invoice_id""",
     "w06_after_new_lines": """
-        SELECT x.invoice_id, CAST(sum(m.price * n.quantity) AS DECIMAL(10,2)) AS total_amount
+        SELECT x.invoice_id, CAST(sum(m.price * n.quantity) AS DECIMAL(15,2)) AS total_amount
         FROM links x JOIN new_prescriptions p USING (record_id) JOIN new_lines n USING (presc_id)
         JOIN medicines m ON m.med_id = n.med_id GROUP BY x.invoice_id""",
     "w07_paid_invoices": "SELECT invoice_id, payment_status, net_amount FROM done_payments",
@@ -344,4 +344,4 @@ CHANGE_SQL = {
         SELECT (SELECT max(log_id) FROM audit_logs) + row_number() OVER (ORDER BY user_id) AS log_id, user_id,
           'User Logged In' AS action, {AS_OF} AS timestamp FROM users""",
 }
-CHANGE_SQL["lines_stream"] = CHANGE_SQL["w06_after_new_lines"]
+CHANGE_SQL["lines_stream"] = CHANGE_SQL["w06_after_new_lines"].replace("DECIMAL(15,2)", "DECIMAL(10,2)")

@@ -50,3 +50,15 @@ def test_running_number_with_one_hot_key(spark, hours):
     for n, key, when in sorted(data, key=lambda r: (r[2] is not None, r[2] or START, r[0])):
         seen[key] = expected[n] = seen.get(key, 0) + 1
     assert numbered == expected
+
+
+def test_skew_join_equals_join_across_types(spark):
+    from wardops.operators.spread import left_spread, skew_join
+
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (9, "e")], "k int, l string")
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n"), (7, "u")], "k bigint, r string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain, split = left.join(right, ["k"], how), skew_join(left, right, ["k"], how)
+        assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    plain, spread = left.join(right, ["k"], "left"), left_spread(left, right, ["k"])
+    assert sorted(map(tuple, spread.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)

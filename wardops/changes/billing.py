@@ -96,7 +96,9 @@ def reprice_invoices(
     ``changed`` lists (presc_id, change_seq) for every inserted, updated or
     deleted line; ``t`` already holds the new lines.  The invoice takes the
     total of that one prescription, not the sum over the record, whatever its
-    payment state.  Paid inpatient invoices then free their bed.
+    payment state.  Paid inpatient invoices then free their bed.  Totals come as
+    wide as prescription totals are; applying one that the invoice column cannot
+    hold is an error.
     """
     latest = changed.groupBy("presc_id").agg(F.max("change_seq").alias("change_seq"))
     records = t.medical_records.select("record_id", "appt_id", "admission_id")
@@ -118,16 +120,15 @@ def reprice_invoices(
         )
         .select("invoice_id", "admission_id", "payment_status", F.col("last.presc_id").alias("presc_id"))
     )
-    wanted = winners.select("presc_id").distinct()
     totals = (
         t.presc_details.select("presc_id", "med_id", "quantity")
-        .join(wanted, "presc_id")
+        .join(winners.select("presc_id"), "presc_id", "left_semi")
         .join(t.medicines.select("med_id", "price"), "med_id")
         .groupBy("presc_id")
         .agg(F.sum(F.col("price") * F.col("quantity")).alias("total"))
     )
     repriced = winners.join(totals, "presc_id", "left").select(
-        "invoice_id", F.coalesce("total", F.lit(0)).cast("decimal(10,2)").alias("total_amount")
+        "invoice_id", F.coalesce("total", F.lit(0)).cast("decimal(15,2)").alias("total_amount")
     )
     released = release_beds(
         winners.withColumn("old_status", F.col("payment_status")), t, as_of, only_on_transition

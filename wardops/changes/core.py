@@ -11,6 +11,7 @@ from wardops.functions import clock
 from wardops.operators.numbering import allocate_ids
 from wardops.operators.pruning import PARTITION_COLUMNS
 from wardops.operators.rewrite import updated, with_rows, without
+from wardops.operators.spread import skew_join
 from wardops.schemas import DEFAULTS, KEYS
 from wardops.tables import Tables
 
@@ -107,7 +108,7 @@ def split(commands: DataFrame, checks: list[tuple[Column, str]]) -> tuple[DataFr
 def mark_known(commands: DataFrame, column: str, parent: DataFrame, key: str, flag: str) -> DataFrame:
     """Add a flag: does ``column`` refer to an existing parent row."""
     parents = parent.select(F.col(key).alias(column), F.lit(True).alias(flag))
-    return commands.join(parents, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return skew_join(commands, parents, [column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 UNKNOWN_USER = "Unknown user"

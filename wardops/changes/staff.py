@@ -11,6 +11,7 @@ from wardops.functions import text
 from wardops.operators.access import gate
 from wardops.operators.numbering import dense_number
 from wardops.operators.rewrite import last_per_key
+from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOCTOR, HR, LOGIN_ACTION
 from wardops.session import Stage, keep
 from wardops.tables import Tables
@@ -42,7 +43,7 @@ def add_staff(
         complete = complete & text.filled(F.col(name))
     departments = t.departments.groupBy("dept_name").agg(F.min("dept_id").alias("dept_id"))
     roles = t.roles.groupBy(F.col("role_name").alias("new_role")).agg(F.min("role_id").alias("role_id"))
-    placed = allowed.join(departments, "dept_name", "left").join(roles, "new_role", "left")
+    placed = skew_join(skew_join(allowed, departments, ["dept_name"], "left"), roles, ["new_role"], "left")
     valid, invalid = split(
         placed,
         [
@@ -98,7 +99,7 @@ def transfer_staff(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     """
     people = t.staff.groupBy(F.col("full_name").alias("staff_name")).agg(F.max("staff_id").alias("staff_id"))
     departments = t.departments.groupBy("dept_name").agg(F.min("dept_id").alias("dept_id"))
-    placed = commands.join(people, "staff_name", "left").join(departments, "dept_name", "left")
+    placed = skew_join(skew_join(commands, people, ["staff_name"], "left"), departments, ["dept_name"], "left")
     accepted, refused = split(
         mark_user(placed, t),
         [
@@ -134,7 +135,7 @@ def delete_staff(
         in_use = found if in_use is None else in_use.unionByName(found)
     in_use = in_use.distinct().withColumn("in_use", F.lit(True))
     accepted, blocked = split(
-        allowed.join(in_use, "staff_id", "left"),
+        skew_join(allowed, in_use, ["staff_id"], "left"),
         [(F.col("in_use").isNull(), "Doctor still has appointments, admissions or prescriptions")],
     )
     accepted = stage(accepted)

@@ -14,6 +14,7 @@ from wardops.operators.access import gate
 from wardops.operators.numbering import allocate_ids, dense_number
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.slots import clashing_requests
+from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOMAINS, RECEPTIONIST
 from wardops.session import Stage, keep
 from wardops.tables import Tables
@@ -174,12 +175,10 @@ def delete_appointments(
     """
     allowed, refused = gate(commands, t, [ADMIN, RECEPTIONIST], DELETE_DENIED)
     asked = allowed.select("appt_id").distinct()
-    in_use = (
-        t.medical_records.filter(F.col("appt_id").isNotNull()).select("appt_id")
-        .join(asked, "appt_id").distinct().withColumn("in_use", F.lit(True))
-    )
+    recorded = t.medical_records.filter(F.col("appt_id").isNotNull()).select("appt_id")
+    in_use = skew_join(recorded, asked, ["appt_id"]).distinct().withColumn("in_use", F.lit(True))
     accepted, blocked = split(
-        allowed.join(in_use, "appt_id", "left"),
+        skew_join(allowed, in_use, ["appt_id"], "left"),
         [(F.col("in_use").isNull(), "Appointment has medical records")],
     )
     accepted = stage(accepted)

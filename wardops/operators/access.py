@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardops.operators.spread import skew_join
 from wardops.tables import Tables
 
 
 def with_role(rows: DataFrame, t: Tables, user: str = "executor_id") -> DataFrame:
     """Add ``role_name`` of the user; NULL where user or role is unknown."""
     roles = t.users.join(t.roles, "role_id").select(F.col("user_id").alias(user), "role_name")
-    known = rows.filter(F.col(user).isNotNull()).join(roles, user, "left")
+    known = skew_join(rows.filter(F.col(user).isNotNull()), roles, [user], "left")
     # Rows without a user need no lookup, and must not meet in one join task.
     unknown = rows.filter(F.col(user).isNull()).withColumn("role_name", F.lit(None).cast("string"))
     return known.unionByName(unknown)

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock
+from wardops.operators.spread import skew_join
 from wardops.tables import Tables
 
 NO_RATE = "0.00"
@@ -35,6 +36,6 @@ def rate_or_zero(rate):
 
 def with_active_rate(rows: DataFrame, t: Tables, as_of: datetime) -> DataFrame:
     """Add ``coverage_rate`` by ``patient_id``; 0 without an active policy."""
-    return rows.join(active_policy(t, as_of), "patient_id", "left").withColumn(
+    return skew_join(rows, active_policy(t, as_of), ["patient_id"], "left").withColumn(
         "coverage_rate", rate_or_zero(F.col("coverage_rate"))
     )

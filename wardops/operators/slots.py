@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock
+from wardops.operators.spread import skew_join
 from wardops.tables import Tables
 
 LIVE_STATES = ["Scheduled", "CheckedIn", "In-Progress"]  # fixed values
@@ -49,7 +50,7 @@ def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
         .withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     )
     return (
-        asked.join(live, ["doctor_id", "cell"])
+        skew_join(asked, live, ["doctor_id", "cell"])
         .filter((F.col("last_at") > F.col("asked_at") - width) & (F.col("first_at") < F.col("asked_at") + width))
         .select(key)
         .distinct()

@@ -1,9 +1,10 @@
-"""A left join whose *right* side may hold a hot key.
+"""Joins that adaptive execution can split when one key holds much of a side.
 
-Adaptive execution splits a hot partition only on the preserved side of an
-outer join; a right side with one huge key still ends in one task.  An inner
-join may be split on either side, so matched rows come from an inner join and
-unmatched ones from an anti join against the distinct right keys.
+Two shapes defeat its skew handling.  ``skew_join`` is for a right side that is
+itself grouped or joined on the same key: no shuffle lies between, and a join
+is only split if both inputs come straight out of one.  ``left_spread`` is for
+a left join whose *right* side has the hot key: only the preserved side of an
+outer join may be split.
 """
 
 from __future__ import annotations
@@ -11,11 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left JOIN right USING (on)`` with the left side splittable.
+
+    A second key that follows from the first asks for a shuffle of the (already
+    small) right side, after which a hot left partition can be cut up.
+    """
+    follows = F.hash(*[F.col(c).cast("string") for c in on])
+    return (
+        left.withColumn("_follows", follows)
+        .join(right.withColumn("_follows", follows), [*on, "_follows"], how)
+        .drop("_follows")
+    )
+
+
 def left_spread(
     left: DataFrame, right: DataFrame, on: list[str], right_keys: DataFrame | None = None
 ) -> DataFrame:
-    """``left LEFT JOIN right USING (on)``.
+    """``left LEFT JOIN right USING (on)`` with the right side splittable.
 
+    Matched rows come from an inner join, which may be split on either side,
+    unmatched ones from an anti join against the distinct right keys.
     ``right_keys`` may name a cheaper source of the right side's keys than the
     right side itself.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardops.functions import clock
 from wardops.operators.numbering import running_number
 from wardops.operators.pruning import since
+from wardops.operators.spread import skew_join
 from wardops.schemas import LOGIN_ACTION
 from wardops.tables import Tables
 
@@ -44,7 +45,7 @@ def _accounts(t: Tables) -> DataFrame:
 def login_history(t: Tables) -> DataFrame:
     """Logins numbered per user by time, newest first."""
     people = _accounts(t).join(t.staff.select("user_id", "staff_id", "full_name"), "user_id", "left")
-    rows = _logins(t).select("log_id", "user_id", "timestamp").join(people, "user_id")
+    rows = skew_join(_logins(t).select("log_id", "user_id", "timestamp"), people, ["user_id"])
     numbered = running_number(rows, "username", "timestamp", ["log_id", "staff_id"], "login_no")
     return numbered.orderBy(F.desc("timestamp"), F.desc("log_id")).select(
         F.col("login_no").cast("bigint"), "username", "full_name", "role_name",

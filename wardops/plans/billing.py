@@ -12,7 +12,7 @@ from wardops.operators.calendar import days_of_month
 from wardops.operators.coverage import active_policy, rate_or_zero, with_active_rate
 from wardops.operators.parents import left_linked, with_visit
 from wardops.operators.pruning import since, within_days
-from wardops.operators.spread import left_spread
+from wardops.operators.spread import left_spread, skew_join
 from wardops.schemas import ACCOUNTANT, ADMIN
 from wardops.tables import Tables
 
@@ -111,7 +111,7 @@ def patient_bill(t: Tables) -> DataFrame:
     ).select("invoice_id", "invoice_date", "appt_id", "admission_id", "total_amount", "net_amount", "patient_id")
     billed = left_linked(paid, treated, "invoice_id", t.medical_records)
     rate = rate_or_zero(F.col("coverage_rate"))
-    return billed.join(covered, "patient_id", "left").select(
+    return skew_join(billed, covered, ["patient_id"], "left").select(
         "invoice_id",
         "invoice_date",
         "patient_name",
@@ -141,7 +141,7 @@ def monthly_revenue_reports(t: Tables, requests: DataFrame) -> DataFrame:
         .agg(_collected().alias("total_revenue"), F.count("invoice_id").alias("total_invoices"))
     )
     answered = permitted(REVENUE_READERS)
-    return with_role(requests, t).join(by_month, ["year", "month"], "left").select(
+    return skew_join(with_role(requests, t), by_month, ["year", "month"], "left").select(
         "executor_id",
         "year",
         "month",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock, money, text
 from wardops.operators.parents import with_visit
+from wardops.operators.spread import skew_join
 from wardops.tables import Tables
 
 WAITING = ["Scheduled", "CheckedIn", "In-Progress"]  # fixed values
@@ -58,7 +59,6 @@ def exam_queue(t: Tables, doctor_id: int | None = None) -> DataFrame:
     waiting = t.appointments.filter(F.col("status").isin(WAITING))
     if doctor_id is not None:
         waiting = waiting.filter(F.col("doctor_id") == doctor_id)
-    # Profiles hang off patients, so both meet on the one patient shuffle.
     patients = t.patients.select("patient_id", F.col("full_name").alias("patient_name")).join(
         t.patient_health_profile.select("patient_id", "blood_type", "allergies", "chronic_diseases"),
         "patient_id", "left",
@@ -68,7 +68,7 @@ def exam_queue(t: Tables, doctor_id: int | None = None) -> DataFrame:
         F.lit(" ("), text.status_label(F.col("status")), F.lit(")"),
     )
     return (
-        waiting.join(patients, "patient_id")
+        skew_join(waiting, patients, ["patient_id"])
         .select(
             "doctor_id", "appt_id", "patient_id", "patient_name", "appt_date", "status",
             "blood_type", "allergies", "chronic_diseases", label.alias("queue_label"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.operators.access import permitted, with_role
+from wardops.operators.spread import skew_join
 from wardops.schemas import ACCOUNTANT, ADMIN, DOCTOR, HR, RECEPTIONIST
 from wardops.tables import Tables
 
@@ -140,7 +141,7 @@ def resolve_logins(t: Tables, attempts: DataFrame, accept_plain: bool = False) -
         match = match | (F.col("password_hash") == F.col("password"))
     granted = F.coalesce(match, F.lit(False))
     found = ["user_id", "role_name", "full_name", "staff_id", "doctor_id"]
-    return attempts.join(accounts, "username", "left").select(
+    return skew_join(attempts, accounts, ["username"], "left").select(
         "attempt_id", "username", granted.alias("granted"),
         *[F.when(granted, F.col(c)).alias(c) for c in found],
     )
