@@ -7,8 +7,9 @@ import re
 from oracles.bridge import BRIDGE
 from oracles.changes import COMMANDS, CHANGE_SQL
 from oracles.reads import READ_SQL
+from oracles.shapes import SHAPES
 
-_CTES = {**BRIDGE, **COMMANDS}
+_CTES = {**BRIDGE, **SHAPES, **COMMANDS}
 
 
 def _mentioned(sql: str) -> list[str]:

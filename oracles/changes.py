@@ -1,6 +1,6 @@
 """SQL twins of the change rules: command batches and resulting rows."""
 
-from oracles.reads import ACTIVE, AS_OF, TODAY, net
+from oracles.shapes import AS_OF, TODAY
 
 ROLE_OF = "LEFT JOIN (SELECT user_id, role_name FROM users JOIN roles USING (role_id)) r ON r.user_id = c.executor_id"
 
@@ -14,12 +14,8 @@ COMMANDS = {
         SELECT invoice_id AS seq, invoice_id, invoice_id % 16 + 1 AS executor_id
         FROM invoices WHERE payment_status = 'Unpaid'""",
     "done_payments": f"""
-        SELECT i.invoice_id, i.appt_id, i.admission_id, 'Paid' AS payment_status,
-          CAST({net("i.total_amount", "cov.coverage_rate")} AS DECIMAL(10,2)) AS net_amount
-        FROM cmd_payments c {ROLE_OF} JOIN invoices i ON i.invoice_id = c.invoice_id
-        LEFT JOIN appointments a ON a.appt_id = i.appt_id
-        LEFT JOIN admissions d ON d.admission_id = i.admission_id
-        LEFT JOIN {ACTIVE} cov ON cov.patient_id = coalesce(a.patient_id, d.patient_id)
+        SELECT invoice_id, appt_id, admission_id, 'Paid' AS payment_status, CAST(due AS DECIMAL(10,2)) AS net_amount
+        FROM cmd_payments c {ROLE_OF} JOIN _due USING (invoice_id)
         WHERE r.role_name = 'Accountant'""",
     "cmd_bookings": """
         SELECT patient_id AS seq, patient_id % 16 + 1 AS executor_id, patient_id,

@@ -1,348 +1,199 @@
-"""SQL twins of the read queries."""
+"""SQL twins of the read queries, over the tables and the shared shapes."""
 
-AS_OF = "TIMESTAMP '1999-06-15 09:55:00'"
-TODAY = "DATE '1999-06-15'"
-AUDIT_AS_OF = "TIMESTAMP '2024-01-30 12:00:00'"
-FIRST, LAST = "DATE '1999-01-01'", "DATE '1999-06-30'"
+from oracles.shapes import AS_OF, AUDIT_AS_OF, NO_RATE, TODAY, clock, dollars, net, percent
 
 
-def net(gross: str, rate: str) -> str:
-    return f"CAST({gross} * (CAST(1 AS DECIMAL(3,2)) - coalesce({rate}, CAST(0 AS DECIMAL(3,2)))) AS DECIMAL(15,2))"
-
-
-ACTIVE = f"""(SELECT patient_id, coalesce(coverage_rate, CAST(0 AS DECIMAL(3,2))) AS coverage_rate FROM (
-    SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY expiry_date DESC, insurance_id DESC) AS rn
-    FROM insurance WHERE expiry_date >= {TODAY}) p WHERE rn = 1)"""
-
-BADGE = {
-    "Scheduled": "🟡 Scheduled", "CheckedIn": "🔵 Checked In", "In-Progress": "🟠 In Progress",
-    "Completed": "🟢 Completed", "Cancelled": "🔴 Cancelled",
-}
-
-
-def badge(column: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BADGE.items())
-    return f"CASE {column} {cases} ELSE concat('⚪ ', {column}) END"
-
-
-RESOLVED = """
-    FROM invoices i
-    LEFT JOIN appointments appt ON i.appt_id = appt.appt_id
-    LEFT JOIN patients pa ON appt.patient_id = pa.patient_id
-    LEFT JOIN admissions adm ON i.admission_id = adm.admission_id
-    LEFT JOIN patients pd ON adm.patient_id = pd.patient_id
-"""
-NAME, PATIENT = "coalesce(pa.full_name, pd.full_name)", "coalesce(pa.patient_id, pd.patient_id)"
-SETTLED = f"""
-    SELECT i.invoice_id, i.invoice_date, i.payment_status, {NAME} AS patient_name, i.total_amount, i.net_amount
-    {RESOLVED}
-    WHERE i.payment_status IN ('Paid','Refunded','Cancelled')
-      AND CAST(i.invoice_date AS DATE) BETWEEN {FIRST} AND {LAST}
-"""
-PENDING = f"""
-    SELECT i.invoice_id, i.invoice_date, {NAME} AS patient_name, {PATIENT} AS patient_id,
-      coalesce(c.coverage_rate, CAST(0 AS DECIMAL(3,2))) AS coverage_rate,
-      coalesce(i.total_amount, CAST(0 AS DECIMAL(10,2))) AS gross_amount,
-      {net("coalesce(i.total_amount, CAST(0 AS DECIMAL(10,2)))", "c.coverage_rate")} AS estimated_net,
-      CASE WHEN i.appt_id IS NOT NULL THEN 'Outpatient' ELSE 'Inpatient' END AS visit_type
-    {RESOLVED}
-    LEFT JOIN {ACTIVE} c ON c.patient_id = {PATIENT}
-    WHERE i.payment_status = 'Unpaid'
-"""
-REVENUE = "CAST(sum(coalesce(net_amount, total_amount)) AS DECIMAL(20,2))"
-IN_MONTH = "month(invoice_date) = 6 AND year(invoice_date) = 1999"
-PLACED_DOCTORS = """
-    doctors d JOIN staff s ON d.staff_id = s.staff_id JOIN departments dept ON s.dept_id = dept.dept_id"""
-BOOKED = """
-    FROM appointments a JOIN patients p ON a.patient_id = p.patient_id
-    JOIN doctors d ON a.doctor_id = d.doctor_id JOIN staff s ON d.staff_id = s.staff_id"""
-
-
-def available(slot: str, where: str = "") -> str:
+def available(slot: str) -> str:
+    """Doctors free at a slot, with the whole minutes since or until their last completion."""
     return f"""
-    SELECT d.doctor_id, s.full_name AS doctor_name, d.specialty, dept.dept_name,
-      max(a.completed_at) AS last_free_at,
-      CAST(coalesce(trunc(abs(epoch_us({slot}) - epoch_us(max(a.completed_at))) / 60000000.0), 0) AS BIGINT) AS minutes_from_slot
-    FROM {PLACED_DOCTORS}
-    LEFT JOIN appointments a ON d.doctor_id = a.doctor_id AND a.status = 'Completed'
-    WHERE d.doctor_id NOT IN (SELECT doctor_id FROM appointments
-        WHERE status IN ('Scheduled','CheckedIn','In-Progress')
-          AND appt_date > {slot} - INTERVAL 30 MINUTE AND appt_date < {slot} + INTERVAL 30 MINUTE) {where}
-    GROUP BY d.doctor_id, s.full_name, d.specialty, dept.dept_name"""
-
-
-def money(amount: str) -> str:
-    return f"format('${{:,.2f}}', CAST({amount} AS DOUBLE))"
-
-
-SCHEDULE = f"""
-    SELECT a.appt_id, s.full_name AS doctor_name, d.specialty, CAST(a.appt_date AS DATE) AS schedule_date,
-      strftime(a.appt_date, '%H:%M:%S') AS schedule_time, p.full_name AS patient_name,
-      format('{{:02d}}:{{:02d}}:{{:02d}}',
-        (hour(a.appt_date)*3600 + minute(a.appt_date)*60 + second(a.appt_date) + 1800) // 3600,
-        (hour(a.appt_date)*3600 + minute(a.appt_date)*60 + second(a.appt_date) + 1800) % 3600 // 60,
-        second(a.appt_date)) AS end_time,
-      CASE a.status WHEN 'Completed' THEN 'Examined' WHEN 'Scheduled' THEN 'Confirmed'
-        WHEN 'CheckedIn' THEN 'Checked In' WHEN 'In-Progress' THEN 'In Progress'
-        WHEN 'Cancelled' THEN 'Cancelled' ELSE 'Pending' END AS display_status
-    {BOOKED}
-    WHERE a.appt_date >= {TODAY} - INTERVAL 7 DAY"""
-
-BED_ROWS = """
-    SELECT b.bed_code, r.room_name, d.dept_name, b.status AS bed_status,
-      coalesce(p.full_name, 'Empty') AS current_patient
-    FROM beds b JOIN rooms r ON b.room_id = r.room_id JOIN departments d ON r.dept_id = d.dept_id
-    LEFT JOIN admissions adm ON b.bed_id = adm.bed_id AND adm.discharge_date IS NULL
-    LEFT JOIN patients p ON adm.patient_id = p.patient_id"""
+        SELECT doctor_id, doctor_name, specialty, dept_name, last_free_at,
+          CAST(coalesce(abs(epoch_us(last_free_at) - epoch_us({slot})) // 60000000, 0) AS BIGINT) AS minutes_from_slot
+        FROM _cards
+        LEFT JOIN (SELECT doctor_id, max(completed_at) AS last_free_at FROM appointments
+                   WHERE status = 'Completed' GROUP BY doctor_id) done USING (doctor_id)
+        ANTI JOIN (SELECT doctor_id FROM appointments
+                   WHERE status IN ('Scheduled', 'CheckedIn', 'In-Progress')
+                     AND abs(epoch_us(appt_date) - epoch_us({slot})) < 1800000000) busy USING (doctor_id)"""
 
-LOGINS = """
-    SELECT u.username, s.full_name, r.role_name, a.timestamp AS login_time, a.log_id, s.staff_id
-    FROM audit_logs a JOIN users u ON a.user_id = u.user_id
-    LEFT JOIN staff s ON u.user_id = s.user_id JOIN roles r ON u.role_id = r.role_id
-    WHERE a.action = 'User Logged In'"""
 
 READ_SQL = {
     "prescription_total": """
-        SELECT p.presc_id, CAST(coalesce(sum(m.price * pd.quantity), 0) AS DECIMAL(15,2)) AS total_amount
-        FROM prescriptions p LEFT JOIN (presc_details pd JOIN medicines m ON pd.med_id = m.med_id)
-          ON pd.presc_id = p.presc_id
-        GROUP BY p.presc_id""",
-    "net_pay": f"""
-        SELECT i.invoice_id, i.total_amount AS gross_amount,
-          coalesce(c.coverage_rate, CAST(0 AS DECIMAL(3,2))) AS coverage_rate,
-          {net("i.total_amount", "c.coverage_rate")} AS net_pay
-        FROM invoices i LEFT JOIN appointments appt ON i.appt_id = appt.appt_id
-        LEFT JOIN admissions adm ON i.admission_id = adm.admission_id
-        LEFT JOIN {ACTIVE} c ON c.patient_id = coalesce(appt.patient_id, adm.patient_id)""",
-    "receptionist_appointments": f"""
-        SELECT a.appt_id, p.full_name AS patient_name, p.phone AS patient_phone, s.full_name AS doctor_name,
-          a.appt_date, a.status AS appt_status {BOOKED}""",
+        SELECT presc_id, CAST(ifnull(sum(subtotal), 0) AS DECIMAL(15,2)) AS total_amount
+        FROM prescriptions LEFT JOIN _lines USING (presc_id) GROUP BY presc_id""",
+    "net_pay": "SELECT invoice_id, total_amount AS gross_amount, coverage_rate, due AS net_pay FROM _due",
+    "receptionist_appointments": """
+        SELECT appt_id, patient_name, phone AS patient_phone, doctor_name, appt_date, status AS appt_status FROM _diary""",
     "today_appointments": f"""
-        SELECT a.appt_id, p.full_name AS patient_name, p.phone, s.full_name AS doctor_name, a.appt_date,
-          a.status, strftime(a.appt_date, '%H:%M') AS clock, {badge("a.status")} AS badge
-        {BOOKED} WHERE CAST(a.appt_date AS DATE) = {TODAY}""",
-    "today_appointment_count": f"""
-        SELECT count(*) AS appointments {BOOKED}
-        WHERE CAST(a.appt_date AS DATE) = {TODAY} AND a.status = 'Scheduled'""",
-    "doctor_work_schedule": SCHEDULE,
-    "doctor_day_sheet": f"""
-        SELECT doctor_name, appt_id, patient_name, schedule_date AS appt_day, schedule_time AS appt_time,
-          {badge("display_status")} AS badge
-        FROM ({SCHEDULE}) x""",
-    "bed_status": BED_ROWS,
-    "bed_board": f"""
-        SELECT *, CASE bed_status WHEN 'Available' THEN 'green' WHEN 'Occupied' THEN 'red' ELSE 'orange' END AS colour
-        FROM ({BED_ROWS}) x""",
-    "bed_availability_counts": f"""
-        SELECT dept_name, count(*) AS beds_shown,
-          count(CASE WHEN bed_status = 'Available' THEN 1 END) AS beds_available
-        FROM ({BED_ROWS}) x GROUP BY dept_name""",
-    # The OR join of the bill, as two equality joins whose pairs are merged.
+        SELECT appt_id, patient_name, phone, doctor_name, appt_date, status, {clock("appt_date")} AS clock, badge
+        FROM _today""",
+    "today_appointment_count": "SELECT count(*) AS appointments FROM _today WHERE status = 'Scheduled'",
+    "doctor_work_schedule": """
+        SELECT appt_id, doctor_name, specialty, day AS schedule_date, strftime(appt_date, '%H:%M:%S') AS schedule_time,
+          patient_name, shown AS display_status,
+          format('{:02d}:{:02d}:{:02d}', (minutes + 30) // 60, (minutes + 30) % 60, second(appt_date)) AS end_time
+        FROM (SELECT *, hour(appt_date) * 60 + minute(appt_date) AS minutes FROM _ahead) x""",
+    # The badge looks the schedule's own text up again; texts it does not know get a white dot.
+    "doctor_day_sheet": """
+        SELECT doctor_name, appt_id, patient_name, day AS appt_day, strftime(appt_date, '%H:%M:%S') AS appt_time,
+          concat(ifnull(s.icon, '⚪'), ' ', ifnull(s.label, _ahead.shown)) AS badge
+        FROM _ahead LEFT JOIN _states s ON s.state = _ahead.shown""",
+    "bed_status": "SELECT * FROM _bed_list",
+    "bed_board": """
+        SELECT *, if(bed_status = 'Available', 'green', if(bed_status = 'Occupied', 'red', 'orange')) AS colour
+        FROM _bed_list""",
+    "bed_availability_counts": """
+        SELECT dept_name, count(*) AS beds_shown, count(*) FILTER (bed_status = 'Available') AS beds_available
+        FROM _bed_list GROUP BY dept_name""",
     "patient_bill": f"""
-        , pairs AS (
-          SELECT i.invoice_id, mr.record_id FROM invoices i JOIN medical_records mr ON i.appt_id = mr.appt_id
-          UNION SELECT i.invoice_id, mr.record_id FROM invoices i JOIN medical_records mr ON i.admission_id = mr.admission_id)
-        SELECT i.invoice_id, i.invoice_date, {NAME} AS patient_name, mr.diagnosis AS doctor_diagnosis,
-          m.med_name AS medicine_name, l.dosage, i.total_amount AS gross_amount,
-          coalesce(ins.coverage_rate, CAST(0 AS DECIMAL(3,2))) AS insurance_rate,
-          CAST(coalesce(i.net_amount, {net("i.total_amount", "ins.coverage_rate")}) AS DECIMAL(15,2)) AS net_pay
-        {RESOLVED}
-        LEFT JOIN insurance ins ON {PATIENT} = ins.patient_id
-        LEFT JOIN pairs ON pairs.invoice_id = i.invoice_id
-        LEFT JOIN medical_records mr ON mr.record_id = pairs.record_id
-        LEFT JOIN prescriptions pr ON mr.record_id = pr.record_id
-        LEFT JOIN presc_details l ON pr.presc_id = l.presc_id
-        LEFT JOIN medicines m ON l.med_id = m.med_id
-        WHERE i.payment_status = 'Paid'""",
+        SELECT invoice_id, invoice_date, patient_name, diagnosis AS doctor_diagnosis, med_name AS medicine_name,
+          dosage, total_amount AS gross_amount, ifnull(coverage_rate, {NO_RATE}) AS insurance_rate,
+          CAST(ifnull(net_amount, {net("total_amount", "coverage_rate")}) AS DECIMAL(15,2)) AS net_pay
+        FROM _bills
+        LEFT JOIN insurance USING (patient_id)
+        LEFT JOIN _treatments ON _treatments.kind = _bills.kind AND visit_id = ifnull(appt_id, admission_id)
+        WHERE payment_status = 'Paid'""",
     "staff_directory": """
-        SELECT s.staff_id, s.full_name, r.role_name, d.dept_name, s.phone_number, s.email
-        FROM staff s JOIN departments d ON s.dept_id = d.dept_id JOIN users u ON s.user_id = u.user_id
-        JOIN roles r ON u.role_id = r.role_id""",
+        SELECT staff_id, _people.full_name, role_name, dept_name, phone_number, email
+        FROM _people JOIN staff USING (staff_id) JOIN departments USING (dept_id)""",
     "patient_search": """
-        SELECT patient_id, full_name, dob, gender, phone, email FROM patients
-        WHERE full_name ILIKE '%00012%' OR phone ILIKE '%00012%'""",
+        SELECT * FROM patients WHERE contains(full_name, '00012') OR contains(phone, '00012')""",
     "patient_profile": """
-        SELECT 'Profile' AS data_type, patient_id, allergies, chronic_diseases, blood_type
-        FROM patient_health_profile""",
+        SELECT 'Profile' AS data_type, * EXCLUDE (profile_id) FROM patient_health_profile""",
     "patient_history": """
-        SELECT owners.patient_id, m.record_id, m.diagnosis, m.symptoms, m.doctor_notes,
-          coalesce(a.appt_date, adm.admission_date) AS event_date,
-          CASE WHEN m.appt_id IS NOT NULL THEN 'Outpatient' ELSE 'Inpatient' END AS visit_type
-        FROM medical_records m LEFT JOIN appointments a ON m.appt_id = a.appt_id
-        LEFT JOIN admissions adm ON m.admission_id = adm.admission_id
-        JOIN (SELECT record_id, patient_id FROM medical_records JOIN appointments USING (appt_id)
-              UNION SELECT record_id, patient_id FROM medical_records JOIN admissions USING (admission_id)) owners
-          ON owners.record_id = m.record_id""",
+        SELECT patient_id, record_id, diagnosis, symptoms, doctor_notes, visited_at AS event_date,
+          if(kind = 'out', 'Outpatient', 'Inpatient') AS visit_type
+        FROM medical_records JOIN _visits ON visit_id = if(kind = 'out', appt_id, admission_id)""",
     "doctors_free_on_date": f"""
-        SELECT s.staff_id, s.full_name, dept.dept_name, d.specialty FROM {PLACED_DOCTORS}
-        WHERE d.doctor_id NOT IN (SELECT doctor_id FROM appointments WHERE CAST(appt_date AS DATE) = {TODAY})""",
+        SELECT staff_id, doctor_name AS full_name, dept_name, specialty FROM _cards
+        ANTI JOIN (SELECT doctor_id FROM appointments WHERE CAST(appt_date AS DATE) = {TODAY}) t USING (doctor_id)""",
     "doctor_schedule_flow": f"""
-        SELECT doctor_id, flow_type, full_name, appt_date, strftime(appt_date, '%H:%M') AS clock FROM (
-          SELECT 'Active' AS flow_type, a.doctor_id, p.full_name, a.appt_date
-          FROM appointments a JOIN patients p ON a.patient_id = p.patient_id
-          WHERE a.status IN ('CheckedIn','In-Progress') AND a.appt_date <= {AS_OF}
-            AND a.appt_date + INTERVAL 30 MINUTE >= {AS_OF}
+        SELECT doctor_id, flow_type, patient_name AS full_name, appt_date, {clock("appt_date")} AS clock FROM (
+          SELECT *, 'Active' AS flow_type FROM _diary
+          WHERE status IN ('CheckedIn', 'In-Progress')
+            AND appt_date BETWEEN {AS_OF} - INTERVAL 30 MINUTE AND {AS_OF}
           UNION ALL
-          SELECT 'Next', doctor_id, full_name, appt_date FROM (
-            SELECT a.doctor_id, p.full_name, a.appt_date,
-              row_number() OVER (PARTITION BY a.doctor_id ORDER BY a.appt_date, a.appt_id) AS rn
-            FROM appointments a JOIN patients p ON a.patient_id = p.patient_id
-            WHERE a.status IN ('Scheduled','CheckedIn') AND a.appt_date > {AS_OF}) n WHERE rn = 1) f""",
-    "monthly_revenue": f"""
-        SELECT {REVENUE} AS total_revenue, count(invoice_id) AS total_invoices
-        FROM invoices WHERE {IN_MONTH} AND payment_status = 'Paid'""",
-    "monthly_revenue_empty_month": f"""
-        SELECT {REVENUE} AS total_revenue, count(invoice_id) AS total_invoices
-        FROM invoices WHERE month(invoice_date) = 1 AND year(invoice_date) = 2010 AND payment_status = 'Paid'""",
-    "monthly_revenue_reports": f"""
-        , totals AS (SELECT {REVENUE} AS total_revenue, count(invoice_id) AS total_invoices
-          FROM invoices WHERE {IN_MONTH} AND payment_status = 'Paid')
-        SELECT u.user_id AS executor_id, 1999 AS year, 6 AS month,
-          r.role_name IN ('Accountant','Admin') AS allowed,
-          CASE WHEN r.role_name NOT IN ('Accountant','Admin') THEN 'Permission Denied' END AS reason,
-          CASE WHEN r.role_name IN ('Accountant','Admin') THEN total_revenue END AS total_revenue,
-          CASE WHEN r.role_name IN ('Accountant','Admin') THEN total_invoices END AS total_invoices
-        FROM users u JOIN roles r ON u.role_id = r.role_id, totals""",
-    # Half-up to the cent in whole cents, because DuckDB divides decimals as doubles.
-    "monthly_average": f"""
-        , m AS (SELECT coalesce({REVENUE}, CAST(0 AS DECIMAL(20,2))) AS revenue,
-            CASE WHEN count(invoice_id) = 0 THEN 1 ELSE count(invoice_id) END AS n
-          FROM invoices WHERE {IN_MONTH} AND payment_status = 'Paid')
-        SELECT revenue, CAST(n AS BIGINT) AS invoices_collected,
+          SELECT DISTINCT ON (doctor_id) *, 'Next' FROM (
+            SELECT * FROM _diary WHERE status IN ('Scheduled', 'CheckedIn') AND appt_date > {AS_OF}
+            ORDER BY doctor_id, appt_date, appt_id) upcoming) flow""",
+    "monthly_revenue": "SELECT * FROM _month",
+    "monthly_revenue_empty_month": """
+        SELECT CAST(sum(taken) AS DECIMAL(20,2)) AS total_revenue, count(*) AS total_invoices
+        FROM _takings WHERE month = DATE '2010-01-01'""",
+    "monthly_revenue_reports": """
+        SELECT DISTINCT user_id AS executor_id, 1999 AS year, 6 AS month, reader AS allowed,
+          if(reader, NULL, 'Permission Denied') AS reason, if(reader, total_revenue, NULL) AS total_revenue,
+          if(reader, total_invoices, NULL) AS total_invoices
+        FROM (SELECT user_id, role_name IN ('Accountant', 'Admin') AS reader FROM _people) p, _month""",
+    # Half up in whole cents, because DuckDB divides decimals as doubles.
+    "monthly_average": """
+        SELECT revenue, n AS invoices_collected,
           CAST(CAST((2 * CAST(revenue * 100 AS HUGEINT) + n) // (2 * n) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(20,2)) AS average_per_invoice
-        FROM m""",
-    "daily_revenue": f"""
-        SELECT CAST(g.day AS INTEGER) AS day, CAST(coalesce(r.taken, 0) AS DECIMAL(20,2)) AS daily_revenue
-        FROM (SELECT unnest(range(1, 31)) AS day) g
-        LEFT JOIN (SELECT day(invoice_date) AS day, sum(coalesce(net_amount, total_amount)) AS taken
-          FROM invoices WHERE {IN_MONTH} AND payment_status = 'Paid' GROUP BY 1) r ON r.day = g.day""",
+        FROM (SELECT CAST(ifnull(total_revenue, 0) AS DECIMAL(20,2)) AS revenue, greatest(total_invoices, 1) AS n FROM _month) m""",
+    "daily_revenue": """
+        SELECT CAST(d AS INTEGER) AS day, CAST(ifnull(sum(taken), 0) AS DECIMAL(20,2)) AS daily_revenue
+        FROM range(1, 31) days(d)
+        LEFT JOIN _takings ON CAST(invoice_date AS DATE) = make_date(1999, 6, CAST(d AS INTEGER))
+        GROUP BY d""",
     "revenue_trend_12m": f"""
-        SELECT CAST(year(invoice_date) AS INTEGER) AS yr, CAST(month(invoice_date) AS INTEGER) AS mo, {REVENUE} AS revenue,
-          concat(month(invoice_date), '/', year(invoice_date)) AS month_label
-        FROM invoices WHERE payment_status = 'Paid' AND invoice_date >= {AS_OF} - INTERVAL 12 MONTH
-        GROUP BY year(invoice_date), month(invoice_date)""",
-    "payment_history": SETTLED,
+        SELECT CAST(year(month) AS INTEGER) AS yr, CAST(month(month) AS INTEGER) AS mo,
+          CAST(sum(taken) AS DECIMAL(20,2)) AS revenue, concat(month(month), '/', year(month)) AS month_label
+        FROM _takings WHERE invoice_date >= {AS_OF} - INTERVAL 12 MONTH GROUP BY month""",
+    "payment_history": """
+        SELECT invoice_id, invoice_date, payment_status, patient_name, total_amount, net_amount FROM _settled""",
     "period_net_revenue": f"""
-        SELECT total_net_revenue, {money("total_net_revenue")} AS total_display FROM (
-          SELECT CAST(coalesce(sum(coalesce(nullif(net_amount, 0), total_amount, 0)), 0) AS DECIMAL(20,2)) AS total_net_revenue
-          FROM invoices WHERE payment_status = 'Paid'
-            AND CAST(invoice_date AS DATE) BETWEEN {FIRST} AND {LAST}) x""",
-    "refundable_invoices": f"""
-        SELECT invoice_id, concat('#', CAST(invoice_id AS VARCHAR), ' — ', coalesce(patient_name, 'None')) AS label
-        FROM ({SETTLED}) x WHERE payment_status = 'Paid'""",
-    "pending_invoices": PENDING,
+        SELECT total_net_revenue, {dollars("total_net_revenue")} AS total_display FROM (
+          SELECT CAST(sum(if(net_amount > 0, net_amount, total_amount)) AS DECIMAL(20,2)) AS total_net_revenue
+          FROM _settled WHERE payment_status = 'Paid') x""",
+    "refundable_invoices": """
+        SELECT invoice_id, concat('#', invoice_id, ' — ', patient_name) AS label
+        FROM _settled WHERE payment_status = 'Paid'""",
+    "pending_invoices": """
+        SELECT invoice_id, invoice_date, patient_name, patient_id, coverage_rate, total_amount AS gross_amount,
+          due AS estimated_net, if(kind = 'out', 'Outpatient', 'Inpatient') AS visit_type
+        FROM _due WHERE payment_status = 'Unpaid'""",
     "pending_invoice_cards": f"""
         SELECT invoice_id,
-          concat('Invoice #', CAST(invoice_id AS VARCHAR), ' — ', coalesce(patient_name, 'N/A'), ' — ', visit_type) AS title,
-          {money("gross_amount")} AS gross_display,
-          concat(CAST(CAST(coverage_rate * 100 AS INTEGER) AS VARCHAR), '%') AS coverage_display,
-          {money("estimated_net")} AS net_display
-        FROM ({PENDING}) x""",
+          concat('Invoice #', invoice_id, ' — ', patient_name, ' — ', if(kind = 'out', 'Outpatient', 'Inpatient')) AS title,
+          {dollars("total_amount")} AS gross_display, {percent("coverage_rate")} AS coverage_display,
+          {dollars("due")} AS net_display
+        FROM _due WHERE payment_status = 'Unpaid'""",
     "invoice_line_items": """
-        SELECT i.invoice_id, m.med_name, l.dosage, l.quantity, m.price,
-          CAST(m.price * l.quantity AS DECIMAL(15,2)) AS subtotal
-        FROM invoices i JOIN medical_records mr ON mr.appt_id = i.appt_id
-        JOIN prescriptions pr ON mr.record_id = pr.record_id JOIN presc_details l ON pr.presc_id = l.presc_id
-        JOIN medicines m ON l.med_id = m.med_id
-        WHERE i.payment_status = 'Unpaid'""",
+        SELECT invoice_id, med_name, dosage, quantity, price, subtotal
+        FROM _lines JOIN prescriptions USING (presc_id) JOIN medical_records USING (record_id)
+        JOIN invoices USING (appt_id) WHERE payment_status = 'Unpaid'""",
     "active_coverage": f"""
-        SELECT p.patient_id, coalesce(c.coverage_rate, CAST(0 AS DECIMAL(3,2))) AS coverage_rate
-        FROM patients p LEFT JOIN {ACTIVE} c ON c.patient_id = p.patient_id""",
+        SELECT patient_id, coalesce(rate, {NO_RATE}) AS coverage_rate FROM patients LEFT JOIN _rates USING (patient_id)""",
     "insurance_status": f"""
-        SELECT i.insurance_id, p.full_name AS patient_name, p.patient_id, i.provider, i.coverage_rate, i.expiry_date,
-          CASE WHEN i.expiry_date IS NULL OR i.expiry_date < {TODAY} THEN 'Expired' ELSE 'Active' END AS policy_state,
-          concat(CAST(CAST(i.coverage_rate * 100 AS INTEGER) AS VARCHAR), '%') AS coverage_display,
-          coalesce(CAST(i.expiry_date AS VARCHAR), 'None') AS expiry_display
-        FROM insurance i JOIN patients p ON i.patient_id = p.patient_id""",
+        SELECT insurance_id, full_name AS patient_name, patient_id, provider, coverage_rate, expiry_date,
+          if(expiry_date >= {TODAY}, 'Active', 'Expired') AS policy_state,
+          {percent("coverage_rate")} AS coverage_display, CAST(expiry_date AS VARCHAR) AS expiry_display
+        FROM insurance JOIN patients USING (patient_id)""",
     "staff_by_department": """
-        SELECT s.staff_id, s.full_name, s.phone_number, d.dept_name
-        FROM staff s JOIN departments d ON s.dept_id = d.dept_id""",
+        SELECT staff_id, full_name, phone_number, dept_name FROM staff JOIN departments USING (dept_id)""",
     "staff_activity": """
-        SELECT u.username, count(a.log_id) AS total_actions, max(a.timestamp) AS last_activity
-        FROM audit_logs a JOIN users u ON a.user_id = u.user_id GROUP BY u.username""",
-    "doctor_appointment_counts": f"""
-        SELECT d.doctor_id, s.full_name, d.specialty, dept.dept_name, s.phone_number, s.email,
-          count(a.appt_id) AS total_appointments
-        FROM {PLACED_DOCTORS} LEFT JOIN appointments a ON d.doctor_id = a.doctor_id
-        GROUP BY d.doctor_id, s.full_name, d.specialty, dept.dept_name, s.phone_number, s.email""",
-    "staff_accounts": """
-        SELECT s.full_name, u.user_id, u.username FROM staff s JOIN users u ON s.user_id = u.user_id""",
+        SELECT username, total_actions, last_activity
+        FROM users JOIN (SELECT user_id, count(*) AS total_actions, max(timestamp) AS last_activity
+                         FROM audit_logs GROUP BY user_id) acted USING (user_id)""",
+    "doctor_appointment_counts": """
+        SELECT doctor_id, doctor_name AS full_name, specialty, dept_name, phone_number, email,
+          ifnull(n, 0) AS total_appointments
+        FROM _cards LEFT JOIN (SELECT doctor_id, count(*) AS n FROM appointments GROUP BY doctor_id) b USING (doctor_id)""",
+    "staff_accounts": "SELECT full_name, user_id, username FROM _people WHERE staff_id IS NOT NULL",
     "users_by_role": """
-        SELECT r.role_name, count(u.user_id) AS user_count
-        FROM roles r LEFT JOIN users u ON r.role_id = u.role_id GROUP BY r.role_name""",
+        SELECT role_name, ifnull(n, 0) AS user_count
+        FROM roles LEFT JOIN (SELECT role_id, count(*) AS n FROM users GROUP BY role_id) held USING (role_id)""",
     "actions_last_24h": f"""
-        SELECT count(*) AS action_count FROM audit_logs WHERE timestamp > {AUDIT_AS_OF} - INTERVAL 24 HOUR""",
-    "login_history": f"""
-        SELECT row_number() OVER (PARTITION BY username ORDER BY login_time, log_id, staff_id) AS login_no,
-          username, full_name, role_name, login_time FROM ({LOGINS}) x""",
-    "login_frequency": f"SELECT username, count(*) AS total_logins FROM ({LOGINS}) x GROUP BY username",
+        SELECT count(*) AS action_count FROM audit_logs WHERE {AUDIT_AS_OF} - timestamp < INTERVAL 24 HOUR""",
+    "login_history": """
+        SELECT row_number() OVER (PARTITION BY username ORDER BY login_time, log_id) AS login_no,
+          username, full_name, role_name, login_time FROM _logins""",
+    "login_frequency": "SELECT username, count(*) AS total_logins FROM _logins GROUP BY username",
     "audit_latest": """
-        SELECT a.log_id, u.username, a.action, a.timestamp
-        FROM audit_logs a JOIN users u ON a.user_id = u.user_id
-        ORDER BY a.timestamp DESC, a.log_id DESC LIMIT 100""",
-    "home_kpis": f"""
-        SELECT (SELECT count(*) FROM patients) AS patients,
-          (SELECT count(*) FROM appointments WHERE CAST(appt_date AS DATE) = {TODAY}) AS appointments_today,
+        SELECT log_id, username, action, timestamp FROM audit_logs JOIN users USING (user_id)
+        ORDER BY timestamp DESC, log_id DESC LIMIT 100""",
+    "home_kpis": """
+        SELECT (SELECT count(*) FROM patients) AS patients, (SELECT count(*) FROM _today) AS appointments_today,
           (SELECT count(*) FROM beds WHERE status = 'Available') AS available_beds,
           (SELECT count(*) FROM invoices WHERE payment_status = 'Unpaid') AS unpaid_invoices""",
     "slot_available_doctors": available(AS_OF),
-    "referral_candidates": available(
-        f"({AS_OF} + INTERVAL 5 MINUTE)", "AND d.doctor_id <> 1000001"
-    ) + " ORDER BY minutes_from_slot, d.doctor_id LIMIT 10",
-    "doctor_patients_today": f"""
-        SELECT a.doctor_id, a.appt_id, p.patient_id, p.full_name AS patient_name
-        FROM appointments a JOIN patients p ON a.patient_id = p.patient_id
-        WHERE a.status IN ('CheckedIn','In-Progress','Completed') AND CAST(a.appt_date AS DATE) = {TODAY}""",
+    "referral_candidates": f"""
+        SELECT * FROM ({available(f"({AS_OF} + INTERVAL 5 MINUTE)")}) free
+        WHERE doctor_id <> 1000001 ORDER BY minutes_from_slot, doctor_id LIMIT 10""",
+    "doctor_patients_today": """
+        SELECT doctor_id, appt_id, patient_id, patient_name FROM _today
+        WHERE status IN ('CheckedIn', 'In-Progress', 'Completed')""",
     "patient_today_appointments": f"""
-        SELECT a.patient_id, a.appt_id, s.full_name AS doctor_name, d.specialty, a.appt_date, a.status,
-          strftime(a.appt_date, '%H:%M') AS clock, {badge("a.status")} AS badge
-        FROM appointments a JOIN doctors d ON a.doctor_id = d.doctor_id JOIN staff s ON d.staff_id = s.staff_id
-        WHERE CAST(a.appt_date AS DATE) = {TODAY}""",
-    "exam_queue": """
-        SELECT a.doctor_id, a.appt_id, p.patient_id, p.full_name AS patient_name, a.appt_date, a.status,
-          h.blood_type, h.allergies, h.chronic_diseases,
-          concat(p.full_name, ' — ', strftime(a.appt_date, '%H:%M'), ' (',
-            CASE a.status WHEN 'CheckedIn' THEN 'Checked In' WHEN 'In-Progress' THEN 'In Progress' ELSE a.status END,
-            ')') AS queue_label
-        FROM appointments a JOIN patients p ON a.patient_id = p.patient_id
-        LEFT JOIN patient_health_profile h ON p.patient_id = h.patient_id
-        WHERE a.status IN ('Scheduled','CheckedIn','In-Progress')""",
+        SELECT patient_id, appt_id, doctor_name, specialty, appt_date, status, {clock("appt_date")} AS clock, badge
+        FROM _today""",
+    "exam_queue": f"""
+        SELECT doctor_id, appt_id, patient_id, patient_name, appt_date, status, blood_type, allergies, chronic_diseases,
+          concat(patient_name, ' — ', {clock("appt_date")}, ' (', label, ')') AS queue_label
+        FROM _waiting""",
     "exam_profile_cards": """
-        SELECT a.appt_id, coalesce(nullif(h.blood_type, ''), '—') AS blood_type,
-          coalesce(nullif(h.allergies, ''), '—') AS allergies,
-          coalesce(nullif(h.chronic_diseases, ''), '—') AS chronic_diseases
-        FROM appointments a JOIN patients p ON a.patient_id = p.patient_id
-        LEFT JOIN patient_health_profile h ON p.patient_id = h.patient_id
-        WHERE a.status IN ('Scheduled','CheckedIn','In-Progress')""",
-    "doctor_profile": f"""
-        SELECT d.doctor_id, s.staff_id, s.full_name, d.specialty, dept.dept_name FROM {PLACED_DOCTORS}""",
+        SELECT appt_id, ifnull(blood_type, '—') AS blood_type, ifnull(allergies, '—') AS allergies,
+          ifnull(chronic_diseases, '—') AS chronic_diseases
+        FROM _waiting""",
+    "doctor_profile": "SELECT doctor_id, staff_id, doctor_name AS full_name, specialty, dept_name FROM _cards",
     "medicine_catalogue": f"""
         SELECT med_id, med_name, price, stock,
-          concat(med_name, ' (stock: ', CAST(stock AS VARCHAR), ', price: ', {money("price")}, ')') AS label
+          concat(med_name, ' (stock: ', stock, ', price: ', {dollars("price")}, ')') AS label
         FROM medicines""",
-    "prescription_items": """
-        SELECT l.presc_id, m.med_name, l.dosage, l.quantity
-        FROM presc_details l JOIN medicines m ON l.med_id = m.med_id""",
+    "prescription_items": "SELECT presc_id, med_name, dosage, quantity FROM _lines",
     "reference_lists": """
         SELECT 'patients' AS list_name, patient_id AS entry_id, full_name AS entry_name, phone FROM patients
         UNION ALL SELECT 'departments', CAST(dept_id AS BIGINT), dept_name, NULL FROM departments
         UNION ALL SELECT 'roles', CAST(role_id AS BIGINT), role_name, NULL FROM roles""",
     "resolve_logins": """
-        , attempts AS (
-          SELECT event_id+1 AS attempt_id, concat('user_', CAST(user_id+1 AS VARCHAR)) AS username,
-            CASE WHEN event_type = 'error' THEN 'wrong' ELSE concat('secret_', CAST(user_id+1 AS VARCHAR)) END AS password
-          FROM events)
-        SELECT t.attempt_id, t.username, u.user_id IS NOT NULL AS granted, u.user_id, r.role_name,
-          CASE WHEN u.user_id IS NOT NULL THEN coalesce(s.full_name, u.username) END AS full_name, s.staff_id,
-          CASE WHEN r.role_name = 'Doctor' THEN d.doctor_id END AS doctor_id
-        FROM attempts t LEFT JOIN users u ON u.username = t.username AND u.password_hash = sha256(t.password)
-        LEFT JOIN roles r ON u.role_id = r.role_id LEFT JOIN staff s ON s.user_id = u.user_id
-        LEFT JOIN doctors d ON d.staff_id = s.staff_id""",
+        SELECT event_id + 1 AS attempt_id, username, granted, if(granted, p.user_id, NULL) AS user_id,
+          if(granted, role_name, NULL) AS role_name, if(granted, ifnull(full_name, username), NULL) AS full_name,
+          if(granted, staff_id, NULL) AS staff_id, if(granted AND role_name = 'Doctor', doctor_id, NULL) AS doctor_id
+        FROM (SELECT event_id, events.user_id + 1 AS user_id, event_type <> 'error' AS granted FROM events) e
+        JOIN _people p ON p.user_id = e.user_id LEFT JOIN doctors USING (staff_id)""",
     "executor_roles": """
-        SELECT x.executor_id, r.role_name, coalesce(r.role_name = 'Accountant', FALSE) AS may_take_payment,
-          coalesce(r.role_name IN ('Accountant','Admin'), FALSE) AS may_read_revenue,
-          coalesce(r.role_name IN ('Admin','Human Resource (HR)'), FALSE) AS may_manage_staff,
-          coalesce(r.role_name IN ('Admin','Receptionist'), FALSE) AS may_delete_appointment
+        SELECT executor_id, role_name, ifnull(role_name = 'Accountant', FALSE) AS may_take_payment,
+          ifnull(role_name IN ('Accountant', 'Admin'), FALSE) AS may_read_revenue,
+          ifnull(role_name IN ('Admin', 'Human Resource (HR)'), FALSE) AS may_manage_staff,
+          ifnull(role_name IN ('Admin', 'Receptionist'), FALSE) AS may_delete_appointment
         FROM (SELECT DISTINCT user_id AS executor_id FROM audit_logs) x
-        LEFT JOIN users u ON u.user_id = x.executor_id LEFT JOIN roles r ON u.role_id = r.role_id""",
+        LEFT JOIN (SELECT DISTINCT user_id, role_name FROM _people) p ON p.user_id = executor_id""",
 }
