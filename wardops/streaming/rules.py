@@ -24,7 +24,11 @@ def start_rule(
     """
     def apply(batch: DataFrame, epoch: int) -> None:
         before = store.current(before=epoch)
-        store.append(epoch, rule(batch, before), before)
+        batch.persist()  # a rule has several outputs; do not read the source for each
+        try:
+            store.append(epoch, rule(batch, before), before)
+        finally:
+            batch.unpersist()
 
     return (
         commands.writeStream.foreachBatch(apply)
