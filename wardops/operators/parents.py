@@ -149,22 +149,23 @@ def left_linked(left: DataFrame, right: DataFrame, key: str, right_parents: Data
     side may hold a hot parent, so matched and unmatched rows are joined apart
     (see ``left_spread``); ``key`` identifies left rows.
     """
-    matched = linked_pairs(left, right)
+    # Both single-parent joins read one shuffle of ``left``, so filter it alike.
+    single = _single_parent(left, key).filter(F.col("visit_id").isNotNull())
+    same_visit = (F.col("visit_kind") == F.col("right_kind")) & (F.col("visit_id") == F.col("right_id"))
     parents = (
         _per_parent(right_parents.select("appt_id", "admission_id"))
         .select(F.col("visit_kind").alias("right_kind"), F.col("visit_id").alias("right_id"))
         .distinct()
     )
-    alone = (
-        _single_parent(left, key)
-        .join(parents, (F.col("visit_kind") == F.col("right_kind")) & (F.col("visit_id") == F.col("right_id")), "left_anti")
-        .drop(*VISIT_KEY)
-    )
+    matched = single.join(_keyed(right), same_visit).drop(*VISIT_KEY, *_LOOKUP)
+    unmatched = single.join(parents, same_visit, "left_anti").drop(*VISIT_KEY)
     both = left.filter(_both_set())
-    both_matched = linked_pairs(both.select(key, "appt_id", "admission_id"), right_parents).select(key).distinct()
+    both_matched = linked_pairs(both, right)
+    found = linked_pairs(both.select(key, "appt_id", "admission_id"), right_parents).select(key).distinct()
+    both_unmatched = both.join(found, key, "left_anti")
     missing = [
         F.lit(None).cast(f.dataType).alias(f.name)
         for f in right.schema.fields if f.name not in ("appt_id", "admission_id")
     ]
-    unmatched = alone.unionByName(both.join(both_matched, key, "left_anti"))
-    return matched.unionByName(unmatched.select("*", *missing))
+    alone = unmatched.unionByName(both_unmatched).select("*", *missing)
+    return matched.unionByName(both_matched).unionByName(alone)
