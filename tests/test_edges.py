@@ -277,3 +277,33 @@ def test_slot_clash_band(spark, gap, clash):
 
         asked = spark.createDataFrame([(1, 10, when + timedelta(minutes=gap))], "seq bigint, doctor_id bigint, appt_date timestamp_ntz")
         assert (clashing_requests(asked, t, "seq").count() == 1) is clash
+
+
+def test_session_time_zone_does_not_matter(spark):
+    """02:30 does not exist in New York on this day; zone-less times keep it."""
+    night = at("2024-03-10 02:30:00")
+    t = tables(
+        spark, **DOCTORS,
+        appointments=[
+            (1, 1, 10, night, None, "Scheduled"),
+            (2, 1, 20, at("2024-03-09 00:00:00"), at("2024-03-10 00:30:00"), "Completed"),
+        ],
+        audit_logs=[(1, None, "a", night), (2, None, "b", datetime(2024, 3, 10, 2, 30, 0, 500))],
+    )
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows(scheduling.today_appointments(t, night), "clock") == ["02:30"]
+        assert rows(scheduling.doctor_work_schedule(t, night), "schedule_time", "end_time") == [
+            ("00:00:00", "00:30:00"), ("02:30:00", "03:00:00"),
+        ]
+        listed = dict(rows(scheduling.slot_available_doctors(t, at("2024-03-10 04:00:00")), "doctor_id", "minutes_from_slot"))
+        assert listed == {10: 0, 20: 210, 30: 0}
+        assert rows(scheduling.slot_available_doctors(t, at("2024-03-10 02:59:59")), "doctor_id") == [20, 30]
+        asked = spark.createDataFrame([(1, 10, at("2024-03-10 02:01:00")), (2, 10, at("2024-03-10 03:00:00"))], "seq bigint, doctor_id bigint, appt_date timestamp_ntz")
+        from wardops.operators.slots import clashing_requests
+
+        assert rows(clashing_requests(asked, t, "seq")) == [(1,)]
+        assert "'2024-03-10 02:30:00.000500'" in insert_statements("audit_logs", t.audit_logs).filter("statement LIKE '%(2,%'").first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

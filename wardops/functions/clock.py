@@ -1,7 +1,8 @@
 """Time expressions.  "Now" is always an argument, never the wall clock.
 
-Instants are zone-less (``timestamp_ntz``) so that results do not depend on the
-session time zone.  Calendar predicates are written as half-open ranges, which
+Instants are zone-less (``timestamp_ntz``).  Functions that would pass through
+the session time zone (``date_format``, ``unix_seconds``, ``timestamp_diff``)
+are avoided, because a clock change there would move or stretch times.  Calendar predicates are written as half-open ranges, which
 Parquet can use to skip data; ``year(c) = y AND month(c) = m`` cannot.
 """
 
@@ -12,6 +13,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, functions as F
 
 VISIT_MINUTES = 30  # fixed value: length of one visit
+MICROS = 1_000_000
 
 
 def instant(value: datetime) -> Column:
@@ -58,16 +60,31 @@ def minutes_from(stamp: Column, minutes: int) -> Column:
     return stamp + F.expr(f"INTERVAL '{int(minutes)}' MINUTE")
 
 
+def hours(stamp: Column) -> Column:
+    """Whole hours since 1970."""
+    return F.unix_date(F.to_date(stamp)).cast("bigint") * 24 + F.hour(stamp)
+
+
+def microseconds(stamp: Column) -> Column:
+    """Microseconds since 1970."""
+    fraction = (F.date_part(F.lit("SECOND"), stamp) * MICROS).cast("bigint")
+    return (hours(stamp) * 3600 + F.minute(stamp) * 60) * MICROS + fraction
+
+
 def time_text(stamp: Column) -> Column:
-    return F.date_format(stamp, "HH:mm:ss")
+    return F.substring(stamp.cast("string"), 12, 8)
 
 
 def clock_text(stamp: Column) -> Column:
-    return F.date_format(stamp, "HH:mm")
+    return F.substring(stamp.cast("string"), 12, 5)
 
 
 def day_clock_text(stamp: Column) -> Column:
-    return F.date_format(stamp, "dd/MM/yyyy HH:mm")
+    text = stamp.cast("string")
+    return F.concat(
+        F.substring(text, 9, 2), F.lit("/"), F.substring(text, 6, 2), F.lit("/"),
+        F.substring(text, 1, 4), F.substring(text, 11, 6),
+    )
 
 
 def visit_end_text(stamp: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardops.functions import clock
+
 LOW_BITS = 16
 HIGH_BITS = 38
 _MIN_BIGINT = -(2**63)
@@ -34,9 +36,7 @@ def running_number(
     Buckets are clock hours, so a hot key is spread over its hours; per key at
     most one count per hour is summed up.  ``key`` must not be NULL.
     """
-    hour = F.coalesce(
-        F.floor(F.unix_seconds(F.col(stamp).cast("timestamp")) / 3600), F.lit(_MIN_BIGINT)
-    )
+    hour = F.coalesce(clock.hours(F.col(stamp)), F.lit(_MIN_BIGINT))
     bucketed = rows.withColumn("_bucket", hour)
     counts = bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("n"))
     starts = _starts(counts, [key], "_bucket").select(key, "_bucket", "start")

@@ -24,10 +24,6 @@ def busy_doctors(t: Tables, slot: datetime) -> DataFrame:
     )
 
 
-def _seconds(stamp):
-    return F.unix_seconds(stamp.cast("timestamp"))
-
-
 def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
     """Distinct ``key`` of requests (key, doctor_id, appt_date) that clash.
 
@@ -36,8 +32,8 @@ def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
     clashes, of the cell before only the last can, of the cell after only the
     first.  So a request meets at most three rows, however busy the doctor is.
     """
-    width = clock.VISIT_MINUTES * 60
-    taken_at = _seconds(F.col("appt_date"))
+    width = clock.VISIT_MINUTES * 60 * clock.MICROS
+    taken_at = clock.microseconds(F.col("appt_date"))
     live = (
         t.appointments.filter(F.col("status").isin(LIVE_STATES))
         .filter(F.col("doctor_id").isNotNull() & F.col("appt_date").isNotNull())
@@ -46,7 +42,7 @@ def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
     )
     cell = F.floor(F.col("asked_at") / width)
     asked = (
-        requests.select(key, "doctor_id", _seconds(F.col("appt_date")).alias("asked_at"))
+        requests.select(key, "doctor_id", clock.microseconds(F.col("appt_date")).alias("asked_at"))
         .withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     )
     return (

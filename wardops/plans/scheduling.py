@@ -160,7 +160,8 @@ def _available(t: Tables, slot: datetime, other_than: int | None = None) -> Data
         .groupBy("doctor_id")
         .agg(F.max("completed_at").alias("last_free_at"))
     )
-    away = F.abs(F.timestamp_diff("MINUTE", F.col("last_free_at"), clock.instant(slot)))
+    apart = F.abs(clock.microseconds(F.col("last_free_at")) - clock.microseconds(clock.instant(slot)))
+    away = F.floor(apart / (60 * clock.MICROS))
     return (
         not_in(doctors, "doctor_id", busy_doctors(t, slot))
         .join(completions, "doctor_id", "left")

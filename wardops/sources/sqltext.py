@@ -12,9 +12,8 @@ def _literal(field: T.StructField) -> Column:
         text = column.cast("string")
     else:
         if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
-            whole = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-            fraction = F.date_format(column, ".SSSSSS")
-            value = F.when(fraction == ".000000", whole).otherwise(F.concat(whole, fraction))
+            value = column.cast("string")
+            value = F.when(F.length(value) == 19, value).otherwise(F.rpad(value, 26, "0"))
         else:
             value = column.cast("string")
         doubled = F.replace(value, F.lit("'"), F.lit("''"))
