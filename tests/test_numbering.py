@@ -34,18 +34,20 @@ def test_allocated_ids_follow_the_highest(spark):
     assert allocate_ids(new, "seq", old.limit(0), "id").selectExpr("min(id)").first()[0] == 1
 
 
-@pytest.mark.parametrize("hours", [1, 24 * 400])
-def test_running_number_with_one_hot_key(spark, hours):
+@pytest.mark.parametrize("hours, bucket_rows", [(1, 10**6), (24 * 400, 10**6), (1, 20), (0, 20), (30, 15)])
+def test_running_number_with_one_hot_key(spark, hours, bucket_rows):
     """A third of the rows belong to one key; ties and missing times occur."""
     pick = random.Random(hours)
     data = []
     for n in range(3000):
         key = "hot" if n % 3 == 0 else f"user{pick.randrange(40)}"
-        when = None if pick.random() < 0.02 else START + timedelta(minutes=pick.randrange(60 * hours))
-        data.append((n, key, when))
+        when = None if pick.random() < 0.02 else START + timedelta(
+            minutes=pick.randrange(60 * hours + 1), microseconds=pick.randrange(3) * 500_000
+        )
+        data.append((n * 70_000, key, when))
     pick.shuffle(data)
     rows = spark.createDataFrame(data, "id bigint, key string, at timestamp_ntz")
-    numbered = {r.id: r.n for r in running_number(rows, "key", "at", ["id"], "n").collect()}
+    numbered = {r.id: r.n for r in running_number(rows, "key", "at", ["id"], "n", bucket_rows).collect()}
     expected, seen = {}, {}
     for n, key, when in sorted(data, key=lambda r: (r[2] is not None, r[2] or START, r[0])):
         seen[key] = expected[n] = seen.get(key, 0) + 1

@@ -15,38 +15,61 @@ from wardops.functions import clock
 
 LOW_BITS = 16
 HIGH_BITS = 38
+BUCKET_ROWS = 1_000_000
 _MIN_BIGINT = -(2**63)
 
 
-def _starts(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """Rows before each bucket, from (keys, bucket, n)."""
+def _starts(counts: DataFrame, keys: list[str], *bucket: str) -> DataFrame:
+    """Rows of the same ``keys`` before each bucket, from (keys, bucket, n)."""
     before = (
         Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(bucket)
+        .orderBy(*bucket)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def running_number(
-    rows: DataFrame, key: str, stamp: str, ties: list[str], name: str
+    rows: DataFrame, key: str, stamp: str, ties: list[str], name: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Number the rows of each ``key`` by ``stamp`` then ``ties``, from 1.
 
-    Buckets are clock hours, so a hot key is spread over its hours; per key at
-    most one count per hour is summed up.  ``key`` must not be NULL.
+    Buckets are clock hours, so a hot key is spread over its hours.  An hour of
+    one key with more than ``bucket_rows`` rows is cut again, by second,
+    microsecond and ranges of the first tie (a bigint), so even one instant may
+    hold any number of rows.  ``key`` must not be NULL.
     """
     hour = F.coalesce(clock.hours(F.col(stamp)), F.lit(_MIN_BIGINT))
-    bucketed = rows.withColumn("_bucket", hour)
-    counts = bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("n"))
-    starts = _starts(counts, [key], "_bucket").select(key, "_bucket", "start")
-    within = Window.partitionBy(key, "_bucket").orderBy(stamp, *ties)
-    return (
-        bucketed.withColumn("_place", F.row_number().over(within))
-        .join(starts, [key, "_bucket"])
-        .withColumn(name, F.col("_place") + F.col("start"))
-        .drop("_bucket", "_place", "start")
+    # The extra key lets adaptive execution split a hot hour (see skew_join).
+    follows = F.hash(F.col(key).cast("string"), F.col("_hour"))
+    at = [key, "_hour", "_follows"]
+    bucketed = rows.withColumn("_hour", hour).withColumn("_follows", follows)
+    hours = _starts(bucketed.groupBy(*at).agg(F.count("*").alias("n")), [key], "_hour")
+    place = F.row_number()
+    order = [stamp, *ties]
+
+    ordinary = bucketed.join(hours.filter(F.col("n") <= bucket_rows), at).withColumn(
+        name, place.over(Window.partitionBy(*at).orderBy(*order)) + F.col("start")
+    )
+    fine = [*at, "_second", "_micro", "_range"]
+    crowded = (
+        bucketed.join(hours.filter(F.col("n") > bucket_rows).drop("n"), at)
+        .withColumn("_second", F.coalesce(F.minute(stamp) * 60 + F.second(stamp), F.lit(0)))
+        .withColumn("_micro", F.coalesce(clock.microseconds(F.col(stamp)) % clock.MICROS, F.lit(0)))
+        .withColumn("_range", F.shiftright(F.col(ties[0]).cast("bigint"), LOW_BITS))
+    )
+    counts = crowded.groupBy(*fine).agg(F.count("*").alias("n"))
+    seconds = _starts(
+        counts.groupBy(*at, "_second").agg(F.sum("n").alias("n")), at, "_second"
+    ).select(*at, "_second", F.col("start").alias("_earlier"))
+    parts = _starts(counts, [*at, "_second"], "_micro", "_range").select(*fine, F.col("start").alias("_before"))
+    cut = (
+        crowded.withColumn("_place", place.over(Window.partitionBy(*fine).orderBy(*order)))
+        .join(parts.join(seconds, [*at, "_second"]), fine)
+        .withColumn(name, F.col("_place") + F.col("start") + F.col("_earlier") + F.col("_before"))
     )
+    result = [*rows.columns, name]
+    return ordinary.select(*result).unionByName(cut.select(*result))
 
 
 def dense_number(rows: DataFrame, sequence: str, name: str) -> DataFrame:
