@@ -31,6 +31,18 @@ from wardops.streaming.activity import actions_24h_stream  # noqa: E402
 from wardops.streaming import demo  # noqa: E402
 from wardops.tables import Tables  # noqa: E402
 
+try:  # the corpus operators are an optional part
+    import corpus_pipeline  # noqa: E402
+    from wardops.llm import registry  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "wardops.llm")):
+        raise
+    CORPUS, CORPUS_SQL = {}, {}
+else:
+    CORPUS, CORPUS_SQL = {**registry.QUERIES, "pipeline": corpus_pipeline.run}, dict(registry.SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        CORPUS_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 AS_OF = datetime(1999, 6, 15, 9, 55)
 AUDIT_AS_OF = datetime(2024, 1, 30, 12)
 FIRST, LAST = date(1999, 1, 1), date(1999, 6, 30)
@@ -253,8 +265,8 @@ def _over_bridge(run: Callable[[Tables], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     plain = {name: _over_bridge(run) for name, run in {**READS, **CHANGES}.items()}
-    return {**plain, **STREAMS}
+    return {**plain, **STREAMS, **CORPUS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return all_sql()
+    return {**all_sql(), **CORPUS_SQL}
