@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash, winnowing
+from . import lines, mixing, neighbours, quality, sharding, simhash, substrings, winnowing
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op2_sharding": sharding.op2_sharding,
+    "op3_lines": lines.op3_lines,
+    "op5_substrings": substrings.op5_substrings,
     "op6_simhash": simhash.op6_simhash,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_quality": quality.op9_quality,
@@ -13,5 +16,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_neighbours": neighbours.op1_sql(),
     "op2_sharding": sharding.op2_sql(),
+    "op3_lines": lines.op3_sql(),
+    "op5_substrings": substrings.op5_sql(),
+    "op8_winnowing": winnowing.op8_sql(),
 }

@@ -260,3 +260,26 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def op8_sql() -> str:
+    capital, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"coalesce(regexp_extract_all(translate(text, '{capital}', '{small}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+    return f"""
+    WITH items AS (SELECT item_id, {words} AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, n, array_to_string(w[a : a + n - 1], ' ') AS k
+      FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS a
+            FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM items) WHERE n > 0)),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+    found AS (
+      SELECT r, a, d.n, item_id FROM (
+        SELECT r, n, a, array_to_string(w[a : a + n - 1], ' ') AS k
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)) d
+      JOIN windows USING (n, k)),
+    hits AS (
+      SELECT r, list_distinct(flatten(list(range(a, a + n)))) AS places, list_sort(list_distinct(list(item_id::VARCHAR))) AS ids
+      FROM found GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+      sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, places IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN hits USING (r)"""
