@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, neighbours, quality, sharding, simhash, substrings, winnowing
+from . import language, lines, mixing, neighbours, pii, quality, sharding, simhash, substrings, winnowing
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_sharding": sharding.op2_sharding,
     "op3_lines": lines.op3_lines,
+    "op4_language": language.op4_language,
     "op5_substrings": substrings.op5_substrings,
     "op6_simhash": simhash.op6_simhash,
+    "op7_pii": pii.op7_pii,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
