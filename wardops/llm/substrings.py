@@ -12,8 +12,10 @@ The sketch is sized from the bytes of the input up to ``MAX_WIDTH`` counters a r
 which bounds the broadcast (``DEPTH * MAX_WIDTH / 8`` bytes); a fuller sketch only
 passes more windows on to the exact grouping.  Grams found in about a ``HEAVY``-th
 of all documents or more are noticed in pass one.  Windows charged to them are
-aggregated first and joined with adaptive skew handling; all others form small
-groups and need one shuffle.  Texts are shuffled once, to meet their removals.
+counted first, combined before the shuffle; those in many places, ``OFTEN`` at
+most, are broadcast with their first document and decided where the text is read.
+All others form small groups and need one shuffle.  Texts are shuffled once, to
+meet their removals.
 
 A word is removed if it lies in a window whose words also start in a document with
 a smaller id.  Windows are judged on the input, not on what is left.
@@ -40,6 +42,9 @@ GRAM = 20
 DEPTH = 2
 MAX_WIDTH = 1 << 28
 HEAVY = 256
+#: Windows decided from a broadcast table: so many at most, each in so many places at least.
+OFTEN = 1 << 20
+LEAST_OFTEN = 16
 #: Documents of a task that are tallied at once.
 TALLY = 4096
 _CHUNK = 1 << 16
@@ -159,12 +164,42 @@ def sketch(docs: DataFrame, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return bits, np.sort(np.array(grams, np.int64).view(np.uint64))
 
 
-def repeated_windows(docs: DataFrame, sent, heavy: bool, window: int, gram: int) -> DataFrame:
-    """(w, x, doc, place) of windows estimated repeated; place holds the row's tag and the first word."""
+def _identity(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of every window: a long and an int."""
+    more = (gram_hashes(hashes, window, 4) >> np.uint64(32)).astype(np.uint32)
+    return gram_hashes(hashes, window, 3).view(np.int64), more.view(np.int32)
+
+
+class Known:
+    """Often repeated windows and the first document of each; at most ``OFTEN`` of them."""
+
+    def __init__(self, w: np.ndarray, x: np.ndarray, least: np.ndarray):
+        order = np.lexsort((x, w))
+        self.w, self.x, self.least = w[order], x[order], least[order]
+
+    def first(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Place of each window in the table, -1 if it is not there."""
+        if not len(self.w):
+            return np.full(len(w), -1)
+        at = np.minimum(np.searchsorted(self.w, w), len(self.w) - 1)
+        found = (self.w[at] == w) & (self.x[at] == x)
+        for i in np.flatnonzero((self.w[at] == w) & ~found).tolist():  # equal w, other x
+            while at[i] + 1 < len(self.w) and self.w[at[i]] == w[i] and self.x[at[i]] != x[i]:
+                at[i] += 1
+            found[i] = self.w[at[i]] == w[i] and self.x[at[i]] == x[i]
+        return np.where(found, at, -1)
+
+
+def repeated_windows(docs: DataFrame, sent, often: bool, window: int, gram: int) -> DataFrame:
+    """(w, x, doc, place) of windows estimated repeated; place holds the row's tag and the first word.
+
+    ``often``: only those charged to a heavy gram; otherwise all but the known ones.
+    """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), _tag().alias("tag"), "text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, often = sent.value
+        bits, heavy, *table = sent.value
+        known = Known(*table)
         width = bits.shape[1] * 8
         for batch in slices(batches):
             words, hashes, grams, place = charged(texts_of(batch.column("text")), window, gram)
@@ -176,18 +211,18 @@ def repeated_windows(docs: DataFrame, sent, heavy: bool, window: int, gram: int)
             for row in range(DEPTH):
                 slot = slots(grams[spots], row, width)
                 picked &= (bits[row][slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            if len(often):
-                near = often[np.minimum(np.searchsorted(often, grams[spots]), len(often) - 1)]
-                picked &= (near == grams[spots]) == heavy
+            if often:
+                picked &= np.isin(grams[spots], heavy)
             start = start[picked[back]]
-            whole = gram_hashes(hashes, window, 3)[start]
-            more = (gram_hashes(hashes, window, 4)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            w, x = (part[start] for part in _identity(hashes, window))
+            if not often:
+                new = known.first(w, x) < 0
+                start, w, x = start[new], w[new], x[new]
             text = words.text_of[start]
             tag = batch.column("tag").to_numpy()[text].astype(np.int64)
             at = tag << 32 | (start - words.first[:-1][text])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), pa.array(more), batch.column("doc").take(pa.array(text)), pa.array(at)],
-                ["w", "x", "doc", "place"],
+                [pa.array(w), pa.array(x), batch.column("doc").take(pa.array(text)), pa.array(at)], ["w", "x", "doc", "place"]
             )
 
     return rows.mapInArrow(pick, "w long, x int, doc long, place long")
@@ -198,18 +233,25 @@ def _tag():
     return F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, tag, starts): the first words of the windows to remove, per row that has any."""
-    found = sketch(docs, window, gram)
-    sent = docs.sparkSession.sparkContext.broadcast(found)
-    light = repeated_windows(docs, sent, False, window, gram)
-    least = F.min("doc").over(Window.partitionBy("w", "x"))
-    late = light.withColumn("least", least).where("doc > least").select("doc", "place")
-    if len(found[1]):
-        often = staged(repeated_windows(docs, sent, True, window, gram), "repeats-heavy")
-        owner = often.groupBy("w", "x").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-        owner = staged(owner.where("least < most").drop("most"), "repeats-owners")
-        late = late.union(often.join(owner, ["w", "x"]).where("doc > least").select("doc", "place"))
+def often_repeated(docs: DataFrame, found: tuple, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(w, x, first document) of windows in so many places that at most ``OFTEN`` can be."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    if not len(found[1]):
+        return none
+    sent = docs.sparkSession.sparkContext.broadcast((*found, *none))
+    counted = repeated_windows(docs, sent, True, window, gram).groupBy("w", "x").agg(
+        F.count("*").alias("n"), F.min("doc").alias("least")
+    )
+    counted = staged(counted.where(F.col("n") >= LEAST_OFTEN), "repeats-often")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = counted.where(F.col("n") >= max(LEAST_OFTEN, -(-total // OFTEN))).select("w", "x", "least").toArrow()
+    return tuple(table.column(c).to_numpy() for c in ("w", "x", "least"))
+
+
+def removals(docs: DataFrame, sent, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, tag, starts): the first words of windows to remove, but for the often repeated ones."""
+    rows = repeated_windows(docs, sent, False, window, gram)
+    late = rows.withColumn("least", F.min("doc").over(Window.partitionBy("w", "x"))).where("doc > least")
     return late.groupBy("doc", F.shiftright("place", 32).cast("int").alias("tag")).agg(
         F.collect_list(F.col("place").bitwiseAND(F.lit((1 << 32) - 1).cast("long")).cast("int")).alias("starts")
     )
@@ -217,27 +259,40 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every text without its repeated passages."""
-    gone = removals(docs, window, gram)
+    found = sketch(docs, window, gram)
+    sent = docs.sparkSession.sparkContext.broadcast((*found, *often_repeated(docs, found, window, gram)))
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), _tag().alias("tag"), "text")
-    joined = rows.join(gone, ["doc", "tag"], "left").select("doc_id", "text", "starts")
+    joined = rows.join(removals(docs, sent, window, gram), ["doc", "tag"], "left").select("doc_id", "doc", "text", "starts")
     kind = joined.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(*sent.value[2:])
         for batch in slices(batches):
             words = split_words(texts_of(batch.column("text")), NOT_SPACE)
-            n_words, n_removed, kept = np.diff(words.first), [], []
+            n = len(words.start)
+            gone = np.zeros(n + 1, np.int32)
+            if len(known.w) and n >= window:
+                place = known.first(*_identity(word_hashes(words), window))
+                place[~within_text(words, window)] = -1
+                start = np.flatnonzero(place >= 0)
+                doc = batch.column("doc").fill_null(-(1 << 63)).to_numpy()[words.text_of[start]]
+                start = start[doc > known.least[place[start]]]
+                gone[start] += 1
+                gone[start + window] -= 1
             for i, starts in enumerate(batch.column("starts")):
-                own = words.strings(i)
-                gone = np.zeros(len(own) + 1, np.int32)
                 if starts.is_valid:
-                    at = np.unique(starts.values.to_numpy())
+                    at = np.unique(starts.values.to_numpy()) + words.first[i]
                     gone[at] += 1
                     gone[at + window] -= 1
-                stay = np.cumsum(gone)[:-1] == 0
-                n_removed.append(len(own) - int(stay.sum()))
-                kept.append(b" ".join(own if n_removed[-1] == 0 else [w for w, s in zip(own, stay.tolist()) if s]).decode())
+            stay = np.cumsum(gone)[:-1] == 0
+            kept = []
+            for i in range(batch.num_rows):
+                own, left = words.strings(i), stay[words.first[i] : words.first[i + 1]]
+                kept.append(b" ".join(own if left.all() else [w for w, s in zip(own, left.tolist()) if s]).decode())
+            n_words = np.diff(words.first)
+            n_removed = n_words - np.bincount(words.text_of[stay], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column("doc_id"), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
