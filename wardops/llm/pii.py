@@ -387,13 +387,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_spans(docs, fit(docs))
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
 
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
     def joined(spans):
         keyed = F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("r"), s["low"].alias("low"), s["high"].alias("high"), s["kind"].alias("kind")))
         return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["low"], s["high"])), ",")
 
     return found.select(
         "row.doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
     )
