@@ -88,17 +88,15 @@ BRIDGE = {
           concat('symptom ', CAST(o_custkey%17 AS VARCHAR)) AS symptoms,
           concat('diagnosis ', CAST(o_custkey%23 AS VARCHAR)) AS diagnosis,
           concat('note ', o_orderstatus) AS doctor_notes
-        FROM orders WHERE o_orderpriority='5-LOW' OR o_orderkey%5=4""",
+        FROM orders""",
     "prescriptions": """
         SELECT DISTINCT l_orderkey*2 + l_linenumber%2 AS presc_id, l_orderkey+5000001 AS record_id,
           1000000 + k - CASE WHEN k%4=3 THEN 1 ELSE 0 END AS doctor_id
-        FROM lineitem JOIN _visit_slots o ON l_orderkey=o_orderkey
-        WHERE o_orderpriority='5-LOW' OR o_orderkey%5=4""",
+        FROM lineitem JOIN _visit_slots o ON l_orderkey=o_orderkey""",
     "presc_details": """
         SELECT l_orderkey*2 + l_linenumber%2 AS presc_id, l_partkey+1 AS med_id,
           CAST(l_quantity AS INT) AS quantity, concat(l_returnflag, '/', l_linestatus, ' daily') AS dosage
-        FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-        WHERE o_orderpriority='5-LOW' OR o_orderkey%5=4""",
+        FROM lineitem""",
     "invoices": """
         SELECT o_orderkey+1 AS invoice_id, CASE WHEN o_orderkey%5<>4 THEN o_orderkey+1 END AS appt_id,
           CASE WHEN o_orderkey%5=4 THEN o_orderkey+1 END AS admission_id,

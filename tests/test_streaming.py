@@ -116,3 +116,16 @@ def test_24h_counts(spark, tmp_path):
         if n and end <= at("2024-01-04 02:00:00"):
             expected[end] = n
     assert counted == expected
+
+
+def test_streams_read_folders_of_part_files(spark, tmp_path):
+    from conftest import SMALL
+    from wardops.streaming.activity import actions_24h_stream
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    one, many = tmp_path / "one", tmp_path / "many"
+    events.coalesce(1).write.parquet(f"{one}/events.parquet")
+    events.repartition(3).write.parquet(f"{many}/events.parquet")
+    want = sorted(map(tuple, actions_24h_stream(spark, SMALL).collect()))
+    assert want == sorted(map(tuple, actions_24h_stream(spark, str(one)).collect()))
+    assert actions_24h_stream(spark, str(many)).count() > 0

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.changes.billing import reprice_invoices
-from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, mark_known, mark_user, reject, split
+from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, mark_known, mark_known_or_none, mark_user, reject, split
 from wardops.functions import clock, text
 from wardops.operators.numbering import allocate_ids, dense_number
 from wardops.session import Stage, keep
@@ -79,12 +79,14 @@ def prescribe(commands: DataFrame, t: Tables, stage: Stage = keep) -> Changes:
     """
     marked = mark_known(commands, "record_id", t.medical_records, "record_id", "has_record")
     marked = mark_known(marked, "med_id", t.medicines, "med_id", "has_medicine")
+    marked = mark_known_or_none(marked, "doctor_id", t.doctors, "doctor_id", "has_doctor")
     accepted, refused = split(
         marked,
         [
             (F.col("quantity") >= 1, "Quantity must be at least 1"),
             (F.col("has_record"), "Unknown medical record"),
             (F.col("has_medicine"), "Unknown medicine"),
+            (F.col("has_doctor"), "Unknown doctor"),
         ],
     )
     accepted = stage(accepted)

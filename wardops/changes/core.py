@@ -41,12 +41,13 @@ class Changes:
         }
         if shared or (self.audit is not None and later.audit is not None):
             raise ValueError(f"changes overlap: {sorted(shared) or 'audit'}")
+        refused = [r for r in (self.rejected, later.rejected) if r is not None]
         return Changes(
             inserts={**self.inserts, **later.inserts},
             updates={**self.updates, **later.updates},
             deletes={**self.deletes, **later.deletes},
             audit=later.audit if self.audit is None else self.audit,
-            rejected=self.rejected if later.rejected is None else later.rejected,
+            rejected=refused[0].unionByName(refused[1]) if len(refused) == 2 else (refused or [None])[0],
         )
 
     def touched(self) -> list[str]:
@@ -94,8 +95,12 @@ def audit_of(commands: DataFrame, user: str, action: Column, as_of: datetime) ->
 
 
 def split(commands: DataFrame, checks: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): the first check that does not hold gives the reason."""
+    """(accepted, rejected): the first check that does not hold gives the reason.
+
+    A command without a sequence number is always refused.
+    """
     reason = F.lit(None).cast("string")
+    checks = [(F.col("seq").isNotNull(), "No sequence number"), *checks]
     for holds, message in reversed(checks):
         reason = F.when(~F.coalesce(holds, F.lit(False)), message).otherwise(reason)
     judged = commands.withColumn("reason", reason)
@@ -111,6 +116,11 @@ def mark_known(commands: DataFrame, column: str, parent: DataFrame, key: str, fl
     return skew_join(commands, parents, [column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def mark_known_or_none(commands: DataFrame, column: str, parent: DataFrame, key: str, flag: str) -> DataFrame:
+    """Add a flag: ``column`` is empty or refers to an existing parent row."""
+    return mark_known(commands, column, parent, key, flag).withColumn(flag, F.col(flag) | F.col(column).isNull())
+
+
 UNKNOWN_USER = "Unknown user"
 
 

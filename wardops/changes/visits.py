@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.changes.core import (
-    UNKNOWN_USER, Changes, audit_of, first_per, mark_known, mark_user, reject, split,
+    UNKNOWN_USER, Changes, audit_of, first_per, mark_known, mark_known_or_none, mark_user, reject, split,
 )
 from wardops.functions import clock, text
 from wardops.operators.access import gate
@@ -128,9 +128,16 @@ def add_records(
     A record on an appointment completes that appointment.
     """
     complete = text.filled(F.col("symptoms")) & text.filled(F.col("diagnosis"))
+    marked = mark_known_or_none(mark_user(commands, t), "appt_id", t.appointments, "appt_id", "has_appt")
+    marked = mark_known_or_none(marked, "admission_id", t.admissions, "admission_id", "has_admission")
     accepted, refused = split(
-        mark_user(commands, t),
-        [(complete, "Please fill in symptoms and diagnosis"), (F.col("has_user"), UNKNOWN_USER)],
+        marked,
+        [
+            (complete, "Please fill in symptoms and diagnosis"),
+            (F.col("has_user"), UNKNOWN_USER),
+            (F.col("has_appt"), "Unknown appointment"),
+            (F.col("has_admission"), "Unknown admission"),
+        ],
     )
     rows = stage(allocate_ids(accepted, "seq", t.medical_records, "record_id"))
     done = rows.filter(F.col("appt_id").isNotNull()).select("appt_id").distinct()

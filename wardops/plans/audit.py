@@ -68,13 +68,10 @@ def login_frequency(t: Tables) -> DataFrame:
 
 
 def audit_latest(t: Tables, rows: int = LATEST_ROWS) -> DataFrame:
-    """The newest attributed actions.
-
-    Every set ``user_id`` refers to a user, so the newest rows are chosen first
-    and only those are joined.
-    """
+    """The newest actions of known users; names are joined to the chosen rows only."""
     newest = [F.desc("timestamp"), F.desc("log_id")]
-    latest = t.audit_logs.filter(F.col("user_id").isNotNull()).orderBy(*newest).limit(rows)
+    attributed = t.audit_logs.join(t.users.select("user_id"), "user_id", "left_semi")
+    latest = attributed.orderBy(*newest).limit(rows)
     return (
         latest.join(t.users.select("user_id", "username"), "user_id")
         .orderBy(*newest)

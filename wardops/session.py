@@ -47,11 +47,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a test session) a local temporary
-    folder is used instead.
+    Only in local mode, where all tasks share the driver's disk, a temporary
+    folder stands in for a missing setting; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wardops-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -54,10 +54,6 @@ def _inpatient(key: Column) -> Column:
     return key % 5 == 4
 
 
-def _has_record() -> Column:
-    return (F.col("o_orderpriority") == "5-LOW") | _inpatient(F.col("o_orderkey"))
-
-
 class Bridge:
     def __init__(self, spark: SparkSession, folder: str):
         def reader(name: str):
@@ -252,7 +248,7 @@ class Bridge:
 
     def medical_records(self) -> DataFrame:
         key, customer = F.col("o_orderkey"), F.col("o_custkey")
-        return self._src["orders"].filter(_has_record()).select(
+        return self._src["orders"].select(
             (key + FIRST_RECORD).alias("record_id"),
             F.when(~_inpatient(key), key + 1).alias("appt_id"),
             F.when(_inpatient(key), key + 1).alias("admission_id"),
@@ -262,7 +258,7 @@ class Bridge:
         )
 
     def prescriptions(self) -> DataFrame:
-        seen = self._src["orders"].filter(_has_record()).select(
+        seen = self._src["orders"].select(
             F.col("o_orderkey").alias("l_orderkey"), self._doctor().alias("doctor_id")
         )
         # One row per order and line parity: collapse the lines before the join.
@@ -279,10 +275,7 @@ class Bridge:
         )
 
     def presc_details(self) -> DataFrame:
-        seen = (
-            self._src["orders"].filter(_has_record()).select(F.col("o_orderkey").alias("l_orderkey"))
-        )
-        return self._src["lineitem"].join(seen, "l_orderkey", "left_semi").select(
+        return self._src["lineitem"].select(
             (F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).alias("presc_id"),
             (F.col("l_partkey") + 1).alias("med_id"),
             F.col("l_quantity").cast("int").alias("quantity"),

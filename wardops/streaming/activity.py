@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardops.session import shared_folder
+from wardops.streaming.rules import stored_table
 
 LATENESS = "1 hour"
 
@@ -32,11 +33,10 @@ def hourly_24h_counts(events: DataFrame, stamp: str) -> DataFrame:
 def actions_24h_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run the stream over what is stored; windows past the watermark come out."""
     folder = shared_folder(spark, "actions-24h")
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    path = stored_table(sf_dir, "events")
     events = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        spark.readStream.schema(spark.read.parquet(path).schema)
+        .parquet(path)
         .select(F.col("ts").cast("timestamp").alias("ts"))
     )
     query = (

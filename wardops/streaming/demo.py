@@ -16,7 +16,7 @@ from wardops.changes.core import Changes
 from wardops.session import configure, shared_folder, stager
 from wardops.sources import batches
 from wardops.sources.bridge import Bridge, bridge_tables
-from wardops.streaming.rules import start_rule
+from wardops.streaming.rules import start_rule, stored_table
 from wardops.streaming.store import REMOVED, DeltaStore
 from wardops.tables import Tables
 
@@ -29,12 +29,11 @@ def _run(
 ) -> DeltaStore:
     folder = shared_folder(configure(spark), f"stream-{table}")
     store = DeltaStore(spark, f"{folder}/state", bridge_tables(spark, sf_dir), writes)
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{source}.parquet").schema
+    path = stored_table(sf_dir, source)
     arriving = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{source}.parquet")
+        spark.readStream.schema(spark.read.parquet(path).schema)
         .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
+        .parquet(path)
     )
 
     def as_commands(batch: DataFrame, t: Tables) -> Changes:

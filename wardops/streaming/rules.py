@@ -36,3 +36,8 @@ def start_rule(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def stored_table(folder: str, name: str) -> str:
+    """A table's path as a glob, which a stream can read as one file or as a folder of part files."""
+    return f"{folder.rstrip('/')}/{{{name}.parquet}}"
