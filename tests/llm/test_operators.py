@@ -127,6 +127,16 @@ def test_line_index_can_be_undone(spark):
     assert rows_of(again.refs) == rows_of(both.refs)
 
 
+def test_line_shards_grow_with_the_repeated_keys(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    plain = lines.LineIndex.empty(spark, shards=5).insert(docs)
+    small = lines.LineIndex.empty(spark, shards=1, shard_keys=3)
+    grown = small.insert(docs.where("doc_id % 2 = 0")).insert(docs.where("doc_id % 2 = 1"))
+    assert grown.shards * 3 >= grown.refs.where("n_docs >= 3").count() > 3
+    assert grown.filters.select("shard").distinct().count() > 1
+    assert rows_of(grown.clean(docs)) == rows_of(plain.clean(docs))
+
+
 def test_line_filters_are_only_a_shortcut(spark, edge_dir, monkeypatch):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     index = lines.LineIndex.empty(spark).insert(docs)

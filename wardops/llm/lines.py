@@ -4,8 +4,10 @@
 holds which line key), the exact reference counts per key, and one cuckoo filter
 per shard with the fingerprints of the keys that are repeated just now.  Inserting
 documents raises counts, deleting them lowers counts; keys that cross the limit
-enter or leave the filter of their shard.  An update touches only keys and shards
-that it concerns.
+enter or leave the filter of their shard, other keys move nothing.  A shard's update
+is one task; with more than ``shard_keys`` repeated keys a shard the number of shards
+doubles and their filters are made anew from the exact counts, so a task's share does
+not grow with the corpus.
 
 When lines are looked up, the filters reject most of them inside the scan; they
 have no false negatives, and what they let through meets the exact counts in a
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from .tokens import mix
 MIN_DOCS = 3
 MIN_CHARS = 20
 SHARDS = 64
+#: Repeated keys a shard, on average, beyond which the shards are doubled.
+SHARD_KEYS = 1 << 18
 FILTER_BYTES = 64 << 20
 SLOTS = 4
 _STRIP = " \t\n\x0b\x0c\r"
@@ -185,6 +189,7 @@ class LineIndex:
     min_docs: int = MIN_DOCS
     min_chars: int = MIN_CHARS
     shards: int = SHARDS
+    shard_keys: int = SHARD_KEYS
 
     @classmethod
     def empty(cls, spark: SparkSession, **options) -> LineIndex:
@@ -218,13 +223,18 @@ class LineIndex:
     def _moved(self, rows: DataFrame, merged: DataFrame) -> LineIndex:
         merged = staged(merged, "lines-refs")
         before, after = F.col("old_n") >= self.min_docs, F.col("n_docs") >= self.min_docs
-        changes = merged.where(before != after).select(
-            shard_of(F.col("key"), self.shards).alias("shard"), "key", F.when(after, 1).otherwise(-1).alias("sign")
+        shards, repeated = self.shards, merged.where(after).count()
+        while repeated > shards * self.shard_keys:
+            shards *= 2
+        grown = shards > self.shards  # keys change shards: fill new filters
+        old = self.filters.where("false") if grown else self.filters
+        changes = merged.where(after if grown else before != after).select(
+            shard_of(F.col("key"), shards).alias("shard"), "key", F.when(after, 1).otherwise(-1).alias("sign")
         )
-        filters = self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_update, "shard int, bits binary")
-        return LineIndex(
-            rows, merged.where("n_docs > 0").select("key", "n_docs", "last_doc"), staged(filters, "lines-filters"),
-            self.min_docs, self.min_chars, self.shards,
+        filters = old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_update, "shard int, bits binary")
+        return replace(
+            self, postings=rows, refs=merged.where("n_docs > 0").select("key", "n_docs", "last_doc"),
+            filters=staged(filters, "lines-filters"), shards=shards,
         )
 
     def removals(self, docs: DataFrame) -> DataFrame:
