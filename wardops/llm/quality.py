@@ -14,8 +14,8 @@ their texts, are what the driver collects.  Scoring is one pass over all documen
 without a shuffle; the model travels in a broadcast of fixed size.
 
 Defined cases: null and empty texts have no features and get the score of the
-bias; null ids and labels are not learned from; repeated ids are learned from once
-per row; without two classes to learn from every score is the share of label 1 (or
+bias; null ids and labels are not learned from; the rows of a repeated id give one
+example, the first text by code point; without two classes to learn from every score is the share of label 1 (or
 0.5 without any); an empty table gives an empty result.
 """
 
@@ -125,7 +125,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     drawn = known.select("doc_id", F.col("quality").cast("int").alias("label"), order.alias("order"))
     drawn = drawn.orderBy("order", "doc_id").limit(rows)
     texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(drawn), "doc_id").select("label", "order", "text")  # at most ``rows`` rows
+    drawn = drawn.groupBy("doc_id", "order").agg(F.min("label").alias("label"))  # at most ``rows`` rows
+    found = texts.join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text")).select("label", "order", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
