@@ -23,7 +23,7 @@ from wardops.operators.numbering import allocate_ids  # noqa: E402
 from wardops.operators.rewrite import with_rows  # noqa: E402
 from wardops.plans import audit, beds, billing, clinical, people, scheduling  # noqa: E402
 from wardops.schemas import ACCOUNTANT  # noqa: E402
-from wardops.session import configure, stager  # noqa: E402
+from wardops.session import configure, keep, stager  # noqa: E402
 from wardops.sources import batches  # noqa: E402
 from wardops.sources.bridge import bridge_tables  # noqa: E402
 from wardops.sources.sqltext import insert_statements  # noqa: E402
@@ -143,7 +143,8 @@ def _prescribe(t: Tables) -> Changes:
 
 
 def _book(t: Tables, check_slots: bool = False) -> Changes:
-    return visits.book_appointments(batches.bookings(t, AS_OF), t, AS_OF, check_slots)
+    stage = stager(t.appointments.sparkSession, "bookings") if check_slots else keep
+    return visits.book_appointments(batches.bookings(t, AS_OF), t, AS_OF, check_slots, stage)
 
 
 def _record(t: Tables) -> Changes:
@@ -202,6 +203,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w03_new_invoices": lambda t: _book(t).inserts["invoices"],
     "w03_audit": lambda t: _book(t).audit_rows(t),
     "w03_slot_conflicts": lambda t: _book(t, check_slots=True).rejected,
+    "w03_checked_appointments": lambda t: _book(t, check_slots=True).inserts["appointments"],
     "w03_booking_slips": lambda t: visits.booking_slips(_book(t), t),
     "w04_appointments": lambda t: visits.set_visit_state(batches.visit_states(t), t, AS_OF).apply(t).appointments,
     "w05_new_records": lambda t: _record(t).inserts["medical_records"],

@@ -27,7 +27,7 @@ def with_ctes(sql: str) -> str:
             todo += _mentioned(_CTES[name])
     # The CTEs are listed so that each one only uses those before it.
     head = ",\n".join(f"{name} AS ({_CTES[name].strip()})" for name in _CTES if name in needed)
-    return f"WITH {head}\n{sql.strip()}" if head else sql.strip()
+    return f"WITH RECURSIVE {head}\n{sql.strip()}" if head else sql.strip()
 
 
 def all_sql() -> dict[str, str]:

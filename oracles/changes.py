@@ -30,6 +30,20 @@ COMMANDS = {
     "done_bookings": f"""
         SELECT *, {seq_number()} AS n FROM cmd_bookings
         WHERE doctor_id IN (SELECT doctor_id FROM doctors) AND executor_id IN (SELECT user_id FROM users)""",
+    # Requests one by one in order of seq, each against those granted to its doctor so far.
+    "asked_slots": """
+        SELECT *, row_number() OVER (PARTITION BY doctor_id ORDER BY seq) AS k
+        FROM done_bookings WHERE seq NOT IN (SELECT seq FROM clashes)""",
+    "walked_slots": """
+        SELECT DISTINCT doctor_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq,
+          CAST([] AS TIMESTAMP[]) AS times, FALSE AS granted FROM asked_slots
+        UNION ALL
+        SELECT doctor_id, k, seq, CASE WHEN free THEN list_append(times, appt_date) ELSE times END, free
+        FROM (
+          SELECT a.doctor_id, a.k, a.seq, a.appt_date, w.times,
+            len(list_filter(w.times, lambda x: abs(epoch_us(x) - epoch_us(a.appt_date)) < 1800000000)) = 0 AS free
+          FROM walked_slots w JOIN asked_slots a ON a.doctor_id = w.doctor_id AND a.k = w.k + 1) s""",
+    "granted_slots": "SELECT seq FROM walked_slots WHERE granted",
     "cmd_visit_states": """
         SELECT appt_id * 2 + step AS seq, appt_id,
           CASE WHEN step = 0 THEN 'CheckedIn' WHEN appt_id % 3 = 0 THEN 'In-Progress'
@@ -155,8 +169,11 @@ CHANGE_SQL = {
         SELECT seq, CASE WHEN doctor_id NOT IN (SELECT doctor_id FROM doctors) THEN 'Unknown doctor'
             WHEN executor_id NOT IN (SELECT user_id FROM users) THEN 'Unknown user'
             ELSE 'Doctor is not available at that time' END AS reason
-        FROM cmd_bookings
-        WHERE seq NOT IN (SELECT seq FROM done_bookings) OR seq IN (SELECT seq FROM clashes)""",
+        FROM cmd_bookings WHERE seq NOT IN (SELECT seq FROM granted_slots)""",
+    "w03_checked_appointments": """
+        SELECT (SELECT max(appt_id) FROM appointments) + row_number() OVER (ORDER BY seq) AS appt_id, patient_id,
+          doctor_id, appt_date, CAST(NULL AS TIMESTAMP) AS completed_at, 'Scheduled' AS status
+        FROM done_bookings WHERE seq IN (SELECT seq FROM granted_slots)""",
     "w04_appointments": f"""
         SELECT a.appt_id, a.patient_id, a.doctor_id, a.appt_date,
           CASE WHEN x.ended THEN {AS_OF} ELSE a.completed_at END AS completed_at,
@@ -320,12 +337,13 @@ CHANGE_SQL = {
     "payments_stream": """
         SELECT bed_id, bed_code, room_id, 'Available' AS status FROM beds
         WHERE bed_id IN (SELECT bed_id FROM done_payments JOIN admissions USING (admission_id))""",
-    # Windows that the final watermark (newest event less one hour) has passed.
+    # A window is open until the watermark (newest event less one hour) has passed its end.
     "actions_24h_stream": """
         SELECT w.window_end - INTERVAL 24 HOUR AS window_start, w.window_end,
-          CAST(sum(h.n) AS BIGINT) AS action_count
+          CAST(sum(h.n) AS BIGINT) AS action_count,
+          w.window_end > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS is_open
         FROM (SELECT unnest(generate_series(date_trunc('hour', min(ts)) + INTERVAL 1 HOUR,
-                date_trunc('hour', max(ts) - INTERVAL 1 HOUR), INTERVAL 1 HOUR)) AS window_end FROM events) w
+                date_trunc('hour', max(ts)) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS window_end FROM events) w
         JOIN (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1) h
           ON h.hour >= w.window_end - INTERVAL 24 HOUR AND h.hour < w.window_end
         GROUP BY w.window_end""",

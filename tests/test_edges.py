@@ -279,6 +279,20 @@ def test_slot_clash_band(spark, gap, clash):
         assert (clashing_requests(asked, t, "seq").count() == 1) is clash
 
 
+def test_requests_of_one_batch_respect_each_other(spark):
+    from wardops.operators.slots import granted_requests
+
+    times = {  # seq -> (doctor, time); 3 falls to 1, so 4 is free again; 6 and 9 ask for what others have
+        1: (10, "12:00"), 2: (20, "12:00"), 3: (10, "12:20"), 4: (10, "12:40"), 5: (10, "13:10"), 6: (10, "12:00"),
+        7: (10, "15:00"), 8: (10, "11:30"), 9: (20, "11:31"), 10: (20, "12:30"),
+    }
+    asked = spark.createDataFrame(
+        [(seq, doctor, at(f"2026-05-01 {time}:00")) for seq, (doctor, time) in times.items()] + [(11, 10, None)],
+        "seq bigint, doctor_id bigint, appt_date timestamp_ntz",
+    )
+    assert sorted(r.seq for r in granted_requests(asked, "seq").collect()) == [1, 2, 4, 5, 7, 8, 10]
+
+
 def test_session_time_zone_does_not_matter(spark):
     """02:30 does not exist in New York on this day; zone-less times keep it."""
     night = at("2024-03-10 02:30:00")

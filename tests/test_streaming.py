@@ -2,12 +2,14 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from clinic import at, clinic, rows
 from wardops.changes import clinical as care, visits
+from wardops.session import stager
 from wardops.sources import batches
-from wardops.streaming.activity import hourly_24h_counts
+from wardops.streaming.activity import counts_24h, latest_hours, write_hours
 from wardops.streaming.rules import start_rule
 from wardops.streaming.store import DeltaStore
 
@@ -28,17 +30,18 @@ def stream(spark, commands, folder):
     return spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_bookings_in_three_batches_equal_one(spark, bridge, tmp_path):
+@pytest.mark.parametrize("check_slots", [False, True])
+def test_bookings_in_three_batches_equal_one(spark, bridge, tmp_path, check_slots):
     commands = batches.bookings(bridge, NOW)
     write_parts(commands, str(tmp_path / "in"))
     store = DeltaStore(spark, str(tmp_path / "state"), bridge, ["appointments", "invoices", "audit_logs"])
 
     def rule(batch, t):
-        return visits.book_appointments(batch, t, NOW)
+        return visits.book_appointments(batch, t, NOW, check_slots, stager(spark, "booked"))
 
     query = start_rule(stream(spark, commands, str(tmp_path / "in")), rule, store, str(tmp_path / "checkpoint"))
     query.awaitTermination()
-    whole = visits.book_appointments(commands, bridge, NOW).apply(bridge)
+    whole = visits.book_appointments(commands, bridge, NOW, check_slots, stager(spark, "whole")).apply(bridge)
     now = store.current()
     for name in ("appointments", "invoices", "audit_logs"):
         assert rows(now[name]) == rows(whole[name])
@@ -97,24 +100,19 @@ def test_24h_counts(spark, tmp_path):
     frame = spark.createDataFrame([(e,) for e in events], "ts timestamp_ntz").select(F.col("ts").cast("timestamp"))
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
-    query = (
-        hourly_24h_counts(source, "ts").writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    write_hours(source, "ts", str(tmp_path)).awaitTermination()
     counted = {
-        r.window_end: r.action_count
-        for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("window_end").cast("timestamp_ntz"), "action_count").collect()
+        r.window_end: (r.action_count, r.is_open)
+        for r in counts_24h(latest_hours(spark, str(tmp_path))).withColumn("window_end", F.col("window_end").cast("timestamp_ntz")).collect()
     }
-    ends = [at(f"2024-01-0{d} {h:02d}:00:00") for d in (1, 2, 3, 4) for h in range(24)]
+    ends = [at(f"2024-01-0{d} {h:02d}:00:00") for d in (1, 2, 3, 4, 5) for h in range(24)]
     from datetime import timedelta
 
     expected = {}
     for end in ends:
         n = sum(end - timedelta(hours=24) <= e < end for e in events)
-        if n and end <= at("2024-01-04 02:00:00"):
-            expected[end] = n
+        if n:
+            expected[end] = (n, end > at("2024-01-04 02:30:00"))
     assert counted == expected
 
 
@@ -128,4 +126,4 @@ def test_streams_read_folders_of_part_files(spark, tmp_path):
     events.repartition(3).write.parquet(f"{many}/events.parquet")
     want = sorted(map(tuple, actions_24h_stream(spark, SMALL).collect()))
     assert want == sorted(map(tuple, actions_24h_stream(spark, str(one)).collect()))
-    assert actions_24h_stream(spark, str(many)).count() > 0
+    assert want == sorted(map(tuple, actions_24h_stream(spark, str(many)).collect()))

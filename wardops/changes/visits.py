@@ -13,13 +13,14 @@ from wardops.functions import clock, text
 from wardops.operators.access import gate
 from wardops.operators.numbering import allocate_ids, dense_number
 from wardops.operators.rewrite import last_per_key
-from wardops.operators.slots import clashing_requests
+from wardops.operators.slots import clashing_requests, granted_requests
 from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOMAINS, RECEPTIONIST
 from wardops.session import Stage, keep
 from wardops.tables import Tables
 
-# Messages to refused executors.
+# Messages on refused commands.
+SLOT_TAKEN = "Doctor is not available at that time"
 DELETE_DENIED = "Permission Denied: Only Admin or Receptionist can delete appointments"
 
 
@@ -30,7 +31,8 @@ def book_appointments(
 
     Each booking makes a Scheduled appointment, an empty Unpaid invoice dated
     now and an audit entry.  ``check_slots`` also refuses times that clash with
-    a live appointment of the doctor.
+    a live appointment of the doctor or with an accepted command of a smaller
+    ``seq``, so a batch gives what its commands would give one by one.
     """
     marked = mark_known(commands, "patient_id", t.patients, "patient_id", "has_patient")
     marked = mark_known(marked, "doctor_id", t.doctors, "doctor_id", "has_doctor")
@@ -43,8 +45,15 @@ def book_appointments(
     if check_slots:
         taken = clashing_requests(commands, t, "seq").withColumn("clash", F.lit(True))
         marked = marked.join(taken, "seq", "left")
-        checks.append((F.col("clash").isNull(), "Doctor is not available at that time"))
+        checks.append((F.col("clash").isNull(), SLOT_TAKEN))
     accepted, refused = split(marked, checks)
+    refused = reject(refused)
+    if check_slots:
+        accepted = stage(accepted)
+        granted = granted_requests(accepted, "seq").withColumn("granted", F.lit(True))
+        free = F.col("granted") | F.col("appt_date").isNull()
+        accepted, late = split(accepted.join(granted, "seq", "left"), [(free, SLOT_TAKEN)])
+        refused = refused.unionByName(reject(late))
     numbered = stage(dense_number(accepted, "seq", "number"))
 
     def next_id(table: str, key: str):
@@ -69,7 +78,7 @@ def book_appointments(
     return Changes(
         inserts={"appointments": booked, "invoices": bills},
         audit=audit_of(numbered, "executor_id", action, as_of),
-        rejected=reject(refused),
+        rejected=refused,
     )
 
 

@@ -36,6 +36,12 @@ def visits(t: Tables) -> DataFrame:
     return appointments.unionByName(admissions)
 
 
+def records_of(rows: DataFrame, t: Tables, patient_id: int, key: str) -> DataFrame:
+    """The rows that hang off a visit of one patient; the patient's visits are filtered at their scan."""
+    own = visits(t).filter(F.col("patient_id") == patient_id).select(*VISIT_KEY)
+    return _per_parent(rows).join(own, VISIT_KEY, "left_semi").drop(*VISIT_KEY).dropDuplicates([key])
+
+
 def _both_set():
     return F.col("appt_id").isNotNull() & F.col("admission_id").isNotNull()
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wardops.functions import clock
 from wardops.operators.spread import skew_join
@@ -31,12 +32,16 @@ def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
     first and last live visit: a visit in the request's own cell always
     clashes, of the cell before only the last can, of the cell after only the
     first.  So a request meets at most three rows, however busy the doctor is.
+    Only visits between the first and the last request are read.
     """
     width = clock.VISIT_MINUTES * 60 * clock.MICROS
     taken_at = clock.microseconds(F.col("appt_date"))
+    margin = F.expr(f"INTERVAL {clock.VISIT_MINUTES} MINUTES")
+    earliest = requests.agg(F.min("appt_date")).scalar() - margin
+    latest = requests.agg(F.max("appt_date")).scalar() + margin
     live = (
         t.appointments.filter(F.col("status").isin(LIVE_STATES))
-        .filter(F.col("doctor_id").isNotNull() & F.col("appt_date").isNotNull())
+        .filter(F.col("doctor_id").isNotNull() & (F.col("appt_date") > earliest) & (F.col("appt_date") < latest))
         .groupBy("doctor_id", F.floor(taken_at / width).alias("cell"))
         .agg(F.min(taken_at).alias("first_at"), F.max(taken_at).alias("last_at"))
     )
@@ -51,3 +56,44 @@ def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
         .select(key)
         .distinct()
     )
+
+
+def granted_requests(requests: DataFrame, key: str) -> DataFrame:
+    """``key`` of the requests (key, doctor_id, appt_date) that get their time, if taken in order of ``key``.
+
+    A request is granted unless it lies within 30 minutes of an earlier granted
+    one of the doctor.  That depends on the order, which no join expresses, so
+    it is walked through in Arrow batches, after three exact reductions: of
+    requests for one instant only the first can be granted; half-hour cells of a
+    doctor that do not touch cannot affect each other, so each run of touching
+    cells is a group of its own; and a cell holds at most one granted time.
+    A group holds the distinct instants asked for in one run, not the requests.
+    """
+    width = clock.VISIT_MINUTES * 60 * clock.MICROS
+    first = (
+        requests.filter(F.col("doctor_id").isNotNull() & F.col("appt_date").isNotNull())
+        .groupBy("doctor_id", clock.microseconds(F.col("appt_date")).alias("asked_at"))
+        .agg(F.min(key).alias(key))
+        .withColumn("cell", F.floor(F.col("asked_at") / width))
+    )
+    in_order = Window.partitionBy("doctor_id").orderBy("cell")  # a doctor's half hours: 17,520 a year
+    opens = F.coalesce(F.col("cell") - F.lag("cell").over(in_order) > 1, F.lit(True))
+    runs = (
+        first.select("doctor_id", "cell").distinct()
+        .withColumn("opened", F.when(opens, F.col("cell")))
+        .withColumn("run", F.max("opened").over(in_order))
+        .drop("opened")
+    )
+
+    def walk(run: pa.Table) -> pa.Table:
+        taken: dict[int, int] = {}  # cell -> granted time
+        granted = []
+        ordered = run.sort_by(key)
+        for number, cell, at in zip(*(ordered.column(c).to_pylist() for c in (key, "cell", "asked_at"))):
+            near = [taken.get(cell + step) for step in (-1, 0, 1)]
+            if all(other is None or abs(at - other) >= width for other in near):
+                taken[cell] = at
+                granted.append(number)
+        return pa.table({key: pa.array(granted, pa.int64())})
+
+    return skew_join(first, runs, ["doctor_id", "cell"]).groupBy("doctor_id", "run").applyInArrow(walk, f"{key} bigint")

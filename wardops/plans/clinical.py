@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock, money, text
-from wardops.operators.parents import with_visit
+from wardops.operators.parents import records_of, with_visit
 from wardops.operators.spread import skew_join
 from wardops.tables import Tables
 
@@ -42,7 +42,10 @@ def patient_history(t: Tables, patient_id: int | None = None) -> DataFrame:
 
     A record whose two parents belong to different patients is history of both.
     """
-    seen = with_visit(t.medical_records, t, "record_id")
+    records = t.medical_records
+    if patient_id is not None:
+        records = records_of(records, t, patient_id, "record_id")
+    seen = with_visit(records, t, "record_id")
     owners = F.filter(F.array("patient_id", "other_patient_id"), lambda p: p.isNotNull())
     rows = seen.withColumn("patient_id", F.explode(owners))
     if patient_id is not None:
