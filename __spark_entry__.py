@@ -23,7 +23,7 @@ from wardops.operators.numbering import allocate_ids  # noqa: E402
 from wardops.operators.rewrite import with_rows  # noqa: E402
 from wardops.plans import audit, beds, billing, clinical, people, scheduling  # noqa: E402
 from wardops.schemas import ACCOUNTANT  # noqa: E402
-from wardops.session import configure, keep, stager  # noqa: E402
+from wardops.session import Stage, configure, stager  # noqa: E402
 from wardops.sources import batches  # noqa: E402
 from wardops.sources.bridge import bridge_tables  # noqa: E402
 from wardops.sources.sqltext import insert_statements  # noqa: E402
@@ -58,9 +58,9 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["patient_bill"](spark, "/root/testdata/sf0.001")
 
 
-def _login_attempts(t: Tables) -> DataFrame:
+def _login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every audit event as a sign-in; error events carry a wrong password."""
-    return t.sign_ins.select(
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select(
         (F.col("event_id") + 1).alias("attempt_id"),
         F.concat(F.lit("user_"), (F.col("user_id") + 1).cast("string")).alias("username"),
         F.when(F.col("event_type") == "error", "wrong")
@@ -69,6 +69,22 @@ def _login_attempts(t: Tables) -> DataFrame:
     )
 
 
+def _logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bridge_tables(configure(spark), sf_dir)
+    return people.resolve_logins(t, _login_attempts(spark, sf_dir))
+
+
+def _plain_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every second account still holds its password as plain text."""
+    t = bridge_tables(configure(spark), sf_dir)
+    plain = F.concat(F.lit("secret_"), F.col("user_id").cast("string"))
+    stored = F.when(F.col("user_id") % 2 == 0, plain).otherwise(F.col("password_hash"))
+    mixed = t.replace(users=t.users.withColumn("password_hash", stored))
+    return people.resolve_logins(mixed, _login_attempts(spark, sf_dir), accept_plain=True)
+
+
+LOGINS: dict[str, Query] = {"resolve_logins": _logins, "resolve_plain_logins": _plain_logins}
+
 READS: dict[str, Callable[[Tables], DataFrame]] = {
     # billing
     "prescription_total": billing.prescription_total,
@@ -123,7 +139,6 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "users_by_role": people.users_by_role,
     "executor_roles": lambda t: people.executor_roles(t, t.audit_logs.select(F.col("user_id").alias("executor_id"))),
     "reference_lists": people.reference_lists,
-    "resolve_logins": lambda t: people.resolve_logins(t, _login_attempts(t)),
     # audit
     "staff_activity": audit.staff_activity,
     "actions_last_24h": lambda t: audit.actions_last_24h(t, AUDIT_AS_OF),
@@ -134,8 +149,12 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _stage(t: Tables, purpose: str) -> Stage:
+    return stager(t.users.sparkSession, purpose)
+
+
 def _register(t: Tables) -> Changes:
-    return care.register_patients(batches.registrations(t, AS_OF), t, AS_OF)
+    return care.register_patients(batches.registrations(t, AS_OF), t, AS_OF, _stage(t, "registrations"))
 
 
 def _prescribe(t: Tables) -> Changes:
@@ -143,8 +162,7 @@ def _prescribe(t: Tables) -> Changes:
 
 
 def _book(t: Tables, check_slots: bool = False) -> Changes:
-    stage = stager(t.appointments.sparkSession, "bookings") if check_slots else keep
-    return visits.book_appointments(batches.bookings(t, AS_OF), t, AS_OF, check_slots, stage)
+    return visits.book_appointments(batches.bookings(t, AS_OF), t, AS_OF, check_slots, _stage(t, "bookings"))
 
 
 def _record(t: Tables) -> Changes:
@@ -167,7 +185,7 @@ def _pay(t: Tables) -> Changes:
 
 
 def _hire(t: Tables) -> Changes:
-    return hiring.add_staff(batches.new_staff(t), t, AS_OF)
+    return hiring.add_staff(batches.new_staff(t), t, AS_OF, _stage(t, "new-staff"))
 
 
 def _move(t: Tables) -> Changes:
@@ -175,11 +193,11 @@ def _move(t: Tables) -> Changes:
 
 
 def _dismiss(t: Tables) -> Changes:
-    return hiring.delete_staff(batches.staff_removals(t), t, AS_OF)
+    return hiring.delete_staff(batches.staff_removals(t), t, AS_OF, _stage(t, "staff-removals"))
 
 
 def _remove_visits(t: Tables) -> Changes:
-    return visits.delete_appointments(batches.appointment_removals(t), t, AS_OF)
+    return visits.delete_appointments(batches.appointment_removals(t), t, AS_OF, _stage(t, "removals"))
 
 
 def _dirty(t: Tables) -> Tables:
@@ -192,6 +210,14 @@ def _dirty(t: Tables) -> Tables:
     )
 
 
+def _after_last_removed(t: Tables) -> DataFrame:
+    """Bookings made after the newest visits were deleted; their ids stay used."""
+    newest = t.appointments.filter(F.col("appt_id") > t.appointments.agg(F.max("appt_id")).scalar() - 100)
+    left = Changes(deletes={"appointments": newest.select("appt_id")}).apply(t)
+    booked = visits.book_appointments(batches.bookings(t, AS_OF), left, AS_OF, stage=_stage(t, "bookings"))
+    return booked.inserts["appointments"]
+
+
 CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w01_new_patients": lambda t: _register(t).inserts["patients"],
     "w01_new_profiles": lambda t: _register(t).inserts["patient_health_profile"],
@@ -238,6 +264,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w17_gated_payments": lambda t: with_role(batches.payments(t), t).select(
         "seq", "executor_id", "role_name", permitted([ACCOUNTANT]).alias("allowed")
     ),
+    "w18_ids_after_removal": _after_last_removed,
     "w18_allocated_ids": lambda t: allocate_ids(
         t.audit_logs.select("log_id"), "log_id", t.audit_logs.select(F.col("log_id").alias("new_id")), "new_id"
     ),
@@ -259,15 +286,14 @@ STREAMS: dict[str, Query] = {
 def _over_bridge(run: Callable[[Tables], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = bridge_tables(configure(spark), sf_dir)
-        sign_ins = lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-        return run(t if run is not READS["resolve_logins"] else t.replace(sign_ins=sign_ins))
+        return run(t)
 
     return query
 
 
 def queries() -> dict[str, Query]:
     plain = {name: _over_bridge(run) for name, run in {**READS, **CHANGES}.items()}
-    return {**plain, **STREAMS, **CORPUS}
+    return {**plain, **LOGINS, **STREAMS, **CORPUS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -358,4 +358,5 @@ CHANGE_SQL = {
         SELECT (SELECT max(log_id) FROM audit_logs) + row_number() OVER (ORDER BY user_id) AS log_id, user_id,
           'User Logged In' AS action, {AS_OF} AS timestamp FROM users""",
 }
+CHANGE_SQL["w18_ids_after_removal"] = CHANGE_SQL["w03_new_appointments"]
 CHANGE_SQL["lines_stream"] = CHANGE_SQL["w06_after_new_lines"].replace("DECIMAL(15,2)", "DECIMAL(10,2)")

@@ -197,3 +197,5 @@ READ_SQL = {
         FROM (SELECT DISTINCT user_id AS executor_id FROM audit_logs) x
         LEFT JOIN (SELECT DISTINCT user_id, role_name FROM _people) p ON p.user_id = executor_id""",
 }
+# Plain or hashed, the same attempts are right.
+READ_SQL["resolve_plain_logins"] = READ_SQL["resolve_logins"]

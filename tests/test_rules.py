@@ -5,11 +5,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from clinic import rows
+from clinic import at, clinic, rows
 from wardops.changes import billing as pricing, clinical as care, integrity, staff as hiring, visits
+from wardops.changes.core import Changes
 from wardops.schemas import KEYS
 from wardops.session import stager
 from wardops.sources import batches
+from wardops.sources.snapshot import read_snapshot, write_snapshot
 
 NOW = datetime(1999, 6, 15, 9, 55)
 
@@ -106,3 +108,22 @@ def test_hot_commands_give_the_same_result(bridge, spark):
     logged = changes.apply(bridge).audit_logs
     assert logged.count() == bridge.audit_logs.count() + 3000
     assert logged.select("log_id").distinct().count() == logged.count()
+
+
+def test_ids_of_deleted_rows_stay_used(spark, tmp_path):
+    """After the last visit is deleted, the next one gets a new id, also from a stored snapshot."""
+    now = datetime(2026, 5, 1, 9)
+    t = clinic(spark, appointments=[(7, 1, 1, at("2026-05-02 09:00"), None, "Scheduled")])
+    gone = Changes(deletes={"appointments": spark.createDataFrame([(7,)], "appt_id bigint")}).apply(t)
+    ask = spark.createDataFrame([(1, 1, 2, 2, at("2026-05-03 10:00"))],
+                                "seq bigint, executor_id bigint, patient_id bigint, doctor_id bigint, appt_date timestamp_ntz")
+
+    def booked(tables):
+        return visits.book_appointments(ask, tables, now)
+
+    assert [r.appt_id for r in booked(gone).inserts["appointments"].collect()] == [8]
+    after = booked(gone).apply(gone)
+    again = Changes(deletes={"appointments": spark.createDataFrame([(8,)], "appt_id bigint")}).apply(after)
+    stored = read_snapshot(spark, write_snapshot(again, str(tmp_path), now))
+    assert stored.appointments.isEmpty()
+    assert [r.appt_id for r in booked(stored).inserts["appointments"].collect()] == [9]

@@ -127,3 +127,19 @@ def test_streams_read_folders_of_part_files(spark, tmp_path):
     want = sorted(map(tuple, actions_24h_stream(spark, SMALL).collect()))
     assert want == sorted(map(tuple, actions_24h_stream(spark, str(one)).collect()))
     assert want == sorted(map(tuple, actions_24h_stream(spark, str(many)).collect()))
+
+
+def test_uncommitted_epochs_are_not_read(spark, bridge, tmp_path):
+    """Rows of an epoch count only once its marks are written; a committed epoch stays as it is."""
+    commands = batches.records(bridge)
+    store = DeltaStore(spark, str(tmp_path / "state"), bridge, ["appointments", "medical_records", "audit_logs"])
+    before = store.current(before=0)
+    commit, store._commit = store._commit, lambda *_: None
+    store.append(0, visits.add_records(commands, before, NOW), before)
+    assert store.changed_rows("medical_records").isEmpty()
+    store._commit = commit
+    store.append(0, visits.add_records(commands, before, NOW), before)
+    written = store.changed_rows("medical_records").count()
+    assert written > 0
+    store.append(0, visits.add_records(commands.limit(0), before, NOW), before)
+    assert store.changed_rows("medical_records").count() == written

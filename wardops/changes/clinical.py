@@ -9,17 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from wardops.changes.billing import reprice_invoices
 from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, mark_known, mark_known_or_none, mark_user, reject, split
 from wardops.functions import clock, text
-from wardops.operators.numbering import allocate_ids, dense_number
+from wardops.operators.numbering import dense_number, last_id, new_ids
 from wardops.session import Stage, keep
 from wardops.tables import Tables
 
 OLDEST_BIRTH = date(1900, 1, 1)  # fixed value
 
 
-def _last(t: Tables, table: str, key: str):
-    return t[table].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
-
-
 def register_patients(
     commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
 ) -> Changes:
@@ -50,8 +46,8 @@ def register_patients(
         valid.join(free, "seq", "left"), [(F.col("is_free"), "Email address is already registered")]
     )
     numbered = stage(dense_number(accepted, "seq", "number"))
-    patient_id = (F.col("number") + _last(t, "patients", "patient_id")).alias("patient_id")
-    profile_id = (F.col("number") + _last(t, "patient_health_profile", "profile_id")).alias("profile_id")
+    patient_id = (F.col("number") + last_id(t, "patients")).alias("patient_id")
+    profile_id = (F.col("number") + last_id(t, "patient_health_profile")).alias("profile_id")
     rate = (F.col("rate_percent").cast("decimal(5,2)") / 100).cast("decimal(3,2)")
     policies = numbered.filter(insured).select(patient_id, rate.alias("coverage_rate"), "expiry_date", "provider")
     action = F.concat(F.lit("Registered new patient: "), "full_name")
@@ -95,10 +91,10 @@ def prescribe(commands: DataFrame, t: Tables, stage: Stage = keep) -> Changes:
         .agg(F.min(F.struct("seq", "doctor_id")).alias("first"))
         .select("record_id", "first.seq", "first.doctor_id")
     )
-    numbered = stage(allocate_ids(headers, "seq", t.prescriptions, "presc_id"))
+    numbered = stage(new_ids(headers, "seq", t, "prescriptions"))
     lines = accepted.join(numbered.select("record_id", "presc_id"), "record_id")
     if "detail_id" in t.presc_details.columns:
-        lines = allocate_ids(lines, "seq", t.presc_details, "detail_id")
+        lines = new_ids(lines, "seq", t, "presc_details")
     kept = [c for c in ("detail_id", "presc_id", "med_id", "quantity", "dosage") if c in lines.columns]
     return Changes(
         inserts={

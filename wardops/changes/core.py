@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardops.functions import clock
-from wardops.operators.numbering import allocate_ids
+from wardops.operators.numbering import gives_ids, highest_id, id_mark, new_ids
 from wardops.operators.pruning import PARTITION_COLUMNS
 from wardops.operators.rewrite import updated, with_rows, without
 from wardops.operators.spread import skew_join
@@ -57,10 +57,12 @@ class Changes:
         return list(dict.fromkeys(named))
 
     def audit_rows(self, t: Tables) -> DataFrame:
-        return allocate_ids(self.audit, "seq", t.audit_logs, "log_id").drop("seq")
+        return new_ids(self.audit, "seq", t, "audit_logs").drop("seq")
 
     def apply(self, t: Tables) -> Tables:
+        """The tables afterwards; ids of deleted rows stay used."""
         after: dict[str, DataFrame] = {}
+        marks: dict[str, DataFrame] = {}
         for name in self.touched():
             # New rows carry no partition value; the snapshot writer derives it.
             table = t[name].drop(*PARTITION_COLUMNS)
@@ -73,7 +75,15 @@ class Changes:
             if name == "audit_logs" and self.audit is not None:
                 table = with_rows(table, self.audit_rows(t))
             after[name] = table
-        return t.replace(**after)
+            if gives_ids(name, table) and (name in self.deletes or name in t.id_marks):
+                marks[name] = id_mark(t, name)
+                for given in self._new_rows(name, t):
+                    marks[name] = marks[name].unionByName(highest_id(name, given))
+        return t.replace(**after).marked(marks)
+
+    def _new_rows(self, name: str, t: Tables) -> list[DataFrame]:
+        rows = [self.inserts[name]] if name in self.inserts else []
+        return [*rows, self.audit_rows(t)] if name == "audit_logs" and self.audit is not None else rows
 
 
 def with_defaults(name: str, rows: DataFrame) -> DataFrame:

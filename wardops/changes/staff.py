@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, first_per, mark_user, reject, split
 from wardops.functions import text
 from wardops.operators.access import gate
-from wardops.operators.numbering import dense_number
+from wardops.operators.numbering import dense_number, last_id
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOCTOR, HR, LOGIN_ACTION
@@ -22,10 +22,6 @@ DELETE_DENIED = "Permission Denied: Only Admin or HR can delete staff"
 REQUIRED = ["full_name", "phone", "email", "username", "password"]
 
 
-def _last(t: Tables, table: str, key: str):
-    return t[table].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
-
-
 def add_staff(
     commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep
 ) -> Changes:
@@ -35,15 +31,15 @@ def add_staff(
     dept_name, role_name, username, password, specialty).  All three rows are
     made or none.  User names and addresses may be used once.
     """
-    allowed, denied = gate(
-        commands.withColumnRenamed("role_name", "new_role"), t, [ADMIN, HR], ADD_DENIED
-    )
+    # From here on a password is only its hash, so that none is staged.
+    hashed = commands.withColumn("password", F.when(text.filled(F.col("password")), F.sha2("password", 256)))
+    allowed, denied = gate(hashed.withColumnRenamed("role_name", "new_role"), t, [ADMIN, HR], ADD_DENIED)
     complete = F.lit(True)
     for name in REQUIRED:
         complete = complete & text.filled(F.col(name))
     departments = t.departments.groupBy("dept_name").agg(F.min("dept_id").alias("dept_id"))
     roles = t.roles.groupBy(F.col("role_name").alias("new_role")).agg(F.min("role_id").alias("role_id"))
-    placed = skew_join(skew_join(allowed, departments, ["dept_name"], "left"), roles, ["new_role"], "left")
+    placed = stage(skew_join(skew_join(allowed, departments, ["dept_name"], "left"), roles, ["new_role"], "left"))
     valid, invalid = split(
         placed,
         [
@@ -61,24 +57,24 @@ def add_staff(
         "seq", F.lit(True).alias("new_mail")
     )
     accepted, repeated = split(
-        valid.join(new_name, "seq", "left").join(new_mail, "seq", "left"),
+        stage(valid.join(new_name, "seq", "left").join(new_mail, "seq", "left")),
         [
             (F.col("new_name"), "User name is taken"),
             (F.col("new_mail"), "Email address is taken"),
         ],
     )
     numbered = stage(dense_number(accepted, "seq", "number"))
-    user_id = (F.col("number") + _last(t, "users", "user_id")).alias("user_id")
-    staff_id = (F.col("number") + _last(t, "staff", "staff_id")).alias("staff_id")
+    user_id = (F.col("number") + last_id(t, "users")).alias("user_id")
+    staff_id = (F.col("number") + last_id(t, "staff")).alias("staff_id")
     doctors = dense_number(
         numbered.filter((F.col("new_role") == DOCTOR) & text.filled(F.col("specialty"))), "seq", "doctor_number"
     )
-    doctor_id = (F.col("doctor_number") + _last(t, "doctors", "doctor_id")).alias("doctor_id")
+    doctor_id = (F.col("doctor_number") + last_id(t, "doctors")).alias("doctor_id")
     action = F.concat(F.lit("Added new staff member: "), "full_name")
     return Changes(
         inserts={
             "users": numbered.select(
-                user_id, "username", F.sha2("password", 256).alias("password_hash"), "role_id"
+                user_id, "username", F.col("password").alias("password_hash"), "role_id"
             ),
             "staff": numbered.select(
                 staff_id, "full_name", "dob", "gender", F.col("phone").alias("phone_number"), "email",

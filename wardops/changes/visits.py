@@ -11,7 +11,7 @@ from wardops.changes.core import (
 )
 from wardops.functions import clock, text
 from wardops.operators.access import gate
-from wardops.operators.numbering import allocate_ids, dense_number
+from wardops.operators.numbering import dense_number, last_id, new_ids
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.slots import clashing_requests, granted_requests
 from wardops.operators.spread import skew_join
@@ -57,8 +57,7 @@ def book_appointments(
     numbered = stage(dense_number(accepted, "seq", "number"))
 
     def next_id(table: str, key: str):
-        last = t[table].agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
-        return (F.col("number") + last).alias(key)
+        return (F.col("number") + last_id(t, table)).alias(key)
 
     booked = numbered.select(
         next_id("appointments", "appt_id"), "patient_id", "doctor_id", "appt_date",
@@ -148,7 +147,7 @@ def add_records(
             (F.col("has_admission"), "Unknown admission"),
         ],
     )
-    rows = stage(allocate_ids(accepted, "seq", t.medical_records, "record_id"))
+    rows = stage(new_ids(accepted, "seq", t, "medical_records"))
     done = rows.filter(F.col("appt_id").isNotNull()).select("appt_id").distinct()
     parent = F.coalesce("appt_id", "admission_id").cast("string")
     action = F.concat(F.lit("Created medical record for appt/adm: "), parent)

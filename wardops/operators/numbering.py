@@ -9,9 +9,11 @@ not on partition ids, so recomputed tasks give the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wardops.functions import clock
+from wardops.schemas import KEYS
+from wardops.tables import Tables
 
 LOW_BITS = 16
 HIGH_BITS = 38
@@ -110,3 +112,31 @@ def allocate_ids(
     """Give each new row the next free ``key`` of ``existing``, in sequence order."""
     last: Column = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
     return dense_number(rows, sequence, "_number").withColumn(key, F.col("_number") + last).drop("_number")
+
+
+def gives_ids(name: str, table: DataFrame) -> bool:
+    """True if the table has its key as a number."""
+    return KEYS[name] in table.columns and isinstance(table.schema[KEYS[name]].dataType, T.IntegralType)
+
+
+def highest_id(name: str, table: DataFrame) -> DataFrame:
+    return table.agg(F.max(KEYS[name]).cast("bigint").alias("last_id"))
+
+
+def id_mark(t: Tables, name: str) -> DataFrame:
+    """(last_id): the highest id ever given in a table; without a mark, the highest that is left."""
+    return t.id_marks[name] if name in t.id_marks else highest_id(name, t[name])
+
+
+def last_id(t: Tables, name: str) -> Column:
+    """The same as a scalar, 0 for a table that never had a row."""
+    return id_mark(t, name).agg(F.coalesce(F.max("last_id"), F.lit(0))).scalar()
+
+
+def new_ids(rows: DataFrame, sequence: str, t: Tables, name: str) -> DataFrame:
+    """Give each new row of a table the next id that was never used, in sequence order."""
+    return (
+        dense_number(rows, sequence, "_number")
+        .withColumn(KEYS[name], F.col("_number") + last_id(t, name))
+        .drop("_number")
+    )

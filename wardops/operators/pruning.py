@@ -52,3 +52,17 @@ def since(rows: DataFrame, stamp: str, start: Column) -> DataFrame:
     if "log_day" in rows.columns:
         kept = kept.filter(F.col("log_day") >= F.to_date(start))
     return kept
+
+
+def within_months(rows: DataFrame, stamp: str, requests: DataFrame) -> DataFrame:
+    """Rows from the first to the last month of requests (year, month)."""
+    number = F.col("year") * 100 + F.col("month")
+    start = F.make_date("year", "month", F.lit(1))
+    valid = requests.filter(F.col("month").between(1, 12) & F.col("year").between(1, 9999))
+    first, end = valid.agg(F.min(start)).scalar(), valid.agg(F.add_months(F.max(start), 1)).scalar()
+    kept = rows.filter((F.col(stamp) >= first.cast("timestamp_ntz")) & (F.col(stamp) < end.cast("timestamp_ntz")))
+    if "invoice_month" in rows.columns:
+        kept = kept.filter(
+            F.col("invoice_month").between(valid.agg(F.min(number)).scalar(), valid.agg(F.max(number)).scalar())
+        )
+    return kept

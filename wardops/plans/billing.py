@@ -11,7 +11,7 @@ from wardops.operators.access import permitted, with_role
 from wardops.operators.calendar import days_of_month
 from wardops.operators.coverage import active_policy, rate_or_zero, with_active_rate
 from wardops.operators.parents import left_linked, with_visit
-from wardops.operators.pruning import since, within_days
+from wardops.operators.pruning import since, within_days, within_months
 from wardops.operators.spread import left_spread, skew_join
 from wardops.schemas import ACCOUNTANT, ADMIN
 from wardops.tables import Tables
@@ -133,10 +133,13 @@ def monthly_revenue(t: Tables, year: int, month: int) -> DataFrame:
 
 
 def monthly_revenue_reports(t: Tables, requests: DataFrame) -> DataFrame:
-    """Many requests (executor_id, year, month) at once, each answered or refused."""
+    """Many requests (executor_id, year, month) at once, each answered or refused.
+
+    Only invoices from the first to the last month asked for are read.
+    """
     stamp = F.col("invoice_date")
     by_month = (
-        _paid(t)
+        within_months(_paid(t), "invoice_date", requests)
         .groupBy(F.year(stamp).alias("year"), F.month(stamp).alias("month"))
         .agg(_collected().alias("total_revenue"), F.count("invoice_id").alias("total_invoices"))
     )

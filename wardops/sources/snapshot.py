@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from wardops.operators.numbering import gives_ids, id_mark
 from wardops.operators.pruning import partition_of
 from wardops.schemas import SCHEMAS
 from wardops.sources.sqltext import write_insert_statements
 from wardops.tables import Tables
 
+ID_MARKS = "_id_marks"
 PARTITION_TYPES = {"invoice_month": T.IntegerType(), "log_day": T.DateType()}
 
 
@@ -50,15 +53,21 @@ def write_table(name: str, table: DataFrame, folder: str) -> None:
 
 
 def write_snapshot(t: Tables, root: str, when: datetime) -> str:
-    """Write every table and a description of the schemas; returns the folder."""
+    """Write every table, its highest id ever given and a description of the schemas; returns the folder."""
     folder = _folder(root, snapshot_name(when))
     described = []
+    marks = None
     spark = None
     for name in t:
         table = t[name]
         spark = table.sparkSession
         write_table(name, table, f"{folder}/{name}")
         described.append((name, table.schema.json()))
+        if gives_ids(name, table):
+            mark = id_mark(t, name).select(F.lit(name).alias("table_name"), "last_id")
+            marks = mark if marks is None else marks.unionByName(mark)
+    if marks is not None:
+        marks.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{ID_MARKS}")
     if spark is not None:
         schemas = spark.createDataFrame(described, "table_name string, schema_json string")
         schemas.coalesce(1).write.mode("errorifexists").json(f"{folder}/_schemas")
@@ -83,4 +92,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> Tables:
-    return Tables({name: lambda name=name: read_table(spark, folder, name) for name in SCHEMAS})
+    tables = Tables({name: lambda name=name: read_table(spark, folder, name) for name in SCHEMAS})
+    try:
+        marks = spark.read.schema("table_name string, last_id bigint").parquet(f"{folder.rstrip('/')}/{ID_MARKS}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return tables  # an older snapshot: ids follow the highest that is left
+    numbered = [name for name, schema in SCHEMAS.items() if isinstance(schema.fields[0].dataType, T.IntegralType)]
+    return tables.marked({name: marks.filter(F.col("table_name") == name).select("last_id") for name in numbered})

@@ -26,7 +26,9 @@ AS_OF = datetime(1999, 6, 15, 9, 55)
 def _run(
     spark: SparkSession, sf_dir: str, source: str, table: str, writes: list[str],
     rule: Callable[[DataFrame, Tables], Changes], commands: Callable[[Tables], DataFrame],
+    once_per: str | None = None,
 ) -> DeltaStore:
+    """``once_per``: only the first row of each value arrives, over all micro-batches."""
     folder = shared_folder(configure(spark), f"stream-{table}")
     store = DeltaStore(spark, f"{folder}/state", bridge_tables(spark, sf_dir), writes)
     path = stored_table(sf_dir, source)
@@ -35,6 +37,8 @@ def _run(
         .option("maxFilesPerTrigger", 1)
         .parquet(path)
     )
+    if once_per:
+        arriving = arriving.dropDuplicates([once_per])
 
     def as_commands(batch: DataFrame, t: Tables) -> Changes:
         arrived = getattr(Bridge(spark, sf_dir).over(**{source: batch}), table)()
@@ -95,5 +99,6 @@ def logins_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "events", "users", ["audit_logs"],
         lambda c, t: staff.log_logins(c, t, AS_OF),
         batches.logins,
+        once_per="user_id",
     )
     return _changed(store, "audit_logs")

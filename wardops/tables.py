@@ -10,10 +10,15 @@ Frame = DataFrame | Callable[[], DataFrame]
 
 
 class Tables(Mapping[str, DataFrame]):
-    """``tables.invoices`` or ``tables["invoices"]``; ``replace`` gives a copy."""
+    """``tables.invoices`` or ``tables["invoices"]``; ``replace`` gives a copy.
 
-    def __init__(self, frames: Mapping[str, Frame]):
+    ``id_marks`` holds, for some tables, a frame (last_id) with the highest id ever
+    given there, which stays when the row with that id is deleted.
+    """
+
+    def __init__(self, frames: Mapping[str, Frame], id_marks: Mapping[str, DataFrame] | None = None):
         self._frames: dict[str, Frame] = dict(frames)
+        self.id_marks: dict[str, DataFrame] = dict(id_marks or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         frame = self._frames[name]
@@ -33,4 +38,8 @@ class Tables(Mapping[str, DataFrame]):
         return len(self._frames)
 
     def replace(self, **frames: Frame) -> "Tables":
-        return Tables({**self._frames, **frames})
+        return Tables({**self._frames, **frames}, self.id_marks)
+
+    def marked(self, id_marks: Mapping[str, DataFrame]) -> "Tables":
+        """The same tables with more, or newer, id marks."""
+        return Tables(self._frames, {**self.id_marks, **id_marks})
