@@ -225,6 +225,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w01_rejected": lambda t: _register(t).rejected,
     "w02_new_prescriptions": lambda t: _prescribe(t).inserts["prescriptions"],
     "w02_new_lines": lambda t: _prescribe(t).inserts["presc_details"].drop("seq"),
+    "w02_rejected": lambda t: _prescribe(t).rejected,
     "w03_new_appointments": lambda t: _book(t).inserts["appointments"],
     "w03_new_invoices": lambda t: _book(t).inserts["invoices"],
     "w03_audit": lambda t: _book(t).audit_rows(t),
@@ -235,6 +236,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w05_new_records": lambda t: _record(t).inserts["medical_records"],
     "w05_appointments": lambda t: _record(t).apply(t).appointments,
     "w05_audit": lambda t: _record(t).audit_rows(t),
+    "w05_rejected": lambda t: _record(t).rejected,
     "w06_repriced_invoices": lambda t: _reprice(t).updates["invoices"],
     "w06_after_new_lines": _reprice_new_lines,
     "w07_paid_invoices": lambda t: _pay(t).updates["invoices"],

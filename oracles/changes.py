@@ -51,24 +51,32 @@ COMMANDS = {
         FROM appointments, (SELECT 0 AS step UNION ALL SELECT 1) s
         WHERE status IN ('Scheduled','CheckedIn')""",
     "cmd_records": """
-        SELECT appt_id AS seq, appt_id % 16 + 1 AS executor_id, appt_id, CAST(NULL AS BIGINT) AS admission_id,
+        SELECT appt_id AS seq, appt_id % 16 + 1 AS executor_id,
+          CASE WHEN appt_id % 10 = 4 THEN -appt_id ELSE appt_id END AS appt_id,
+          CASE WHEN appt_id % 10 = 6 THEN -appt_id END AS admission_id,
           'fever' AS symptoms, CASE WHEN appt_id % 10 = 0 THEN '' ELSE 'influenza' END AS diagnosis,
           'rest' AS doctor_notes
         FROM appointments WHERE status = 'In-Progress'""",
     "done_records": """
-        SELECT * FROM cmd_records WHERE diagnosis <> '' AND executor_id IN (SELECT user_id FROM users)""",
+        SELECT * FROM cmd_records WHERE diagnosis <> '' AND executor_id IN (SELECT user_id FROM users)
+          AND appt_id IN (SELECT appt_id FROM appointments)
+          AND (admission_id IS NULL OR admission_id IN (SELECT admission_id FROM admissions))""",
     "cmd_lines": """
-        SELECT record_id * 2 + step AS seq, record_id, CAST(1000000 AS BIGINT) AS doctor_id,
+        SELECT record_id * 2 + step AS seq, record_id,
+          CASE WHEN record_id % 8 <> 5 THEN record_id % 8 + 1000000 END AS doctor_id,
           (record_id * 3 + step) % (SELECT count(*) FROM medicines) + 1 AS med_id,
           CAST(record_id % 5 AS INTEGER) AS quantity, '1 daily' AS dosage
         FROM medical_records, (SELECT 0 AS step UNION ALL SELECT 1) s""",
+    "done_lines": """
+        SELECT * FROM cmd_lines
+        WHERE quantity >= 1 AND (doctor_id IS NULL OR doctor_id IN (SELECT doctor_id FROM doctors))""",
     "new_prescriptions": """
         SELECT (SELECT max(presc_id) FROM prescriptions) + row_number() OVER (ORDER BY min(seq)) AS presc_id,
           record_id, min(doctor_id) AS doctor_id
-        FROM cmd_lines WHERE quantity >= 1 GROUP BY record_id""",
+        FROM done_lines GROUP BY record_id""",
     "new_lines": """
         SELECT n.presc_id, c.med_id, c.quantity, c.dosage, c.seq
-        FROM cmd_lines c JOIN new_prescriptions n USING (record_id) WHERE c.quantity >= 1""",
+        FROM done_lines c JOIN new_prescriptions n USING (record_id)""",
     "cmd_registrations": f"""
         SELECT patient_id AS seq, patient_id % 16 + 1 AS executor_id, concat(full_name, ' Jr') AS full_name, dob, gender,
           CASE WHEN patient_id % 20 = 1 THEN '' ELSE phone END AS phone,
@@ -151,6 +159,15 @@ CHANGE_SQL = {
         FROM cmd_registrations WHERE seq NOT IN (SELECT seq FROM done_registrations)""",
     "w02_new_prescriptions": "SELECT * FROM new_prescriptions",
     "w02_new_lines": "SELECT presc_id, med_id, quantity, dosage FROM new_lines",
+    "w02_rejected": """
+        SELECT seq, CASE WHEN quantity < 1 THEN 'Quantity must be at least 1' ELSE 'Unknown doctor' END AS reason
+        FROM cmd_lines WHERE seq NOT IN (SELECT seq FROM done_lines)""",
+    "w05_rejected": """
+        SELECT seq, CASE WHEN diagnosis = '' THEN 'Please fill in symptoms and diagnosis'
+          WHEN executor_id NOT IN (SELECT user_id FROM users) THEN 'Unknown user'
+          WHEN appt_id NOT IN (SELECT appt_id FROM appointments) THEN 'Unknown appointment'
+          ELSE 'Unknown admission' END AS reason
+        FROM cmd_records WHERE seq NOT IN (SELECT seq FROM done_records)""",
     "w03_new_appointments": """
         SELECT (SELECT max(appt_id) FROM appointments) + n AS appt_id, patient_id, doctor_id, appt_date,
           CAST(NULL AS TIMESTAMP) AS completed_at, 'Scheduled' AS status FROM done_bookings""",

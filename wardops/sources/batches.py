@@ -66,11 +66,12 @@ def visit_states(t: Tables) -> DataFrame:
 
 
 def records(t: Tables) -> DataFrame:
-    """A record for every running visit; each tenth lacks a diagnosis."""
+    """A record for every running visit; of ten, one lacks a diagnosis and two name a visit or stay that is not there."""
     key = F.col("appt_id")
     return t.appointments.filter(F.col("status") == "In-Progress").select(
-        key.alias("seq"), _executor(key), "appt_id",
-        F.lit(None).cast("bigint").alias("admission_id"),
+        key.alias("seq"), _executor(key),
+        F.when(key % 10 == 4, -key).otherwise(key).alias("appt_id"),
+        F.when(key % 10 == 6, -key).alias("admission_id"),
         F.lit("fever").alias("symptoms"),
         F.when(key % 10 == 0, "").otherwise("influenza").alias("diagnosis"),
         F.lit("rest").alias("doctor_notes"),
@@ -78,13 +79,13 @@ def records(t: Tables) -> DataFrame:
 
 
 def prescription_lines(t: Tables) -> DataFrame:
-    """Two lines per medical record; each fifth record asks for quantity 0."""
+    """Two lines per medical record; each fifth record asks for quantity 0, a quarter names nobody's doctor id, some none."""
     step = F.col("step")
     record = F.col("record_id")
     medicines = t.medicines.agg(F.count("*")).scalar()
     return t.medical_records.select("record_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).select(
         (record * 2 + step).alias("seq"), "record_id",
-        F.lit(1_000_000).cast("bigint").alias("doctor_id"),
+        F.when(record % 8 != 5, record % 8 + 1_000_000).alias("doctor_id"),
         ((record * 3 + step) % medicines + 1).alias("med_id"),
         (record % 5).cast("int").alias("quantity"),
         F.lit("1 daily").alias("dosage"),
