@@ -320,3 +320,39 @@ def test_mix(spark, edge_dir, where):
     rows = mixing.mixed(docs)
     assert rows.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == got.agg(F.sum("taken")).first()[0]
     assert set(docs.columns) <= set(rows.columns)
+
+
+def test_language_learns_every_label(spark, tmp_path):
+    from wardops.llm import language
+
+    rng, rows = np.random.default_rng(5), []
+    for i in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)]
+        for j in range(6 if i < 65 else 3 * (i - 64)):
+            rows.append((100 * i + j, " ".join(rng.choice(words, 40)), f"l{i:02d}"))
+    rows += [(9000, rows[0][1] + " " + "漢" * 30, "zz"), (9001, "漢字" * 40, "zz"), (9002, "漢字" * 50, "zz"), (9003, "漢字" * 45, "zz")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    seen = {r.lang for r in docs.where(language.training_side(F.col("doc_id"))).select("lang").distinct().collect()}
+    model = language.fit(docs)
+    assert len(seen) > 64 and set(model.languages) == seen
+    got = {r.doc_id: r.lang_pred for r in language.with_language(docs, model).select("row.doc_id", "lang_pred").collect()}
+    assert sum(got[d] == lang for d, _, lang in rows if lang in seen) >= 0.97 * len(rows)
+
+
+def test_language_chains_agree(monkeypatch):
+    from wardops.llm import language
+
+    rng = np.random.default_rng(6)
+    scores, moves, begin = rng.normal(size=(150, 5)), rng.normal(size=(5, 5)), rng.normal(size=5)
+    starts = np.zeros(150, bool)
+    starts[[0, 7, 8, 140]] = True
+    for one, other in zip(language.forward_backward(scores, starts, moves, begin), language.step_by_step(scores, starts, moves, begin)):
+        assert np.allclose(one / one.sum(axis=1, keepdims=True), other / other.sum(axis=1, keepdims=True))
+    texts = pa.array([" ".join(rng.choice(["ab", "cde", "fgh", "xyz"], n)) for n in (3, 0, 90, 1, 17)])
+    weights = rng.normal(size=(1 << language.BITS, 5)).astype(np.float32)
+    model = language.Model(list("abcde"), weights, moves, begin, np.zeros(0, np.uint64))
+    whole = language.predict(model, texts)[2]
+    monkeypatch.setattr(language, "FEW", 1)
+    monkeypatch.setattr(language, "CELLS", 50)
+    assert np.allclose(language.predict(model, texts)[2], whole)
