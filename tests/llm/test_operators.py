@@ -356,3 +356,45 @@ def test_language_chains_agree(monkeypatch):
     monkeypatch.setattr(language, "FEW", 1)
     monkeypatch.setattr(language, "CELLS", 50)
     assert np.allclose(language.predict(model, texts)[2], whole)
+
+
+def test_targets_over_a_table(spark):
+    for sizes in ([100, 100, 100], [10, 1000, 0], [0, 0], [5, 9, 1, 400, 3, 80, 1000, 2]):
+        frame = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "number long, source_size long")
+        got = [r.target for r in mixing.with_targets(frame, mixing.WEIGHTS).orderBy("number").collect()]
+        assert np.allclose(got, mixing.targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]))
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    from collections import Counter
+
+    rows = [(i, f"host{i % 6000:05d}" if i % 5 else "hot", "w " * (1 + i % 7)) for i in range(12_000)] + [(-1, None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    size = mixing.word_count(F.col("text"))
+    plain = [tuple(map(str, r)) for r in mixing.with_placements(docs, size, mixing.row_key()).collect()]
+    assert len(plain) == len(rows)
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 10)
+    got = mixing.with_placements(docs, size, mixing.row_key()).collect()
+    assert sorted(tuple(map(str, r)) for r in got) == sorted(plain)
+    of, taken, wanted = Counter(), Counter(), {}
+    for r in got:
+        of[r.row.source] += r["size"]
+        taken[r.row.source] += r["size"] * len(r.placements)
+        wanted[r.row.source] = (r.target, r.source_size)
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    expected = mixing.targets([of[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    assert len(names) > 4096 and all(wanted[s][1] == of[s] for s in names)
+    assert np.allclose([wanted[s][0] for s in names], expected)
+    assert all(abs(taken[s] - t) <= 7 for s, t in zip(names, expected))
+
+
+def test_group_quotas_add_up():
+    drawn = np.random.default_rng(1).integers(0, 300, 50)
+    groups = [drawn[:20], drawn[20:]]
+    split = mixing.split_quotas([int(g.sum()) for g in groups], 16, of=(0, 1))
+    for i, g in enumerate(groups):
+        out = mixing.split_quotas(g, 16, of=(i,), wanted=split[:, i])
+        assert (out.sum(axis=1) == split[:, i]).all() and (out.sum(axis=0) == g).all() and (out >= 0).all()
+    assert (mixing.split_quotas(drawn, 16) == mixing.split_quotas(drawn, 16, wanted=mixing.split_quotas(drawn, 16).sum(axis=1))).all()
+    big = mixing.split_quotas([10**9, 7, 10**9], 16)
+    assert big.sum(axis=0).tolist() == [10**9, 7, 10**9] and (big >= 0).all()

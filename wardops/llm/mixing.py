@@ -8,11 +8,13 @@ tree hands its left half a multivariate-hypergeometric draw of its blocks.  Ever
 shard then takes the next blocks of each source's permuted order, so shards are
 disjoint, and orders its rows by a hash.
 
-What leaves the executors is one sum per source and block, bounded by
-``MAX_SOURCES * BLOCKS`` rows whatever the number of documents; more sources than
-that raise an error.  Rows are placed by one broadcast join on (source, block);
-no row is shuffled, so a source with a third of all rows costs nothing extra.
-Everything depends on keys and ``seed`` alone, so reruns agree.
+Any number of sources is mixed.  They are numbered in order of name and their
+targets reshared by aggregates over one row a source; blocks are chosen on the
+executors, a source a row.  The tree first splits the blocks of groups of ``GROUP``
+sources, on the driver, then those of each group's sources, in one call a group.
+Rows are placed by a join on (source, block): a broadcast one, which shuffles no
+row, up to ``PLAN_ROWS`` rows of the plan, else a shuffled one whose hot keys adaptive
+execution splits.  Everything depends on keys and ``seed`` alone, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; a null id is replaced by the text's MD5; repeated rows of one id share a
@@ -22,17 +24,19 @@ words are taken with their block and count 0 words.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .frames import staged, table
 from .sharding import hash60
 
 BLOCK_BITS = 8
 BLOCKS = 1 << BLOCK_BITS
-MAX_SOURCES = 4096
+GROUP = 4096
+PLAN_ROWS = 1 << 17
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
@@ -63,8 +67,13 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE
     return found
 
 
-def split_quotas(drawn: Sequence[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source for each shard (shards x sources); columns add up to ``drawn``."""
+def split_quotas(
+    drawn: Sequence[int], shards: int, seed: int = SEED, of: Sequence[int] = (0,), wanted: np.ndarray | None = None
+) -> np.ndarray:
+    """Blocks of each source for each shard (shards x sources); columns add up to ``drawn``, rows to ``wanted`` if given.
+
+    ``of`` tells draws over different groups of sources apart.
+    """
     out = np.zeros((shards, len(drawn)), np.int64)
 
     def node(low: int, high: int, counts: np.ndarray) -> None:
@@ -72,9 +81,16 @@ def split_quotas(drawn: Sequence[int], shards: int, seed: int = SEED) -> np.ndar
             out[low] = counts
             return
         middle = (low + high) // 2
-        rng = np.random.default_rng([seed, low, high])
-        share = int(counts.sum()) * (middle - low) // (high - low)
-        left = rng.multivariate_hypergeometric(counts, share, method="marginals") if share else np.zeros_like(counts)
+        rng = np.random.default_rng([seed, low, high, *of])
+        total = int(counts.sum())
+        share = total * (middle - low) // (high - low) if wanted is None else int(wanted[low:middle].sum())
+        if not share:
+            left = np.zeros_like(counts)
+        elif total < 10**9:
+            left = rng.multivariate_hypergeometric(counts, share, method="marginals")
+        else:  # more than numpy draws from: in proportion, which at such totals differs little
+            upto = [int(c) * share // total for c in np.cumsum(counts)]
+            left = np.diff(upto, prepend=0)
         node(low, middle, left)
         node(middle, high, counts - left)
 
@@ -123,49 +139,132 @@ def _block(key: Column, seed: int) -> tuple[Column, Column]:
     return block, (F.shiftright(hashed, 60 - 2 * BLOCK_BITS) % BLOCKS).cast("int")
 
 
+def numbered(totals: DataFrame) -> DataFrame:
+    """``totals`` (source, source_size) with each source's number in order of name, null last; no task sorts them all."""
+    last = F.col("source").isNull()
+    ranges = totals.repartitionByRange(last, F.col("source")).withColumn("range", F.spark_partition_id())
+    ranges = staged(ranges, "mix-sources")
+    before, offsets = 0, {}
+    for r in ranges.groupBy("range").count().orderBy("range").collect():
+        offsets[r["range"]] = before
+        before += r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for p in offsets.items() for x in p]), F.col("range").cast("long")) if offsets else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("range").orderBy(last, "source"))
+    return ranges.select("source", "source_size", (offset + within - 1).cast("long").alias("number"))
+
+
+def with_targets(sources: DataFrame, weights: Sequence[float], share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """``targets`` over one row a source: the level per weight rises until no further source is above its cap."""
+    kind = F.pmod("number", F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), kind + 1)
+    most = F.lit(float(cap)) * F.col("source_size")
+    words, level, closed = sources.agg(F.sum("source_size")).first()[0] or 0, None, -1
+    while True:
+        above = F.lit(False) if level is None else F.lit(level) * weight > most
+        rows = sources.groupBy(kind.alias("kind")).agg(
+            F.count_if(above).alias("closed"), F.count_if(~above).alias("open"),
+            F.sum(F.when(above, F.col("source_size")).otherwise(0)).alias("taken"),
+        ).orderBy("kind").collect()
+        now = sum(r["closed"] for r in rows)
+        if now == closed:
+            break
+        closed, open_ = now, sum(weights[r["kind"]] * r["open"] for r in rows)
+        if not open_:
+            break
+        level = (share * words - cap * sum(r["taken"] for r in rows)) / open_
+    fit = F.lit(level) * weight if level is not None else most
+    return sources.withColumn("target", F.least(fit, most) if rows and open_ else most)
+
+
+UNIT = pa.struct([("turn", pa.int32()), ("block", pa.int32()), ("parts", pa.list_(pa.int32()))])
+PLACE = pa.struct([("turn", pa.int32()), ("shard", pa.int32()), ("parts", pa.list_(pa.int32()))])
+UNIT_SQL = "array<struct<turn:int,block:int,parts:array<int>>>"
+PLACE_SQL = "array<struct<turn:int,shard:int,parts:array<int>>>"
+
+
 def mix_plan(sums: DataFrame, weights: Sequence[float], shards: int, seed: int) -> DataFrame:
     """One row per (source, block): the source's size and target, and its placements.
 
     ``sums`` holds (source, block, part, size); a placement is a turn, a shard and
     the parts taken (none listed: all).
     """
-    spark = sums.sparkSession
-    totals = sums.groupBy("source", "block").agg(F.sum("size").alias("size"))
-    n = sums.select("source").distinct().limit(MAX_SOURCES + 1).count()
-    if n > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    by_source: dict[str | None, np.ndarray] = {}
-    for source, block, size in totals.collect():
-        by_source.setdefault(source, np.zeros(BLOCKS, np.int64))[block] = size
-    names = sorted(by_source, key=lambda s: (s is None, s or ""))
-    sizes = [int(by_source[s].sum()) for s in names]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    chosen = [choose_blocks(by_source[s], wanted[i], i, seed) for i, s in enumerate(names)]
-    cut = [(s, c[2][1]) for s, c in zip(names, chosen, strict=True) if c[2]]
-    parts: dict[str | None, dict[int, int]] = {}
-    if cut:
-        edges = spark.createDataFrame(cut, "source string, block int")
-        inside = sums.alias("s").join(
-            F.broadcast(edges.alias("e")), F.expr("s.source <=> e.source AND s.block = e.block"), "left_semi"
-        )
-        for source, part, size in inside.groupBy("source", "part").agg(F.sum("size")).collect():
-            parts.setdefault(source, {})[part] = size
-    units = []  # per source: (turn, block, parts), in permuted order
-    for s, (drawn, left, partial) in zip(names, chosen, strict=True):
-        unit = [(turn, block, []) for turn, block in drawn]
-        if partial and (some := choose_parts(parts[s], left)):
-            unit.append((*partial, some))
-        units.append(unit)
-    quotas = split_quotas([len(u) for u in units], shards, seed)
-    rows = []
-    for i, s in enumerate(names):
-        placed: dict[int, list] = {}
-        shard_of = np.repeat(np.arange(shards), quotas[:, i]).tolist()
-        for (turn, block, some), shard in zip(units[i], shard_of, strict=True):
-            placed.setdefault(block, []).append((turn, shard, some))
-        rows += [(s, b, sizes[i], wanted[i], placed.get(b, [])) for b in range(BLOCKS)]
-    kind = "array<struct<turn:int,shard:int,parts:array<int>>>"
-    return spark.createDataFrame(rows, f"source string, block int, source_size long, target double, placed {kind}")
+    blocks = staged(sums.groupBy("source", "block").agg(F.sum("size").alias("size")), "mix-blocks")
+    sources = staged(numbered(blocks.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-numbers")
+    sources = with_targets(sources, weights)
+    sizes = blocks.groupBy("source").agg(F.collect_list(F.struct("block", "size")).alias("sizes"))
+    per_source = sources.alias("s").join(sizes.alias("z"), F.expr("s.source <=> z.source")).select("s.*", "sizes")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for number, target, pairs in zip(*(batch.column(c).to_pylist() for c in ("number", "target", "sizes"))):
+                own = np.zeros(BLOCKS, np.int64)
+                for pair in pairs:
+                    own[pair["block"]] = pair["size"]
+                drawn, left, partial = choose_blocks(own, target, number, seed)
+                units = [{"turn": turn, "block": block, "parts": []} for turn, block in drawn]
+                found.append((units, left, *(partial or (None, None)), [pair["block"] for pair in pairs]))
+            kinds = (pa.list_(UNIT), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            kept = [batch.column(c) for c in ("source", "number", "source_size", "target")]
+            yield pa.RecordBatch.from_arrays(
+                kept + columns, ["source", "number", "source_size", "target", "units", "left", "cut_turn", "cut_block", "blocks"]
+            )
+
+    head = "source string, number long, source_size long, target double"
+    chosen = staged(
+        per_source.mapInArrow(choose, f"{head}, units {UNIT_SQL}, left double, cut_turn int, cut_block int, blocks array<int>"), "mix-chosen"
+    )
+    edges = chosen.where("cut_block IS NOT NULL").select("source", "number", "cut_block")
+    inside = sums.alias("s").join(edges.alias("e"), F.expr("s.source <=> e.source AND s.block = e.cut_block"))
+    parts = inside.groupBy("number").agg(F.collect_list(F.struct("part", "size")).alias("sizes"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = batch.column("units").to_pylist()
+            names = ("left", "cut_turn", "cut_block", "sizes")
+            for own, left, turn, block, pairs in zip(units, *(batch.column(c).to_pylist() for c in names)):
+                if pairs and (some := choose_parts({pair["part"]: pair["size"] for pair in pairs}, left)):
+                    own.append({"turn": turn, "block": block, "parts": some})
+            kept = [batch.column(c) for c in ("source", "number", "source_size", "target", "blocks")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(units, pa.list_(UNIT))], ["source", "number", "source_size", "target", "blocks", "units"]
+            )
+
+    units = staged(
+        chosen.join(parts, "number", "left").mapInArrow(cut, f"{head}, blocks array<int>, units {UNIT_SQL}"), "mix-units"
+    )
+    counts = units.select(F.expr(f"number div {GROUP}").alias("grp"), "number", F.size("units").alias("drawn"))
+    groups = counts.groupBy("grp").agg(F.sum("drawn").alias("drawn")).orderBy("grp").collect()
+    split = split_quotas([g.drawn for g in groups], shards, seed, (0, 1))
+    wanted = {g.grp: split[:, i].tolist() for i, g in enumerate(groups)}
+
+    def share_out(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by("number")
+        group = rows.column("grp")[0].as_py()
+        quotas = split_quotas(rows.column("drawn").to_pylist(), shards, seed, (group,), np.array(wanted[group]))
+        return pa.table({"number": rows.column("number"), "quota": pa.array(quotas.T.tolist(), pa.list_(pa.int32()))})
+
+    quotas = counts.groupBy("grp").applyInArrow(share_out, "number long, quota array<int>")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, block_of, placed_of = [], [], []
+            for i, (blocks_, units_, quota) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("blocks", "units", "quota")))):
+                placed: dict[int, list] = {}
+                for unit, shard in zip(units_, np.repeat(np.arange(shards), quota).tolist(), strict=True):
+                    placed.setdefault(unit["block"], []).append({"turn": unit["turn"], "shard": shard, "parts": unit["parts"]})
+                at += [i] * len(blocks_)
+                block_of += blocks_
+                placed_of += [placed.get(b, []) for b in blocks_]
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("source", "source_size", "target")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(block_of, pa.int32()), pa.array(placed_of, pa.list_(PLACE))],
+                ["source", "source_size", "target", "block", "placed"],
+            )
+
+    kind = f"source string, source_size long, target double, block int, placed {PLACE_SQL}"
+    return staged(units.join(quotas, "number").mapInArrow(place, kind), "mix-plan")
 
 
 def with_placements(
@@ -179,7 +278,9 @@ def with_placements(
     )
     sums = staged(sized.groupBy("source", "block", "part").agg(F.sum("size").alias("size")), "mix-sums")
     plan = mix_plan(sums, weights, shards, seed)
-    joined = sized.alias("d").join(F.broadcast(plan.alias("p")), F.expr("d.source <=> p.source AND d.block = p.block"))
+    small = plan.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS
+    plan = F.broadcast(plan) if small else plan.hint("merge")
+    joined = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d.block = p.block"))
     taken = F.filter("placed", lambda p: (F.size(p["parts"]) == 0) | F.array_contains(p["parts"], F.col("part")))
     return joined.select(
         "row", "key", "size", "source_size", "target",
