@@ -398,3 +398,34 @@ def test_group_quotas_add_up():
     assert (mixing.split_quotas(drawn, 16) == mixing.split_quotas(drawn, 16, wanted=mixing.split_quotas(drawn, 16).sum(axis=1))).all()
     big = mixing.split_quotas([10**9, 7, 10**9], 16)
     assert big.sum(axis=0).tolist() == [10**9, 7, 10**9] and (big >= 0).all()
+
+
+def test_mix_follows_the_splitting_tree(spark, tmp_path):
+    from collections import defaultdict
+
+    rows = [(i, "ab"[i % 3 // 2], "w " * (1 + i % 7), None) for i in range(12_000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    block, part = mixing._block(mixing.row_key(), mixing.SEED)
+    at = {r.doc_id: (r.source, r.block, r.part) for r in docs.select("doc_id", "source", block.alias("block"), part.alias("part")).collect()}
+    got = mixing.op10_mixing(spark, str(tmp_path)).collect()
+    copies = sorted((r.doc_id, s, p) for r in got for s, p in zip(r.shards, r.places, strict=True))
+    mix = mixing.mixed(docs).select("doc_id", "mix_shard", "mix_place").collect()
+    assert copies == sorted(map(tuple, mix)) and len({p for _, _, p in copies}) == len(copies)
+    sizes, parts, target, found = {}, defaultdict(lambda: defaultdict(int)), {}, {}
+    for r in got:
+        source, b, p = at[r.doc_id]
+        target[source] = r.target
+        sizes.setdefault(source, np.zeros(mixing.BLOCKS, np.int64))[b] += r["size"]
+        parts[source, b][p] += r["size"]
+        found[source, b] = max(found.get((source, b), []), r.shards, key=len)
+    drawn = []
+    for i, source in enumerate("ab"):
+        assert sizes[source].min() > 0
+        whole, left, partial = mixing.choose_blocks(sizes[source], target[source], i)
+        drawn.append(len(whole) + bool(partial and mixing.choose_parts(parts[source, partial[1]], left)))
+    counts = np.zeros((mixing.SHARDS, 2), np.int64)
+    for (source, _), shards in found.items():
+        for shard in shards:
+            counts[shard, "ab".index(source)] += 1
+    assert (counts == mixing.split_quotas(drawn, mixing.SHARDS)).all()

@@ -16,6 +16,9 @@ Rows are placed by a join on (source, block): a broadcast one, which shuffles no
 row, up to ``PLAN_ROWS`` rows of the plan, else a shuffled one whose hot keys adaptive
 execution splits.  Everything depends on keys and ``seed`` alone, so reruns agree.
 
+``op10`` returns, besides the words taken, the shard and the place in the shard's
+shuffled order of every taken copy, as two arrays a document.
+
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; a null id is replaced by the text's MD5; repeated rows of one id share a
 block and are taken alike; an empty table gives an empty result; rows without
@@ -292,11 +295,16 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
+def _place(key: Column, turn: Column) -> Column:
+    """A copy's place in the shuffled order of its shard."""
+    return hash60(F.concat_ws("|", F.lit("place"), key, turn.cast("string")))
+
+
 def mixed(rows: DataFrame, **options) -> DataFrame:
     """One row per taken copy: the input's columns, its shard and its place in the shard."""
     placed = with_placements(rows, word_count(F.col("text")), row_key(), **options)
     copies = placed.select("row", "key", F.explode("placements").alias("at"))
-    place = hash60(F.concat_ws("|", F.lit("place"), "key", F.col("at.turn").cast("string")))
+    place = _place(F.col("key"), F.col("at.turn"))
     return copies.select("row.*", F.col("at.shard").alias("mix_shard"), place.alias("mix_place"))
 
 
@@ -312,5 +320,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     placed = with_placements(sizes, F.col("n_words"), F.col("row_key"))
     return placed.select(
-        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).cast("long").alias("taken")
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("placements")).cast("long").alias("taken"),
+        F.col("placements.shard").alias("shards"),
+        F.transform("placements", lambda p: _place(F.col("key"), p["turn"])).alias("places"),
     )
