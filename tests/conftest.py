@@ -8,8 +8,6 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,6 +22,7 @@ def spark():
 @pytest.fixture(scope="session")
 def bridge(spark, tmp_path_factory):
     """The bridged tables, written once so that tests plan and run quickly."""
+    from harness import SMALL
     from wardops import Tables
     from wardops.sources.bridge import bridge_tables
 

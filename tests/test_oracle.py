@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 import harness
-from conftest import SMALL
+from harness import SMALL
 
 QUERIES = {name: run for name, run in entry_points.queries().items() if name not in entry_points.CORPUS}
 SQL = {name: sql for name, sql in entry_points.oracle_sql().items() if name not in entry_points.CORPUS}

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
-from conftest import SMALL
+from harness import SMALL
 from wardops.plans import audit, billing
 from wardops.sources.bridge import bridge_tables
 
@@ -33,7 +33,7 @@ def no_broadcast(spark):
 @pytest.mark.parametrize("name", sorted(LAZY))
 def test_no_nested_loops_forced_broadcasts_or_python(spark, no_broadcast, name):
     plan = plan_of(LAZY[name](spark, SMALL))
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastExchange", "EvalPython", "MapInPandas"):
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastExchange", "EvalPython", "Python", "Pandas", "InArrow"):
         assert operator not in plan
 
 

@@ -117,7 +117,7 @@ def test_24h_counts(spark, tmp_path):
 
 
 def test_streams_read_folders_of_part_files(spark, tmp_path):
-    from conftest import SMALL
+    from harness import SMALL
     from wardops.streaming.activity import actions_24h_stream
 
     events = spark.read.parquet(f"{SMALL}/events.parquet")
