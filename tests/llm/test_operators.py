@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF  # noqa: F401  (tests/llm/conftest.py comes first on the path)
+from corpus_data import SF
 from pyspark.sql import functions as F
 
 from wardops.llm import lines, mixing, neighbours, pii, quality, registry, sharding, simhash, substrings, winnowing

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import brute
-from conftest import SF
+from corpus_data import SF
 
 import corpus_pipeline as pipeline
 from wardops.llm import mixing, quality, sharding
