@@ -62,7 +62,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows with few text bytes each (a longer text stands alone)."""
     for batch in batches:
         sizes = np.diff(text_bytes(texts_of(batch.column(column)))[1])
@@ -70,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < batch.num_rows:
             before = total[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+            upto = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(at, upto - at)
             at = upto
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, neighbours, pii, quality, sharding, simhash, substrings, winnowing
+from . import importance, language, lines, mixing, neighbours, pii, quality, sharding, simhash, substrings, winnowing
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op12_importance": importance.op12_importance,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op3_lines": lines.op3_sql(),
     "op5_substrings": substrings.op5_sql(),
     "op8_winnowing": winnowing.op8_sql(),
+    "op12_importance": importance.op12_sql(),
 }
