@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .frames import SLICE_BYTES, slices, staged, table, text_bytes, texts_of
+from .frames import SLICE_BYTES, crc_sql, slices, staged, table, text_bytes, texts_of
 
 GRAM = 3
 BUCKETS = 10_000
@@ -218,14 +218,6 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def crc_sql(code: str) -> str:
-    """DuckDB SQL for the CRC-32 of the bytes that a column holds as hex digits, four bits at a time, the low half of each byte first."""
-    table = [zlib.crc32(bytes([i << 4])) ^ zlib.crc32(b"\0") for i in range(16)]
-    halves = f"list_transform(range(length({code})), lambda i: ('0x' || substr({code}, xor(i, 1) + 1, 1))::BIGINT)"
-    step = f"xor(state >> 4, {table}[xor(state & 15, half) + 1])"
-    return f"xor(list_reduce({halves}, lambda state, half: {step}, 4294967295::BIGINT), 4294967295)"
-
-
 def op12_sql() -> str:
     capital, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = f"coalesce(regexp_extract_all(translate(text, '{capital}', '{small}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, lines, mixing, neighbours, pii, quality, sharding, simhash, substrings, winnowing
+from . import importance, language, lines, mixing, neighbours, pii, quality, sharding, simhash, spelling, substrings, winnowing
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op11_spelling": spelling.op11_spelling,
     "op12_importance": importance.op12_importance,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op3_lines": lines.op3_sql(),
     "op5_substrings": substrings.op5_sql(),
     "op8_winnowing": winnowing.op8_sql(),
+    "op11_spelling": spelling.op11_sql(),
     "op12_importance": importance.op12_sql(),
 }
