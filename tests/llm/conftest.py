@@ -28,6 +28,10 @@ def edge_dir(spark, tmp_path_factory):
     frame.withColumns({c: F.lit(7) for c in ("id", "v", "dim", "qb", "cb", "score", "rank")}).write.parquet(f"{folder}/embeddings.parquet")
     items = [(1, ITEM), (2, "short item"), (3, None), (4, ""), (2, "short item"), (5, PASSAGE), (6, f"x {PASSAGE}")]
     clash(spark.createDataFrame(items, "item_id long, text string")).write.parquet(f"{folder}/benchmark.parquet")
+    pages = [(1, "http://a.example/x", "<article>Same text</article>")] * 2 + [
+        (2, None, "<p>no address"), (3, "http://a.example", None), (4, "not a url", ""), (None, "http://b.example", "<p>no id")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    frame.withColumns({c: F.lit(7) for c in ("host", "wrapper", "wrappers", "text", "n_chars", "pages", "parts", "bucket")}).write.parquet(f"{folder}/pages.parquet")
     labels = [(i, i % 2, 0) for i in range(1, 20)] + [(None, 1, 0), (3, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 SF = "/root/testdata/sf0.01"
-TABLES = ("documents", "embeddings", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "benchmark", "labels", "pages")
 #: Extra columns with names that operators use themselves.
 CLASHES = ("row", "key", "doc", "tag", "fp", "slot", "shard", "size", "score", "hits", "block", "placed", "words", "id", "w")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, language, lines, mixing, neighbours, pii, quality, sharding, simhash, spelling, substrings, winnowing
+from . import importance, language, lines, mixing, neighbours, pii, quality, sharding, simhash, spelling, substrings, winnowing, wrappers
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_spelling": spelling.op11_spelling,
     "op12_importance": importance.op12_importance,
+    "op13_wrappers": wrappers.op13_wrappers,
 }
 
 SQL = {
