@@ -169,7 +169,7 @@ def test_winnowing_in_many_slices(spark, edge_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{edge_dir}/{t}.parquet") for t in ("documents", "benchmark"))
 
     def found():
-        rows = winnowing.contamination(docs, items).select("row.doc_id", "row.text", "n_words", F.sort_array("items"), "hits").collect()
+        rows = winnowing.contamination(docs, items).select("row.doc_id", "text_key", "n_words", F.sort_array("items"), "hits").collect()
         return sorted((repr(r[:3]), r[3], sorted({i for h in r.hits for i in range(h.low, h.high)})) for r in rows)
 
     want = found()

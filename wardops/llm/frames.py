@@ -14,8 +14,8 @@ from wardops.session import shared_folder
 
 #: Rows handed to a Python worker at once; texts may be long.
 BATCH_ROWS = 512
-#: Text bytes worked on at once inside a worker.
-SLICE_BYTES = 4 << 20
+#: Text bytes worked on at once inside a worker; arrays of several numbers a byte are made of them.
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -40,6 +40,41 @@ def staged(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged frames that nothing reads any more."""
+    for frame in frames:
+        jvm = frame.sparkSession._jvm
+        for folder in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns but the text) and ``text``, for work that gives no text back."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    return docs.select(F.struct(*others).alias("row"), "text")
+
+
+def filtered(docs: DataFrame, wanted: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Array]]) -> DataFrame:
+    """The rows that ``wanted`` marks; ``wanted`` is given slices and yields one boolean array for each.
+
+    A text goes to a worker once, and only kept rows come back.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[pa.RecordBatch] = []
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for piece in slices(batches):
+                seen.append(piece)
+                yield piece
+
+        for mask in wanted(watched()):
+            yield seen.pop().filter(mask)
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def training_side(doc_id: Column) -> Column:
     """True for rows a model may learn from: crc32(doc_id as text) mod 3 is not 1 (null id: as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 != 1

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import slices, staged, table, texts_of, training_side
+from .frames import packed, slices, staged, table, texts_of, training_side
 from .tokens import LOWER, Words, mix, split_words, word_hashes
 
 BITS = 17
@@ -383,10 +383,10 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray
 
 
 def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``row`` (the whole input row), lang_pred, score and ``shares`` (language and mean, for code-switched texts)."""
+    """``row`` (the input row without its text), lang_pred, score and ``shares`` (language and mean, for code-switched texts)."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model) if model else None)
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    kind = packed.schema[0].dataType.simpleString()
+    rows = packed(docs)
+    kind = rows.schema[0].dataType.simpleString()
     pair = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +400,7 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
                 ["row", "lang_pred", "score", "shares"],
             )
 
-    return packed.mapInArrow(label, f"row {kind}, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
+    return rows.mapInArrow(label, f"row {kind}, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import slices, table, texts_of
+from .frames import packed, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -356,10 +356,10 @@ def fit(docs: DataFrame, windows: int = TRAIN_WINDOWS) -> Tagger | None:
 
 
 def with_spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """``row`` (the whole input row), ``base`` and ``added``: arrays of (kind, start, end)."""
+    """``row`` (the input row without its text), ``base`` and ``added``: arrays of (kind, start, end)."""
     sent = docs.sparkSession.sparkContext.broadcast(tagger.p if tagger else None)
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    kind = packed.schema[0].dataType.simpleString()
+    rows = packed(docs)
+    kind = rows.schema[0].dataType.simpleString()
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("low", pa.int64()), ("high", pa.int64())]))
     listed = lambda spans: [{"kind": k, "low": a, "high": b} for k, a, b in spans]
 
@@ -379,7 +379,7 @@ def with_spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             )
 
     spans = "array<struct<kind:string,low:long,high:long>>"
-    return packed.mapInArrow(find, f"row {kind}, base {spans}, added {spans}")
+    return rows.mapInArrow(find, f"row {kind}, base {spans}, added {spans}")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

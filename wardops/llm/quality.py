@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import slices, table, texts_of, training_side
+from .frames import filtered, packed, slices, table, texts_of, training_side
 from .tokens import LOWER, NOT_SPACE, Words, gram_hashes, mix, split_words, within_text, word_hashes
 
 BITS = 18
@@ -161,10 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``row`` (the whole input row) and ``score``."""
+    """``row`` (the input row without its text) and ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    kind = packed.schema[0].dataType.simpleString()
+    rows = packed(docs)
+    kind = rows.schema[0].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*sent.value)
@@ -172,12 +172,20 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
             scores = known.scores(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], ["row", "score"])
 
-    return packed.mapInArrow(score, f"row {kind}, score double")
+    return rows.mapInArrow(score, f"row {kind}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows that score at least ``least``."""
-    return with_score(docs, fit(docs, labels)).where(F.col("score") >= least).select("row.*")
+    model = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+
+    def good(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+        known = Model(*sent.value)
+        for piece in pieces:
+            yield pa.array(known.scores(texts_of(piece.column("text"))) >= least)
+
+    return filtered(docs, good)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

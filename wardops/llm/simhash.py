@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .frames import over_texts, staged, table, texts_of
+from .frames import discard, over_texts, staged, table, texts_of
 from .tokens import LOWER, NOT_SPACE, split_words
 
 SHINGLE = 3
@@ -262,13 +262,14 @@ def star_components(edges: DataFrame, purpose: str = "stars") -> DataFrame:
     )
     seen = state(now)
     while seen[0]:
-        both = now.union(now.select("b", "a"))
+        before, both = now, now.union(now.select("b", "a"))
         low = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), purpose)
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = staged(large.where("a <> b").distinct(), purpose)
         least = staged(down.groupBy("a").agg(F.min("b").alias("m")), purpose)
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = staged(small.union(least.select("a", F.col("m").alias("b"))).distinct(), purpose)
+        discard(before, low, down, least)
         last, seen = seen, state(now)
         if seen == last:
             break
@@ -301,13 +302,14 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     """The input's rows, one per component: the one with the smallest doc_id."""
     prints = staged(fingerprints(docs, shingle), "simhash-prints")
     kept = staged(component_of(prints, radius).select("first.*").distinct(), "simhash-kept")
-    rows = docs.select(
-        F.struct("*").alias("row"), "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")
-    )
-    same = F.expr("r.text_key = k.text_key AND r.doc_id <=> k.doc_id")
-    return (
-        rows.alias("r").join(kept.alias("k"), same, "left_semi").dropDuplicates(["text_key", "doc_id"]).select("row.*")
-    )
+    # One key of one kind for the join and for equal rows: every text is shuffled once.
+    rows = docs.select(F.struct("*").alias("row"), _row_key(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"))
+    keys = kept.select(_row_key(F.col("text_key")).alias("key"))
+    return rows.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
+def _row_key(text_key: Column) -> Column:
+    return F.concat_ws(":", text_key, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

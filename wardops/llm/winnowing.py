@@ -28,9 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .frames import slices, staged, table, texts_of
+from .frames import filtered, packed, slices, staged, table, texts_of
 from .tokens import LETTER_OR_DIGIT, LOWER, gram_hashes, split_words, within_text, word_hashes
 
 WINDOW = 10
@@ -168,35 +168,40 @@ def segments(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``row`` (the whole document row), n_words, ``hits`` (array of word ranges [low, high)), ``items``."""
-    spark = docs.sparkSession
+    """``row`` (the document row without its text), ``text_key``, n_words, ``hits`` (array of word ranges [low, high)), ``items``."""
+    found = [_search(docs, index) for index in _indexes(benchmark, window, gram)]
+    if len(found) == 1:
+        return found[0]
+    return _united(docs, [staged(part.where(F.size("hits") > 0), "winnow-hits") for part in found])
+
+
+def _indexes(benchmark: DataFrame, window: int, gram: int) -> list:
+    """Broadcast indexes of all segments, ``SLICE_WORDS`` words or so in each."""
     cut = staged(segments(benchmark, window), "winnow-segments")
     total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     passes = max(1, -(-total // SLICE_WORDS))
-    frames = []
+    out = []
     for at in range(passes):
         own = cut if passes == 1 else cut.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == at)
         rows = [(r.item, r.n, np.frombuffer(r.words, np.uint64)) for r in own.collect()]
-        index = spark.sparkContext.broadcast(cloudpickle.dumps(Index(rows, window, gram)))
-        found = _search(docs, index)
-        frames.append(found if passes == 1 else staged(found.where(F.size("hits") > 0), "winnow-hits"))
-    return frames[0] if passes == 1 else _united(docs, frames)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Index(rows, window, gram))))
+    return out
 
 
 def _united(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """Hits of several passes joined per row; equal rows have equal hits and count once in a pass."""
-    whole = docs.select(F.struct("*").alias("row"), _count_words().alias("n_words"))
+    whole = packed(docs).select("row", _text_key().alias("text_key"), _count_words().alias("n_words"))
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    key = F.sha2(F.to_json("row").cast("binary"), 256)
+    key = F.sha2(F.concat(F.to_json("row"), "text_key").cast("binary"), 256)
     merged = hits.groupBy(key.alias("key")).agg(
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
     empty = lambda kind: F.array().cast(kind)
     return whole.withColumn("key", key).join(merged, "key", "left").select(
-        "row", "n_words", F.coalesce("hits", empty("array<struct<low:long,high:long>>")).alias("hits"),
+        "row", "text_key", "n_words", F.coalesce("hits", empty("array<struct<low:long,high:long>>")).alias("hits"),
         F.coalesce("items", empty("array<string>")).alias("items"),
     )
 
@@ -206,9 +211,13 @@ def _count_words():
     return F.coalesce(F.regexp_count("text", F.lit(word)), F.lit(0)).cast("long")
 
 
+def _text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def _search(docs: DataFrame, index) -> DataFrame:
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    kind = docs.select(F.struct("*").alias("row")).schema[0].dataType.simpleString()
+    rows = packed(docs).withColumn("text_key", _text_key())
+    kind = rows.schema[0].dataType.simpleString()
     pairs = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +230,12 @@ def _search(docs: DataFrame, index) -> DataFrame:
                 hits[text] = [{"low": a, "high": b} for a, b in _merged(ranges)]
                 items[text] = sorted({i for s in segs for i in known.items[s]} - {None})
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.diff(words.first)), pa.array(hits, pairs), pa.array(items, pa.list_(pa.string()))],
-                ["row", "n_words", "hits", "items"],
+                [batch.column("row"), batch.column("text_key"), pa.array(np.diff(words.first)), pa.array(hits, pairs), pa.array(items, pa.list_(pa.string()))],
+                ["row", "text_key", "n_words", "hits", "items"],
             )
 
-    schema = f"row {kind}, n_words long, hits array<struct<low:long,high:long>>, items array<string>"
-    return packed.mapInArrow(search, schema)
+    schema = f"row {kind}, text_key string, n_words long, hits array<struct<low:long,high:long>>, items array<string>"
+    return rows.mapInArrow(search, schema)
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -239,9 +248,26 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows without a hit."""
-    return contamination(docs, benchmark, **options).where(F.size("hits") == 0).select("row.*")
+    indexes = _indexes(benchmark, window, gram)
+    for at, index in enumerate(indexes):
+        docs = _without_hits(docs, index)
+        if at + 1 < len(indexes):  # one index at a time in a worker
+            docs = staged(docs, "winnow-clean")
+    return docs
+
+
+def _without_hits(docs: DataFrame, index) -> DataFrame:
+    def clean(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+        known = pickle.loads(index.value)
+        for piece in pieces:
+            words, hashes = _words(texts_of(piece.column("text")))
+            mask = np.ones(piece.num_rows, bool)
+            mask[list(known.hits(words, hashes))] = False
+            yield pa.array(mask)
+
+    return filtered(docs, clean)
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
