@@ -1,6 +1,7 @@
 """Rows that decide the exact meaning of a rule."""
 
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -12,6 +13,7 @@ from wardops.functions import clock, money as m, text
 from wardops.operators.coverage import active_policy
 from wardops.operators.exclusion import not_in
 from wardops.plans import billing, clinical, scheduling
+from wardops.session import stager
 from wardops.sources.sqltext import insert_statements
 
 NOW = datetime(2026, 5, 1, 12)
@@ -290,7 +292,30 @@ def test_requests_of_one_batch_respect_each_other(spark):
         [(seq, doctor, at(f"2026-05-01 {time}:00")) for seq, (doctor, time) in times.items()] + [(11, 10, None)],
         "seq bigint, doctor_id bigint, appt_date timestamp_ntz",
     )
-    assert sorted(r.seq for r in granted_requests(asked, "seq").collect()) == [1, 2, 4, 5, 7, 8, 10]
+    assert sorted(r.seq for r in granted_requests(asked, "seq", stager(spark, "test")).collect()) == [1, 2, 4, 5, 7, 8, 10]
+
+
+def test_crowded_requests_equal_one_by_one(spark):
+    """A third of all requests on one doctor at microsecond instants, many at or just beside half-hour borders."""
+    from wardops.operators.slots import granted_requests
+
+    rng, start = random.Random(4), at("2026-05-01 00:00:00")
+    half = timedelta(minutes=30)
+    asked = []
+    for seq in rng.sample(range(3000), 900):
+        doctor = 10 if seq % 3 == 0 else rng.randrange(20, 40)
+        edge = half * rng.randrange(12) + timedelta(microseconds=rng.choice([-1, 0, 1]))
+        crowd = timedelta(hours=3) + timedelta(microseconds=rng.randrange(200))
+        any_time = timedelta(microseconds=rng.randrange(6 * 3600 * 10**6))
+        asked.append((seq, doctor, start + rng.choice([edge, crowd, any_time, any_time])))
+    granted: dict[int, list] = {}
+    expected = []
+    for seq, doctor, when in sorted(asked):
+        if all(abs(when - other) >= half for other in granted.setdefault(doctor, [])):
+            granted[doctor].append(when)
+            expected.append(seq)
+    frame = spark.createDataFrame(asked, "seq bigint, doctor_id bigint, appt_date timestamp_ntz")
+    assert sorted(r.seq for r in granted_requests(frame, "seq", stager(spark, "test")).collect()) == expected
 
 
 def test_session_time_zone_does_not_matter(spark):

@@ -1,9 +1,12 @@
 """Plans a large cluster could run."""
 
+from datetime import datetime
+
 import pytest
 
 import __spark_entry__ as entry_points
 from harness import SMALL
+from wardops.changes import integrity
 from wardops.plans import audit, billing
 from wardops.sources.bridge import bridge_tables
 
@@ -53,3 +56,9 @@ def test_filters_reach_the_scan(spark, tmp_path):
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "EqualTo(payment_status,Paid)" in pushed and "LessThan(invoice_date" in pushed
     assert "appt_id" not in plan.split("ReadSchema: ")[1]
+
+
+def test_integrity_reads_every_table_once(spark, bridge):
+    """All row rules, keys, unique values and references of a table come out of one scan."""
+    plan = plan_of(integrity.violations(bridge, datetime(2024, 1, 1)))
+    assert plan.count("Scan parquet") == len(list(bridge)) and plan.count("Exchange hashpartitioning") == 1

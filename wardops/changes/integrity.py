@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardops.functions import clock, text
 from wardops.schemas import DOMAINS, FOREIGN_KEYS, KEYS, MAX_LENGTHS, UNIQUE
@@ -22,7 +23,7 @@ MONEY_LIMIT = 100_000_000
 MONEY_COLUMNS = {"medicines": ["price"], "invoices": ["total_amount", "net_amount"]}
 
 
-def _row_rules(name: str, columns: list[str], as_of: datetime) -> list[tuple[str, str, object]]:
+def _row_rules(name: str, columns: list[str], as_of: datetime) -> list[tuple[str, str, Column]]:
     """(rule, column, is violated) for everything one row can show by itself."""
     rules = []
     for column, limit in MAX_LENGTHS[name].items():
@@ -45,58 +46,56 @@ def _row_rules(name: str, columns: list[str], as_of: datetime) -> list[tuple[str
     return [(rule, column, broken) for rule, column, broken in rules if column in columns]
 
 
-def _result(rows: DataFrame, name: str, rule: str, column: str, value, times) -> DataFrame:
-    return rows.select(
-        F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
-        value.cast("string").alias("value"), times.cast("bigint").alias("rows_affected"),
-    )
+Rule = tuple[str, str, str]  # table, rule, column
 
 
-def _repeated(t: Tables, name: str, column: str, rule: str) -> DataFrame:
-    seen = t[name].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return _result(seen.filter(F.col("n") > 1), name, rule, column, F.col(column), F.col("n"))
+def _facts(t: Tables, name: str, as_of: datetime, number: dict[Rule, int]) -> DataFrame:
+    """All that the rows of one table say, in one pass; ``number`` gains the rules met.
 
+    A broken row rule says so itself (``broken``); a key or unique value is
+    ``seen``; a reference is ``seen`` by the child and ``held`` by the parent.
+    """
+    columns = t[name].columns
+    found = []
 
-def _orphans(t: Tables, child: str, column: str, parent: str) -> DataFrame:
-    """Child keys are counted first, so a key that fills the table costs one row."""
-    used = t[child].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    parents = t[parent].select(F.col(KEYS[parent]).alias(column))
-    missing = used.join(parents, column, "left_anti")
-    return _result(missing, child, "reference", column, F.col(column), F.col("n"))
+    def say(when: Column, rule: Rule, value: str, seen: int, held: int, broken: bool) -> None:
+        fact = F.struct(
+            F.lit(number.setdefault(rule, len(number))).alias("rule"), F.col(value).cast("string").alias("value"),
+            F.lit(seen).alias("seen"), F.lit(held).alias("held"), F.lit(broken).alias("broken"),
+        )
+        found.append(F.when(when, fact))
+
+    for rule, column, broken in _row_rules(name, columns, as_of):
+        say(broken, (name, rule, column), column, 1, 0, True)
+    key = KEYS[name]
+    single = [("key", key)] + [("unique", column) for table, column in UNIQUE if table == name]
+    for rule, column in single:
+        if column in columns:
+            say(F.col(column).isNotNull(), (name, rule, column), column, 1, 0, False)
+    for child, column, parent in FOREIGN_KEYS:
+        if child in t and parent in t and column in t[child].columns:
+            rule = (child, "reference", column)
+            if child == name:
+                say(F.col(column).isNotNull(), rule, column, 1, 0, False)
+            if parent == name and key in columns:
+                say(F.col(key).isNotNull(), rule, key, 0, 1, False)
+    return t[name].select(F.inline(F.filter(F.array(*found), lambda f: f.isNotNull())))
 
 
 def violations(t: Tables, as_of: datetime) -> DataFrame:
-    """(table_name, rule, column_name, value, rows_affected), one row per bad value."""
-    parts: list[DataFrame] = []
-    for name in t:
-        columns = t[name].columns
-        row_rules = _row_rules(name, columns, as_of)
-        if row_rules:
-            # One pass over the table tests all its row rules.
-            found = F.array(*[
-                F.when(broken, F.struct(
-                    F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
-                    F.col(column).cast("string").alias("value"),
-                ))
-                for rule, column, broken in row_rules
-            ])
-            broken_rows = (
-                t[name].select(F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f"))
-                .groupBy("f.rule", "f.column_name", "f.value")
-                .agg(F.count("*").alias("rows_affected"))
-            )
-            parts.append(broken_rows.select(
-                F.lit(name).alias("table_name"), "rule", "column_name", "value", "rows_affected"
-            ))
-        if KEYS[name] in columns:
-            parts.append(_repeated(t, name, KEYS[name], "key"))
-    parts += [_repeated(t, name, column, "unique") for name, column in UNIQUE if name in t]
-    parts += [
-        _orphans(t, child, column, parent)
-        for child, column, parent in FOREIGN_KEYS
-        if child in t and parent in t and column in t[child].columns
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """(table_name, rule, column_name, value, rows_affected), one row per bad value.
+
+    Every table is read once; all rules of all tables meet in one aggregation,
+    which combines before the shuffle, so a value that fills a table is one row.
+    """
+    number: dict[Rule, int] = {}
+    facts = reduce(DataFrame.unionByName, [_facts(t, name, as_of, number) for name in t])
+    counts = facts.groupBy("rule", "value", "broken").agg(F.sum("seen").alias("n"), F.max("held").alias("held"))
+    names = F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"))
+        for table, rule, column in number
+    ])
+    named = counts.withColumn("of", F.get(names, F.col("rule")))
+    repeated = F.col("of.rule").isin("key", "unique") & (F.col("n") > 1)
+    orphan = (F.col("of.rule") == "reference") & (F.col("held") == 0)
+    return named.filter(F.col("broken") | repeated | orphan).select("of.*", "value", F.col("n").cast("bigint").alias("rows_affected"))

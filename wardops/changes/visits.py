@@ -16,7 +16,7 @@ from wardops.operators.rewrite import last_per_key
 from wardops.operators.slots import clashing_requests, granted_requests
 from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOMAINS, RECEPTIONIST
-from wardops.session import Stage, keep
+from wardops.session import Stage, keep, stager
 from wardops.tables import Tables
 
 # Messages on refused commands.
@@ -49,8 +49,10 @@ def book_appointments(
     accepted, refused = split(marked, checks)
     refused = reject(refused)
     if check_slots:
+        # Rounds need written frames, asked for or not.
+        stage = stager(commands.sparkSession, "bookings") if stage is keep else stage
         accepted = stage(accepted)
-        granted = granted_requests(accepted, "seq").withColumn("granted", F.lit(True))
+        granted = granted_requests(accepted, "seq", stage).withColumn("granted", F.lit(True))
         free = F.col("granted") | F.col("appt_date").isNull()
         accepted, late = split(accepted.join(granted, "seq", "left"), [(free, SLOT_TAKEN)])
         refused = refused.unionByName(reject(late))

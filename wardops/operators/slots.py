@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardops.functions import clock
 from wardops.operators.spread import skew_join
+from wardops.session import Stage
 from wardops.tables import Tables
 
+#: Parts of a half hour that are looked through one by one.
+PARTS = 1024
 LIVE_STATES = ["Scheduled", "CheckedIn", "In-Progress"]  # fixed values
 
 
@@ -58,42 +60,88 @@ def clashing_requests(requests: DataFrame, t: Tables, key: str) -> DataFrame:
     )
 
 
-def granted_requests(requests: DataFrame, key: str) -> DataFrame:
+def granted_requests(requests: DataFrame, key: str, stage: Stage) -> DataFrame:
     """``key`` of the requests (key, doctor_id, appt_date) that get their time, if taken in order of ``key``.
 
     A request is granted unless it lies within 30 minutes of an earlier granted
-    one of the doctor.  That depends on the order, which no join expresses, so
-    it is walked through in Arrow batches, after three exact reductions: of
-    requests for one instant only the first can be granted; half-hour cells of a
-    doctor that do not touch cannot affect each other, so each run of touching
-    cells is a group of its own; and a cell holds at most one granted time.
-    A group holds the distinct instants asked for in one run, not the requests.
+    one of the doctor: the greedy independent set of the requests' clashes.  Of
+    requests for one instant only the first can be granted.  The rest is decided
+    in rounds: a request that comes first among the undecided ones near it is
+    granted, whatever lies near a granted one is refused.  Every round decides
+    each doctor's first request at least and, as clashes reach only an hour far,
+    most others with it.  ``stage`` must write its frame, so that rounds do not
+    pile up in one plan.
     """
     width = clock.VISIT_MINUTES * 60 * clock.MICROS
-    first = (
+    undecided = (
         requests.filter(F.col("doctor_id").isNotNull() & F.col("appt_date").isNotNull())
         .groupBy("doctor_id", clock.microseconds(F.col("appt_date")).alias("asked_at"))
         .agg(F.min(key).alias(key))
-        .withColumn("cell", F.floor(F.col("asked_at") / width))
     )
-    in_order = Window.partitionBy("doctor_id").orderBy("cell")  # a doctor's half hours: 17,520 a year
-    opens = F.coalesce(F.col("cell") - F.lag("cell").over(in_order) > 1, F.lit(True))
-    runs = (
-        first.select("doctor_id", "cell").distinct()
-        .withColumn("opened", F.when(opens, F.col("cell")))
-        .withColumn("run", F.max("opened").over(in_order))
-        .drop("opened")
+    granted = None
+    while True:
+        marked = stage(_first_nearby(undecided, key, width))
+        first = marked.filter("is_first").drop("is_first")
+        granted = first.select(key) if granted is None else granted.unionByName(first.select(key))
+        if marked.filter("NOT is_first").isEmpty():
+            return granted
+        undecided = _far_from(marked.drop("is_first"), first, width)
+
+
+def _first_nearby(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """Rows (doctor_id, asked_at, key) and ``is_first``: no smaller key of the doctor is less than ``width`` away.
+
+    Time is cut into cells of ``width``.  What is near a row is its own cell, the
+    next cell up to the row's offset in the cell, and the cell before from that
+    offset on.  So each row asks two questions, in the cells beside its own, that
+    running minimums answer: over whole parts of the cell, and within the part of
+    the same offset.  A part is 1/``PARTS`` of a cell, 1.8 million instants at
+    most, so no task holds a doctor, or a crowded half hour, as a whole.
+    """
+    offset = F.pmod("asked_at", F.lit(width))
+    asks = F.array(*[F.struct(F.lit(step).alias("step"), point.alias("point")) for step, point in (
+        (0, F.col(key)), (1, F.lit(None).cast("bigint")), (-1, F.lit(None).cast("bigint")))])
+    roles = (
+        rows.select("doctor_id", "asked_at", key, offset.alias("offset"), F.inline(asks))
+        .withColumn("part", F.floor(F.col("offset") * PARTS / width))
+        .withColumn("cell", F.floor(F.col("asked_at") / width) + F.col("step"))
     )
+    part = ["doctor_id", "cell", "part"]
+    # Questions sort before the requests of their own instant: only what is nearer than the width counts.
+    asked_first = F.col("point").isNotNull()
+    up = Window.partitionBy(*part).orderBy("offset", asked_first).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*part).orderBy(F.desc("offset"), asked_first).rowsBetween(Window.unboundedPreceding, 0)
+    cell = Window.partitionBy("doctor_id", "cell")
+    before = cell.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    after = cell.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = roles.groupBy(*part).agg(F.min("point").alias("least")).select(
+        *part, F.min("least").over(before).alias("before"), F.min("least").over(after).alias("after"), F.min("least").over(cell).alias("whole")
+    )
+    answer = (
+        F.when(F.col("step") == 0, F.col("whole"))
+        .when(F.col("step") == 1, F.least("lower", "before"))
+        .otherwise(F.least("higher", "after"))
+    )
+    return (
+        roles.withColumns({"lower": F.min("point").over(up), "higher": F.min("point").over(down)})
+        .join(parts, part)
+        .groupBy("doctor_id", "asked_at", key)
+        .agg(F.min(answer).alias("least"))
+        .select("doctor_id", "asked_at", key, (F.col("least") == F.col(key)).alias("is_first"))
+    )
+
 
-    def walk(run: pa.Table) -> pa.Table:
-        taken: dict[int, int] = {}  # cell -> granted time
-        granted = []
-        ordered = run.sort_by(key)
-        for number, cell, at in zip(*(ordered.column(c).to_pylist() for c in (key, "cell", "asked_at"))):
-            near = [taken.get(cell + step) for step in (-1, 0, 1)]
-            if all(other is None or abs(at - other) >= width for other in near):
-                taken[cell] = at
-                granted.append(number)
-        return pa.table({key: pa.array(granted, pa.int64())})
-
-    return skew_join(first, runs, ["doctor_id", "cell"]).groupBy("doctor_id", "run").applyInArrow(walk, f"{key} bigint")
+def _far_from(rows: DataFrame, granted: DataFrame, width: int) -> DataFrame:
+    """Rows at least ``width`` away from every granted one of the doctor (three of them near a cell at most)."""
+    cell = F.floor(F.col("asked_at") / width)
+    near = (
+        granted.select("doctor_id", F.col("asked_at").alias("taken_at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+        .groupBy("doctor_id", "cell")
+        .agg(F.collect_list("taken_at").alias("taken"))
+    )
+    close = F.exists("taken", lambda other: F.abs(other - F.col("asked_at")) < width)
+    return (
+        skew_join(rows.withColumn("cell", cell), near, ["doctor_id", "cell"], "left")
+        .filter(~F.coalesce(close, F.lit(False)))
+        .select(*rows.columns)
+    )
