@@ -184,7 +184,14 @@ def _pay(t: Tables) -> Changes:
     return pricing.pay_invoices(batches.payments(t), t, AS_OF)
 
 
+def _with_hr(t: Tables) -> Tables:
+    """The bridge leaves one role without users; here user 16 works in HR."""
+    hr = F.lit(5).cast(t.users.schema["role_id"].dataType)
+    return t.replace(users=t.users.withColumn("role_id", F.when(F.col("user_id") == 16, hr).otherwise(F.col("role_id"))))
+
+
 def _hire(t: Tables) -> Changes:
+    t = _with_hr(t)
     return hiring.add_staff(batches.new_staff(t), t, AS_OF, _stage(t, "new-staff"))
 
 
@@ -192,12 +199,21 @@ def _move(t: Tables) -> Changes:
     return hiring.transfer_staff(batches.transfers(t), t, AS_OF)
 
 
-def _dismiss(t: Tables) -> Changes:
-    return hiring.delete_staff(batches.staff_removals(t), t, AS_OF, _stage(t, "staff-removals"))
+def _dismiss(t: Tables) -> tuple[Changes, Tables]:
+    """Everyone is to go, new colleagues too: those hired as doctors have no patients yet."""
+    hired = _hire(t).apply(_with_hr(t))
+    return hiring.delete_staff(batches.staff_removals(hired), hired, AS_OF, _stage(t, "staff-removals")), hired
+
+
+def _remove_visits(t: Tables) -> tuple[Changes, Tables]:
+    """All visits are to go, freshly booked ones too: those have no record yet."""
+    booked = _book(t).apply(t)
+    return visits.delete_appointments(batches.appointment_removals(booked), booked, AS_OF, _stage(t, "removals")), booked
 
 
-def _remove_visits(t: Tables) -> Changes:
-    return visits.delete_appointments(batches.appointment_removals(t), t, AS_OF, _stage(t, "removals"))
+def _after(result: tuple[Changes, Tables]) -> Tables:
+    changes, before = result
+    return changes.apply(before)
 
 
 def _dirty(t: Tables) -> Tables:
@@ -255,13 +271,13 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w12_rejected": lambda t: _hire(t).rejected,
     "w13_staff": lambda t: _move(t).apply(t).staff,
     "w13_audit": lambda t: _move(t).audit_rows(t),
-    "w14_staff": lambda t: _dismiss(t).apply(t).staff,
-    "w14_doctors": lambda t: _dismiss(t).apply(t).doctors,
-    "w14_rejected": lambda t: _dismiss(t).rejected,
-    "w15_appointments": lambda t: _remove_visits(t).apply(t).appointments,
-    "w15_invoices": lambda t: _remove_visits(t).apply(t).invoices,
-    "w15_rejected": lambda t: _remove_visits(t).rejected,
-    "w15_audit": lambda t: _remove_visits(t).audit_rows(t),
+    "w14_staff": lambda t: _after(_dismiss(t)).staff,
+    "w14_doctors": lambda t: _after(_dismiss(t)).doctors,
+    "w14_rejected": lambda t: _dismiss(t)[0].rejected,
+    "w15_appointments": lambda t: _after(_remove_visits(t)).appointments,
+    "w15_invoices": lambda t: _after(_remove_visits(t)).invoices,
+    "w15_rejected": lambda t: _remove_visits(t)[0].rejected,
+    "w15_audit": lambda t: (lambda changes, booked: changes.audit_rows(booked))(*_remove_visits(t)),
     "w16_login_log": lambda t: hiring.log_logins(batches.logins(t), t, AS_OF).apply(t).audit_logs,
     "w17_gated_payments": lambda t: with_role(batches.payments(t), t).select(
         "seq", "executor_id", "role_name", permitted([ACCOUNTANT]).alias("allowed")

@@ -2,6 +2,10 @@
 
 from oracles.shapes import AS_OF, TODAY
 
+#: Roles where user 16 works in HR.
+ROLE_OF_HR = """LEFT JOIN (
+          SELECT user_id, CASE WHEN user_id = 16 THEN 'Human Resource (HR)' ELSE role_name END AS role_name
+          FROM users JOIN roles USING (role_id)) r ON r.user_id = c.executor_id"""
 ROLE_OF = "LEFT JOIN (SELECT user_id, role_name FROM users JOIN roles USING (role_id)) r ON r.user_id = c.executor_id"
 
 
@@ -99,7 +103,14 @@ COMMANDS = {
         SELECT insurance_id, CAST((patient_id * 7) % 120 AS INTEGER) AS rate_percent,
           expiry_date + 365 AS expiry_date
         FROM insurance""",
-    "cmd_removals": "SELECT appt_id AS seq, appt_id, appt_id % 16 + 1 AS executor_id FROM appointments",
+    "booked_appointments": """
+        SELECT * FROM appointments
+        UNION ALL SELECT (SELECT max(appt_id) FROM appointments) + n, patient_id, doctor_id, appt_date, NULL, 'Scheduled' FROM done_bookings""",
+    "booked_invoices": f"""
+        SELECT * FROM invoices
+        UNION ALL SELECT (SELECT max(invoice_id) FROM invoices) + n, (SELECT max(appt_id) FROM appointments) + n, NULL, {AS_OF},
+          CAST(0 AS DECIMAL(10,2)), 'Unpaid', NULL FROM done_bookings""",
+    "cmd_removals": "SELECT appt_id AS seq, appt_id, appt_id % 16 + 1 AS executor_id FROM booked_appointments",
     "done_removals": f"""
         SELECT c.* FROM cmd_removals c {ROLE_OF}
         WHERE r.role_name IN ('Admin','Receptionist')
@@ -112,15 +123,23 @@ COMMANDS = {
           concat('new_', CAST(staff_id AS VARCHAR)) AS username
         FROM staff""",
     "done_staff": f"""
-        SELECT c.*, n.role_id, {seq_number("c.seq")} AS n FROM cmd_staff c {ROLE_OF}
+        SELECT c.*, n.role_id, {seq_number("c.seq")} AS n FROM cmd_staff c {ROLE_OF_HR}
         JOIN roles n ON n.role_name = c.new_role
         WHERE r.role_name IN ('Admin','Human Resource (HR)')""",
-    "cmd_staff_removals": "SELECT staff_id AS seq, staff_id, staff_id % 16 + 1 AS executor_id FROM staff",
+    "hired_staff": """
+        SELECT * FROM staff
+        UNION ALL SELECT (SELECT max(staff_id) FROM staff) + n, full_name, DATE '1980-01-01', 'Female', phone, email,
+          (SELECT max(user_id) FROM users) + n, dept_id FROM done_staff""",
+    "hired_doctors": """
+        SELECT * FROM doctors
+        UNION ALL SELECT (SELECT max(doctor_id) FROM doctors) + row_number() OVER (ORDER BY seq),
+          (SELECT max(staff_id) FROM staff) + n, 'Pediatrics' FROM done_staff WHERE new_role = 'Doctor'""",
+    "cmd_staff_removals": "SELECT staff_id AS seq, staff_id, staff_id % 16 + 1 AS executor_id FROM hired_staff",
     "busy_staff": """
         SELECT staff_id FROM doctors WHERE doctor_id IN (SELECT doctor_id FROM appointments)
           OR doctor_id IN (SELECT doctor_id FROM admissions) OR doctor_id IN (SELECT doctor_id FROM prescriptions)""",
     "done_staff_removals": f"""
-        SELECT c.* FROM cmd_staff_removals c {ROLE_OF}
+        SELECT c.* FROM cmd_staff_removals c {ROLE_OF_HR}
         WHERE r.role_name IN ('Admin','Human Resource (HR)') AND c.staff_id NOT IN (SELECT staff_id FROM busy_staff)""",
     # Prices of all present prescriptions, the highest id counting as the last changed.
     "links": """
@@ -271,7 +290,7 @@ CHANGE_SQL = {
     "w12_rejected": f"""
         SELECT c.seq, CASE WHEN coalesce(r.role_name, '') NOT IN ('Admin','Human Resource (HR)')
           THEN 'Permission Denied: Only Admin or HR can add new staff' ELSE 'Unknown role' END AS reason
-        FROM cmd_staff c {ROLE_OF} WHERE c.seq NOT IN (SELECT seq FROM done_staff)""",
+        FROM cmd_staff c {ROLE_OF_HR} WHERE c.seq NOT IN (SELECT seq FROM done_staff)""",
     "w13_staff": """
         SELECT s.staff_id, s.full_name, s.dob, s.gender, s.phone_number, s.email, s.user_id,
           coalesce(d.dept_id, s.dept_id) AS dept_id
@@ -281,26 +300,26 @@ CHANGE_SQL = {
           s.staff_id % 16 + 1 AS user_id, concat('Transferred staff ', s.full_name, ' to ', d.dept_name) AS action,
           {AS_OF} AS timestamp
         FROM staff s JOIN departments d ON d.dept_id = s.dept_id + 1""",
-    "w14_staff": "SELECT * FROM staff WHERE staff_id NOT IN (SELECT staff_id FROM done_staff_removals)",
-    "w14_doctors": "SELECT * FROM doctors WHERE staff_id NOT IN (SELECT staff_id FROM done_staff_removals)",
+    "w14_staff": "SELECT * FROM hired_staff WHERE staff_id NOT IN (SELECT staff_id FROM done_staff_removals)",
+    "w14_doctors": "SELECT * FROM hired_doctors WHERE staff_id NOT IN (SELECT staff_id FROM done_staff_removals)",
     "w14_rejected": f"""
         SELECT c.seq, CASE WHEN coalesce(r.role_name, '') NOT IN ('Admin','Human Resource (HR)')
           THEN 'Permission Denied: Only Admin or HR can delete staff'
           ELSE 'Doctor still has appointments, admissions or prescriptions' END AS reason
-        FROM cmd_staff_removals c {ROLE_OF} WHERE c.seq NOT IN (SELECT seq FROM done_staff_removals)""",
-    "w15_appointments": "SELECT * FROM appointments WHERE appt_id NOT IN (SELECT appt_id FROM done_removals)",
+        FROM cmd_staff_removals c {ROLE_OF_HR} WHERE c.seq NOT IN (SELECT seq FROM done_staff_removals)""",
+    "w15_appointments": "SELECT * FROM booked_appointments WHERE appt_id NOT IN (SELECT appt_id FROM done_removals)",
     "w15_invoices": """
-        SELECT * FROM invoices WHERE appt_id IS NULL OR appt_id NOT IN (SELECT appt_id FROM done_removals)""",
+        SELECT * FROM booked_invoices WHERE appt_id IS NULL OR appt_id NOT IN (SELECT appt_id FROM done_removals)""",
     "w15_rejected": f"""
         SELECT c.seq, CASE WHEN coalesce(r.role_name, '') NOT IN ('Admin','Receptionist')
           THEN 'Permission Denied: Only Admin or Receptionist can delete appointments'
           ELSE 'Appointment has medical records' END AS reason
         FROM cmd_removals c {ROLE_OF} WHERE c.seq NOT IN (SELECT seq FROM done_removals)""",
     "w15_audit": f"""
-        SELECT (SELECT max(log_id) FROM audit_logs) + row_number() OVER (ORDER BY c.seq) AS log_id,
+        SELECT (SELECT max(log_id) FROM audit_logs) + (SELECT count(*) FROM done_bookings) + row_number() OVER (ORDER BY c.seq) AS log_id,
           c.executor_id AS user_id, concat('Deleted appointment for patient: ', p.full_name) AS action,
           {AS_OF} AS timestamp
-        FROM done_removals c JOIN appointments a ON a.appt_id = c.appt_id JOIN patients p ON p.patient_id = a.patient_id""",
+        FROM done_removals c JOIN booked_appointments a ON a.appt_id = c.appt_id JOIN patients p ON p.patient_id = a.patient_id""",
     "w16_login_log": f"""
         SELECT log_id, user_id, action, timestamp FROM audit_logs
         UNION ALL

@@ -60,12 +60,16 @@ def test_repeated_epoch_counts_once(spark, bridge, tmp_path):
 
 
 def test_removed_rows_stay_removed(spark, bridge, tmp_path):
-    commands = batches.appointment_removals(bridge)
-    store = DeltaStore(spark, str(tmp_path / "state"), bridge, ["appointments", "invoices", "audit_logs"])
+    stage = stager(spark, "test")
+    booked = visits.book_appointments(batches.bookings(bridge, NOW), bridge, NOW, stage=stage).apply(bridge)
+    booked = booked.replace(**{name: stage(booked[name]) for name in ("appointments", "invoices")})
+    commands = batches.appointment_removals(booked)
+    store = DeltaStore(spark, str(tmp_path / "state"), booked, ["appointments", "invoices", "audit_logs"])
     for epoch in (0, 1):
         before = store.current(before=epoch)
         store.append(epoch, visits.delete_appointments(commands, before, NOW), before)
-    whole = visits.delete_appointments(commands, bridge, NOW).apply(bridge)
+    whole = visits.delete_appointments(commands, booked, NOW).apply(booked)
+    assert 0 < len(rows(whole.appointments)) < booked.appointments.count()
     assert rows(store.current().appointments) == rows(whole.appointments)
     assert rows(store.current().invoices) == rows(whole.invoices)
 

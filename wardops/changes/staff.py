@@ -10,6 +10,7 @@ from wardops.changes.core import UNKNOWN_USER, Changes, audit_of, first_per, mar
 from wardops.functions import text
 from wardops.operators.access import gate
 from wardops.operators.numbering import dense_number, last_id
+from wardops.operators.references import delete_closure
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOCTOR, HR, LOGIN_ACTION
@@ -121,15 +122,9 @@ def delete_staff(
     A doctor with appointments, admissions or prescriptions cannot be removed.
     """
     allowed, denied = gate(commands, t, [ADMIN, HR], DELETE_DENIED)
-    asked = allowed.select("staff_id").distinct()
-    doctors = t.doctors.select("doctor_id", "staff_id").join(asked, "staff_id")
-    in_use = None
-    for child in ("appointments", "admissions", "prescriptions"):
-        # The few doctors asked for meet the child table's distinct doctors.
-        busy = t[child].filter(F.col("doctor_id").isNotNull()).select("doctor_id").distinct()
-        found = busy.join(doctors, "doctor_id").select("staff_id")
-        in_use = found if in_use is None else in_use.unionByName(found)
-    in_use = in_use.distinct().withColumn("in_use", F.lit(True))
+    asked = allowed.select(F.col("staff_id").alias("root")).distinct()
+    closure = delete_closure(t, "staff", asked, {"doctors"})
+    in_use = closure.blocked.select(F.col("root").alias("staff_id"), F.lit(True).alias("in_use"))
     accepted, blocked = split(
         skew_join(allowed, in_use, ["staff_id"], "left"),
         [(F.col("in_use").isNull(), "Doctor still has appointments, admissions or prescriptions")],
@@ -142,10 +137,7 @@ def delete_staff(
     )
     action = F.when(F.col("is_first"), F.concat(F.lit("Deleted staff member: "), "full_name"))
     return Changes(
-        deletes={
-            "doctors": doctors.join(gone, "staff_id").select("doctor_id"),
-            "staff": gone,
-        },
+        deletes=closure.keys(gone.select(F.col("staff_id").alias("root"))),
         audit=audit_of(logged, "executor_id", action, as_of),
         rejected=reject(denied).unionByName(reject(blocked)),
     )

@@ -12,6 +12,7 @@ from wardops.changes.core import (
 from wardops.functions import clock, text
 from wardops.operators.access import gate
 from wardops.operators.numbering import dense_number, last_id, new_ids
+from wardops.operators.references import delete_closure
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.slots import clashing_requests, granted_requests
 from wardops.operators.spread import skew_join
@@ -191,9 +192,9 @@ def delete_appointments(
     An appointment that has a medical record cannot be removed.
     """
     allowed, refused = gate(commands, t, [ADMIN, RECEPTIONIST], DELETE_DENIED)
-    asked = allowed.select("appt_id").distinct()
-    recorded = t.medical_records.filter(F.col("appt_id").isNotNull()).select("appt_id")
-    in_use = skew_join(recorded, asked, ["appt_id"]).distinct().withColumn("in_use", F.lit(True))
+    asked = allowed.select(F.col("appt_id").alias("root")).distinct()
+    closure = delete_closure(t, "appointments", asked, {"invoices"})
+    in_use = closure.blocked.select(F.col("root").alias("appt_id"), F.lit(True).alias("in_use"))
     accepted, blocked = split(
         skew_join(allowed, in_use, ["appt_id"], "left"),
         [(F.col("in_use").isNull(), "Appointment has medical records")],
@@ -209,10 +210,7 @@ def delete_appointments(
     # Only the first command finds the row; a repeated one logs no name.
     action = F.when(F.col("is_first"), F.concat(F.lit("Deleted appointment for patient: "), "full_name"))
     return Changes(
-        deletes={
-            "invoices": t.invoices.select("invoice_id", "appt_id").join(gone, "appt_id").select("invoice_id"),
-            "appointments": gone,
-        },
+        deletes=closure.keys(gone.select(F.col("appt_id").alias("root"))),
         audit=audit_of(logged, "executor_id", action, as_of),
         rejected=reject(refused).unionByName(reject(blocked)),
     )
