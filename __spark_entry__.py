@@ -16,16 +16,19 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from oracles import all_sql  # noqa: E402
+from wardops import catalog  # noqa: E402
 from wardops.changes import billing as pricing, clinical as care, integrity, staff as hiring, visits  # noqa: E402
 from wardops.changes.core import Changes, with_defaults  # noqa: E402
+from wardops.functions.text import username_slug  # noqa: E402
 from wardops.operators.access import permitted, with_role  # noqa: E402
 from wardops.operators.numbering import allocate_ids  # noqa: E402
 from wardops.operators.rewrite import with_rows  # noqa: E402
 from wardops.plans import audit, beds, billing, clinical, people, scheduling  # noqa: E402
 from wardops.schemas import ACCOUNTANT  # noqa: E402
-from wardops.session import Stage, configure, stager  # noqa: E402
+from wardops.session import Stage, configure, shared_folder, stager  # noqa: E402
 from wardops.sources import batches  # noqa: E402
 from wardops.sources.bridge import bridge_tables  # noqa: E402
+from wardops.sources.snapshot import read_snapshot, read_sql_snapshot, read_versions, write_snapshot, write_sql_snapshot  # noqa: E402
 from wardops.sources.sqltext import insert_statements  # noqa: E402
 from wardops.streaming.activity import actions_24h_stream  # noqa: E402
 from wardops.streaming import demo  # noqa: E402
@@ -146,6 +149,19 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "login_frequency": audit.login_frequency,
     "audit_latest": audit.audit_latest,
     "home_kpis": lambda t: audit.home_kpis(t, AS_OF),
+    # one value of an optional filter
+    "staff_directory_of_role": lambda t: people.staff_directory(t, "NATION_6", "Doctor"),
+    "staff_by_department_of_one": lambda t: people.staff_by_department(t, 7),
+    "today_appointments_in_state": lambda t: scheduling.today_appointments(t, AS_OF, "CheckedIn"),
+    "patient_history_of_one": lambda t: clinical.patient_history(t, 17),
+    "doctor_schedule_flow_of_one": lambda t: scheduling.doctor_schedule_flow(t, AS_OF, REFERRING_DOCTOR),
+    "bed_status_free": lambda t: beds.bed_status(t, status="Available"),
+    "username_slugs": lambda t: t.staff.select("staff_id", username_slug("st_", F.col("full_name")).alias("username")),
+    "directory_by_sql": lambda t: _directory_by_sql(t),
+    # stored states
+    "snapshot_invoices": lambda t: _stored_invoices(t),
+    "snapshot_versions": lambda t: _invoice_versions(t),
+    "snapshot_sql_read_back": lambda t: _patients_as_text(t),
 }
 
 
@@ -234,6 +250,41 @@ def _after_last_removed(t: Tables) -> DataFrame:
     return booked.inserts["appointments"]
 
 
+def _root(t: Tables, purpose: str) -> str:
+    return shared_folder(t.users.sparkSession, purpose)
+
+
+def _stored_invoices(t: Tables) -> DataFrame:
+    """Invoices through a snapshot: written by month, read by the declared schema."""
+    folder = write_snapshot(Tables({name: t[name] for name in ("roles", "invoices")}), _root(t, "snapshots"), AS_OF)
+    return read_snapshot(t.users.sparkSession, folder).invoices.drop("invoice_month")
+
+
+def _invoice_versions(t: Tables) -> DataFrame:
+    """An older snapshot without net amounts and with narrower totals beside a present one."""
+    root = _root(t, "versions")
+    old = t.invoices.drop("net_amount").withColumn("total_amount", F.col("total_amount").cast("decimal(9,1)"))
+    write_snapshot(Tables({"invoices": old}), root, datetime(1998, 1, 1))
+    write_snapshot(Tables({"invoices": t.invoices}), root, AS_OF)
+    found = read_versions(t.users.sparkSession, root, "invoices")
+    return found.select("snapshot", "invoice_id", "total_amount", "net_amount")
+
+
+def _patients_as_text(t: Tables) -> DataFrame:
+    """Patients with quotes, commas and line ends in their names, written as SQL text and read back."""
+    name = F.concat("full_name", F.lit(" 'O''Neil',\nNULL);\n"), F.col("phone"))
+    odd = Tables({"patients": t.patients.withColumn("full_name", name).withColumn("gender", F.when(F.col("patient_id") % 2 == 0, F.col("gender")))})
+    folder = write_sql_snapshot(odd, _root(t, "sql-text"), AS_OF)
+    return read_sql_snapshot(t.users.sparkSession, folder, ["patients"]).patients
+
+
+def _directory_by_sql(t: Tables) -> DataFrame:
+    spark = t.users.sparkSession
+    catalog.register(spark, t, AS_OF)
+    text = "SELECT staff_id, full_name, dept_name FROM view_hr_staff_directory WHERE role_name = :role AND staff_id > :after"
+    return spark.sql(text, args={"role": "Doctor", "after": 10})
+
+
 CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w01_new_patients": lambda t: _register(t).inserts["patients"],
     "w01_new_profiles": lambda t: _register(t).inserts["patient_health_profile"],

@@ -199,3 +199,23 @@ READ_SQL = {
 }
 # Plain or hashed, the same attempts are right.
 READ_SQL["resolve_plain_logins"] = READ_SQL["resolve_logins"]
+
+#: One value of an optional filter, and tables read back from where they were stored.
+READ_SQL |= {
+    "staff_directory_of_role": f"SELECT * FROM ({READ_SQL['staff_directory']}) d WHERE dept_name = 'NATION_6' AND role_name = 'Doctor'",
+    "directory_by_sql": f"SELECT staff_id, full_name, dept_name FROM ({READ_SQL['staff_directory']}) d WHERE role_name = 'Doctor' AND staff_id > 10",
+    "staff_by_department_of_one": f"{READ_SQL['staff_by_department']} WHERE dept_id = 7",
+    "today_appointments_in_state": f"{READ_SQL['today_appointments']} WHERE status = 'CheckedIn'",
+    "patient_history_of_one": f"SELECT * FROM ({READ_SQL['patient_history']}) h WHERE patient_id = 17",
+    "doctor_schedule_flow_of_one": f"SELECT * FROM ({READ_SQL['doctor_schedule_flow']}) f WHERE doctor_id = 1000001",
+    "bed_status_free": f"SELECT * FROM ({READ_SQL['bed_status']}) b WHERE bed_status = 'Available'",
+    "username_slugs": "SELECT staff_id, concat('st_', lower(replace(full_name, ' ', '_'))) AS username FROM staff",
+    "snapshot_invoices": "SELECT * FROM invoices",
+    "snapshot_versions": f"""
+        SELECT '19980101_000000' AS snapshot, invoice_id,
+          CAST(CAST(total_amount AS DECIMAL(9,1)) AS DECIMAL(10,2)) AS total_amount, CAST(NULL AS DECIMAL(10,2)) AS net_amount FROM invoices
+        UNION ALL SELECT strftime({AS_OF}, '%Y%m%d_%H%M%S'), invoice_id, total_amount, net_amount FROM invoices""",
+    "snapshot_sql_read_back": """
+        SELECT patient_id, concat(full_name, ' ''O''''Neil'',', chr(10), 'NULL);', chr(10), phone) AS full_name, dob,
+          if(patient_id % 2 = 0, gender, NULL) AS gender, phone, email FROM patients""",
+}

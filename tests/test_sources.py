@@ -11,8 +11,9 @@ from clinic import at, clinic, money, rows
 from wardops.catalog import register
 from wardops.changes.core import Changes
 from wardops.plans import audit, billing
-from wardops.schemas import SCHEMAS
+from wardops.schemas import FOREIGN_KEYS, SCHEMAS
 from wardops.sources import snapshot
+from wardops.sources.sqltext import read_insert_statements
 
 WHEN = datetime(2026, 5, 1, 9, 30, 5)
 
@@ -97,3 +98,45 @@ def test_views_answer_sql(spark, small):
         "SELECT net_pay FROM view_detailed_patient_bill WHERE invoice_date >= :since", {"since": date(2026, 5, 1)}
     )
     assert [r.net_pay for r in found.collect()] == [8]
+
+
+def test_sql_text_reads_back(spark, small, tmp_path):
+    """Quotes, commas, line ends and statement ends inside texts, NULLs, and texts that look like NULL."""
+    odd = ["it's", "''", "a, b", "line\nend);\n", "NULL", "'NULL'", "", None, "x" * 50_000, "'); --", "\\n \\' \t"]
+    logs = spark.createDataFrame([(i, i, text, WHEN) for i, text in enumerate(odd)], small.audit_logs.schema).repartition(3)
+    folder = snapshot.write_sql_snapshot(small.replace(audit_logs=logs), str(tmp_path), WHEN)
+    back = snapshot.read_sql_snapshot(spark, folder, list(SCHEMAS))
+    for name in SCHEMAS:
+        want = logs if name == "audit_logs" else small[name]
+        assert rows(back[name], *want.columns) == rows(want)
+    order = list(back)
+    for child, _, parent in FOREIGN_KEYS:
+        assert order.index(parent) < order.index(child)
+
+
+def test_statement_of_another_table_fails(spark, small, tmp_path):
+    folder = snapshot.write_sql_snapshot(small, str(tmp_path), WHEN)
+    with pytest.raises(Exception, match="values expected"):
+        read_insert_statements(spark, "audit_logs", f"{folder}/invoices").collect()
+
+
+def test_versions_are_reconciled(spark, tmp_path):
+    """A column added, one dropped, and three kinds of types that grew."""
+    def store(when, ddl, *data):
+        folder = f"{tmp_path}/snapshot={snapshot.snapshot_name(when)}"
+        frame = spark.createDataFrame(list(data), ddl)
+        frame.write.parquet(f"{folder}/rooms")
+        spark.createDataFrame([("rooms", frame.schema.json())], "table_name string, schema_json string").write.json(f"{folder}/_schemas")
+
+    store(datetime(2024, 1, 1), "room_id int, price decimal(5,2), opened date, note string", (1, money("1.25"), date(2024, 1, 1), "x"))
+    store(datetime(2025, 1, 1), "room_id bigint, price decimal(12,1), opened timestamp_ntz, floor int", (2**40, money("7.5"), at("2025-01-01 10:00:00"), 3))
+    store(datetime(2026, 1, 1), "room_id bigint, price decimal(12,1), opened timestamp_ntz, floor int", (3, None, None, 4))
+    found = snapshot.read_versions(spark, str(tmp_path), "rooms")
+    assert dict(found.dtypes) == {
+        "snapshot": "string", "room_id": "bigint", "price": "decimal(13,2)", "opened": "timestamp_ntz", "note": "string", "floor": "int"}
+    assert rows(found, "snapshot", "room_id", "price", "opened", "note", "floor") == sorted([
+        ("20240101_000000", 1, money("1.25"), at("2024-01-01 00:00:00"), "x", None),
+        ("20250101_000000", 2**40, money("7.50"), at("2025-01-01 10:00:00"), None, 3),
+        ("20260101_000000", 3, None, None, None, 4)], key=repr)
+    with pytest.raises(ValueError):
+        snapshot.read_versions(spark, str(tmp_path), "beds")

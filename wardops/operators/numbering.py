@@ -12,97 +12,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wardops.functions import clock
+from wardops.operators.spread import skew_join
 from wardops.schemas import KEYS
 from wardops.tables import Tables
 
-LOW_BITS = 16
-HIGH_BITS = 38
-BUCKET_ROWS = 1_000_000
+LEVEL_BITS = 16
+RANGES = 256
+RANGE_ROWS = 1 << 16
 _MIN_BIGINT = -(2**63)
 
 
-def _starts(counts: DataFrame, keys: list[str], *bucket: str) -> DataFrame:
+def _starts(counts: DataFrame, keys: list, *bucket: str) -> DataFrame:
     """Rows of the same ``keys`` before each bucket, from (keys, bucket, n)."""
-    before = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(*bucket)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
+def _cut(rows: DataFrame, keys: list[str], value: Column, name: str, range_rows: int) -> DataFrame:
+    """``name``: the range of its ``keys`` that a row's ``value`` falls in, in order of the value.
+
+    Quantiles come from a mergeable sketch, so a hot key is summed up where its
+    rows lie.  A key gets a range for every ``range_rows`` rows, ``RANGES`` at
+    most.  Split values are ranges of their own (odd numbers), with the open
+    intervals between them (even numbers): a value that many rows share is a
+    split value, and nothing else is in its range.
+    """
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    found = rows.groupBy(*keys).agg(
+        F.count(value).alias("_n"), F.percentile_approx(value, shares, 10 * RANGES).alias("_quantiles")
+    )
+    used = F.least(F.ceil(F.col("_n") / range_rows), F.lit(RANGES))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(used - 1, F.lit(1))), lambda i: F.col("_quantiles")[F.floor(i * RANGES / used).cast("int") - 1])
+    splits = F.when(used > 1, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+    cut = skew_join(rows, found.select(*keys, splits.alias("_splits")), keys)
+    below = F.size(F.filter("_splits", lambda s: s < value))
+    at = F.when(F.array_contains("_splits", value), 1).otherwise(0)
+    return cut.withColumn(name, F.coalesce(2 * below + at, F.lit(0))).drop("_splits")
+
+
 def running_number(
-    rows: DataFrame, key: str, stamp: str, ties: list[str], name: str, bucket_rows: int = BUCKET_ROWS
+    rows: DataFrame, key: str, stamp: str, ties: list[str], name: str, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Number the rows of each ``key`` by ``stamp`` then ``ties``, from 1.
 
-    Buckets are clock hours, so a hot key is spread over its hours.  An hour of
-    one key with more than ``bucket_rows`` rows is cut again, by second,
-    microsecond and ranges of the first tie (a bigint), so even one instant may
-    hold any number of rows.  ``key`` must not be NULL.
+    A key's rows are cut into ranges of time of about equal size, and an instant
+    that is a range of its own into ranges of the first tie (a bigint).  A range
+    is numbered for itself and starts where the one before it ended.  So one
+    user, one instant, or both may hold any number of rows.  ``key`` must not
+    be NULL.
     """
-    hour = F.coalesce(clock.hours(F.col(stamp)), F.lit(_MIN_BIGINT))
-    # The extra key lets adaptive execution split a hot hour (see skew_join).
-    follows = F.hash(F.col(key).cast("string"), F.col("_hour"))
-    at = [key, "_hour", "_follows"]
-    bucketed = rows.withColumn("_hour", hour).withColumn("_follows", follows)
-    hours = _starts(bucketed.groupBy(*at).agg(F.count("*").alias("n")), [key], "_hour")
-    place = F.row_number()
-    order = [stamp, *ties]
-
-    ordinary = bucketed.join(hours.filter(F.col("n") <= bucket_rows), at).withColumn(
-        name, place.over(Window.partitionBy(*at).orderBy(*order)) + F.col("start")
-    )
-    fine = [*at, "_second", "_micro", "_range"]
-    crowded = (
-        bucketed.join(hours.filter(F.col("n") > bucket_rows).drop("n"), at)
-        .withColumn("_second", F.coalesce(F.minute(stamp) * 60 + F.second(stamp), F.lit(0)))
-        .withColumn("_micro", F.coalesce(clock.microseconds(F.col(stamp)) % clock.MICROS, F.lit(0)))
-        .withColumn("_range", F.shiftright(F.col(ties[0]).cast("bigint"), LOW_BITS))
-    )
-    counts = crowded.groupBy(*fine).agg(F.count("*").alias("n"))
-    seconds = _starts(
-        counts.groupBy(*at, "_second").agg(F.sum("n").alias("n")), at, "_second"
-    ).select(*at, "_second", F.col("start").alias("_earlier"))
-    parts = _starts(counts, [*at, "_second"], "_micro", "_range").select(*fine, F.col("start").alias("_before"))
-    cut = (
-        crowded.withColumn("_place", place.over(Window.partitionBy(*fine).orderBy(*order)))
-        .join(parts.join(seconds, [*at, "_second"]), fine)
-        .withColumn(name, F.col("_place") + F.col("start") + F.col("_earlier") + F.col("_before"))
-    )
-    result = [*rows.columns, name]
-    return ordinary.select(*result).unionByName(cut.select(*result))
+    when = F.coalesce(clock.microseconds(F.col(stamp)), F.lit(_MIN_BIGINT))
+    cut = _cut(rows, [key], when, "_time", range_rows)
+    crowded = F.when(F.col("_time") % 2 == 1, F.col(ties[0]).cast("bigint"))
+    cut = _cut(cut, [key, "_time"], crowded, "_tie", range_rows)
+    at = [key, "_time", "_tie"]
+    starts = _starts(cut.groupBy(*at).agg(F.count("*").alias("n")), [key], "_time", "_tie").drop("n")
+    place = F.row_number().over(Window.partitionBy(*at).orderBy(stamp, *ties))
+    numbered = skew_join(cut, starts, at).withColumn(name, place + F.col("start"))
+    return numbered.select(*rows.columns, name)
 
 
 def dense_number(rows: DataFrame, sequence: str, name: str) -> DataFrame:
     """Number all rows 1, 2, 3 … in the order of a unique bigint ``sequence``.
 
-    The sequence is cut into ranges of 2**16 values, those into ranges of
-    2**38.  As values are unique, no task ever sorts more than 2**16 rows or
-    sums more than 2**22 counts.
+    Counts are summed up level by level, 16 bits each, and each level starts
+    where the one before ended.  As values are unique, no task sorts more than
+    2**16 rows or adds up more than 2**16 counts, however sparse the sequence.
     """
-    low = F.shiftright(F.col(sequence).cast("bigint"), LOW_BITS)
-    bucketed = rows.withColumn("_low", low)
-    counts = (
-        bucketed.groupBy("_low")
-        .agg(F.count("*").alias("n"))
-        .withColumn("_high", F.shiftright("_low", HIGH_BITS - LOW_BITS))
-    )
-    inner = _starts(counts, ["_high"], "_low").select(
-        "_low", "_high", F.col("start").alias("inner_start")
-    )
-    outer = _starts(
-        counts.groupBy("_high").agg(F.sum("n").alias("n")), [], "_high"
-    ).select("_high", F.col("start").alias("outer_start"))
-    starts = inner.join(outer, "_high").select(
-        "_low", (F.col("inner_start") + F.col("outer_start")).alias("start")
-    )
-    within = Window.partitionBy("_low").orderBy(sequence)
+    value = F.col(sequence).cast("bigint")
+    levels = [f"_level{i}" for i in range(1, 64 // LEVEL_BITS)]
+    leveled = rows.withColumn(levels[0], F.shiftright(value, LEVEL_BITS))
+    counts = leveled.groupBy(levels[0]).agg(F.count("*").alias("n"))
+    starts = counts.select(levels[0], F.lit(0).cast("bigint").alias("total"))
+    for own, above in zip(levels, [*levels[1:], None]):
+        if above is None:  # 2**16 values at most are left
+            ranked = _starts(counts, [F.lit(0)], own)
+        else:
+            counts = counts.withColumn(above, F.shiftright(own, LEVEL_BITS))
+            ranked = _starts(counts, [above], own)
+            starts = starts.withColumn(above, F.shiftright(levels[0], LEVEL_BITS * levels.index(above)))
+            counts = counts.groupBy(above).agg(F.sum("n").alias("n"))
+        starts = starts.join(ranked.select(own, F.col("start").alias("_start")), own).withColumn("total", F.col("total") + F.col("_start")).drop("_start")
+    within = Window.partitionBy(levels[0]).orderBy(sequence)
     return (
-        bucketed.withColumn("_place", F.row_number().over(within))
-        .join(starts, "_low")
-        .withColumn(name, F.col("_place") + F.col("start"))
-        .drop("_low", "_place", "start")
+        leveled.withColumn("_place", F.row_number().over(within))
+        .join(starts.select(levels[0], "total"), levels[0])
+        .withColumn(name, F.col("_place") + F.col("total"))
+        .drop(levels[0], "_place", "total")
     )
 
 

@@ -5,7 +5,9 @@ A change never overwrites the files it reads: it writes the next snapshot.
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from wardops.operators.numbering import gives_ids, id_mark
 from wardops.operators.pruning import partition_of
 from wardops.schemas import SCHEMAS
-from wardops.sources.sqltext import write_insert_statements
+from wardops.sources.sqltext import load_order, read_insert_statements, write_insert_statements
 from wardops.tables import Tables
 
 ID_MARKS = "_id_marks"
@@ -82,6 +84,59 @@ def write_sql_snapshot(t: Tables, root: str, when: datetime) -> str:
     return folder
 
 
+def read_sql_snapshot(spark: SparkSession, folder: str, names: list[str]) -> Tables:
+    """Tables written as SQL text, referred-to tables first."""
+    return Tables({name: read_insert_statements(spark, name, f"{folder.rstrip('/')}/{name}") for name in load_order(names)})
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of both: the wider number, else text."""
+    if a == b:
+        return a
+    digits = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+    if a in digits and b in digits:
+        return max(a, b, key=digits.get)
+    decimal = [T.DecimalType(digits[x], 0) if x in digits else x for x in (a, b)]
+    if all(isinstance(x, T.DecimalType) for x in decimal):
+        scale = max(x.scale for x in decimal)
+        return T.DecimalType(min(38, scale + max(x.precision - x.scale for x in decimal)), scale)
+    if {type(a), type(b)} == {T.DateType, T.TimestampNTZType}:
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
+def read_versions(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One table out of all snapshots under ``root``, with the column ``snapshot``.
+
+    Every snapshot is read by the schema it was stored with.  A column that some
+    lack is NULL there, a column stored in several types takes one that holds
+    them all.  Snapshots of one schema are read together.
+    """
+    base = root.rstrip("/")
+    stored = (
+        spark.read.option("basePath", base).schema("table_name string, schema_json string, snapshot string")
+        .json(f"{base}/snapshot=*/_schemas").filter(F.col("table_name") == name)
+    )
+    versions: dict[str, list[str]] = {}
+    for row in stored.collect():  # one row a snapshot
+        versions.setdefault(row.schema_json, []).append(row.snapshot)
+    if not versions:
+        raise ValueError(f"no snapshot of {name} under {root}")
+    schemas = {text: T.StructType.fromJson(json.loads(text)) for text in versions}
+    columns: dict[str, T.DataType] = {}
+    for text in sorted(schemas):
+        for field in schemas[text].fields:
+            columns[field.name] = _wider(columns.get(field.name, field.dataType), field.dataType)
+    parts = []
+    for text, snapshots in sorted(versions.items()):
+        rows = spark.read.schema(schemas[text]).parquet(*[f"{base}/snapshot={s}/{name}" for s in sorted(snapshots)])
+        own = set(schemas[text].names)
+        parts.append(rows.select(
+            F.regexp_extract("_metadata.file_path", "/snapshot=([^/]+)/", 1).alias("snapshot"), *[(F.col(c) if c in own else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Explicit schema; a column that older files lack reads as NULL."""
     schema = T.StructType(list(SCHEMAS[name].fields))
