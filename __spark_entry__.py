@@ -13,7 +13,7 @@ from datetime import date, datetime
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa: E402
 
 from oracles import all_sql  # noqa: E402
 from wardops import catalog  # noqa: E402
@@ -23,15 +23,17 @@ from wardops.functions.text import username_slug  # noqa: E402
 from wardops.operators.access import permitted, with_role  # noqa: E402
 from wardops.operators.numbering import allocate_ids  # noqa: E402
 from wardops.operators.rewrite import with_rows  # noqa: E402
-from wardops.plans import audit, beds, billing, clinical, people, scheduling  # noqa: E402
+from wardops.operators.sequence import guarded  # noqa: E402
+from wardops.plans import audit, beds, billing, clinical, clustered, people, scheduling  # noqa: E402
 from wardops.schemas import ACCOUNTANT  # noqa: E402
 from wardops.session import Stage, configure, shared_folder, stager  # noqa: E402
 from wardops.sources import batches  # noqa: E402
 from wardops.sources.bridge import bridge_tables  # noqa: E402
 from wardops.sources.snapshot import read_snapshot, read_sql_snapshot, read_versions, write_snapshot, write_sql_snapshot  # noqa: E402
 from wardops.sources.sqltext import insert_statements  # noqa: E402
-from wardops.streaming.activity import actions_24h_stream  # noqa: E402
+from wardops.streaming.activity import actions_24h_stream, actions_trailing_stream  # noqa: E402
 from wardops.streaming import demo  # noqa: E402
+from wardops.streaming.store import DeltaStore  # noqa: E402
 from wardops.tables import Tables  # noqa: E402
 
 try:  # the corpus operators are an optional part
@@ -121,7 +123,9 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "referral_candidates": lambda t: scheduling.referral_candidates(t, REFERRING_DOCTOR, AS_OF),
     "doctor_patients_today": lambda t: scheduling.doctor_patients_today(t, AS_OF),
     "patient_today_appointments": lambda t: scheduling.patient_today_appointments(t, AS_OF),
+    "doctor_schedule_flow_at": lambda t: scheduling.doctor_schedule_flow_at(t, batches.schedule_questions(t)),
     # clinical
+    "patient_search_many": lambda t: clinical.patient_search_many(t, batches.search_keywords(t)),
     "patient_search": lambda t: clinical.patient_search(t, KEYWORD),
     "patient_profile": clinical.patient_profile,
     "patient_history": clinical.patient_history,
@@ -145,6 +149,7 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     # audit
     "staff_activity": audit.staff_activity,
     "actions_last_24h": lambda t: audit.actions_last_24h(t, AUDIT_AS_OF),
+    "actions_trailing_24h": audit.actions_trailing_24h,
     "login_history": audit.login_history,
     "login_frequency": audit.login_frequency,
     "audit_latest": audit.audit_latest,
@@ -160,6 +165,7 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "directory_by_sql": lambda t: _directory_by_sql(t),
     # stored states
     "snapshot_invoices": lambda t: _stored_invoices(t),
+    "patient_bill_clustered": lambda t: _clustered_bill(t),
     "snapshot_versions": lambda t: _invoice_versions(t),
     "snapshot_sql_read_back": lambda t: _patients_as_text(t),
 }
@@ -270,6 +276,39 @@ def _invoice_versions(t: Tables) -> DataFrame:
     return found.select("snapshot", "invoice_id", "total_amount", "net_amount")
 
 
+def _clustered_bill(t: Tables) -> DataFrame:
+    """The bill over tables stored by visit; buckets follow the session's shuffle partitions."""
+    spark = t.users.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = clustered.write_visit_store(t, _root(t, "visit-store"), buckets)
+    return clustered.clustered_bill(clustered.read_visit_store(spark, folder))
+
+
+def _newest_first(t: Tables, commands: DataFrame, late: Column, rule: Callable[[DataFrame, Tables], Changes], writes: list[str]) -> Tables:
+    """Two micro-batches: what is not late first, then the late commands."""
+    t = guarded(t)
+    store = DeltaStore(t.users.sparkSession, _root(t, "late-commands"), t, [*writes, "command_marks"])
+    for epoch, part in enumerate((commands.filter(~late), commands.filter(late))):
+        before = store.current(before=epoch)
+        store.append(epoch, rule(part, before), before)
+    return store.current()
+
+
+def _late_states(t: Tables) -> DataFrame:
+    """Every visit's second command arrives before its first."""
+    first = F.col("seq") % 2 == 0
+    rule = lambda c, before: visits.set_visit_state(c, before, AS_OF)
+    return _newest_first(t, batches.visit_states(t), first, rule, ["appointments"]).appointments
+
+
+def _late_changes(t: Tables) -> DataFrame:
+    """The newer prescription of a record is repriced before the older one."""
+    changed = t.presc_details.select("presc_id", F.col("presc_id").alias("change_seq"))
+    rule = lambda c, before: pricing.reprice_invoices(c, before, AS_OF, stage=_stage(t, "late-prices"))
+    after = _newest_first(t, changed, F.col("presc_id") % 2 == 0, rule, ["invoices", "beds", "admissions"])
+    return after.invoices.select("invoice_id", "total_amount")
+
+
 def _patients_as_text(t: Tables) -> DataFrame:
     """Patients with quotes, commas and line ends in their names, written as SQL text and read back."""
     name = F.concat("full_name", F.lit(" 'O''Neil',\nNULL);\n"), F.col("phone"))
@@ -300,12 +339,14 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
     "w03_checked_appointments": lambda t: _book(t, check_slots=True).inserts["appointments"],
     "w03_booking_slips": lambda t: visits.booking_slips(_book(t), t),
     "w04_appointments": lambda t: visits.set_visit_state(batches.visit_states(t), t, AS_OF).apply(t).appointments,
+    "w04_late_commands": lambda t: _late_states(t),
     "w05_new_records": lambda t: _record(t).inserts["medical_records"],
     "w05_appointments": lambda t: _record(t).apply(t).appointments,
     "w05_audit": lambda t: _record(t).audit_rows(t),
     "w05_rejected": lambda t: _record(t).rejected,
     "w06_repriced_invoices": lambda t: _reprice(t).updates["invoices"],
     "w06_after_new_lines": _reprice_new_lines,
+    "w06_late_changes": lambda t: _late_changes(t),
     "w07_paid_invoices": lambda t: _pay(t).updates["invoices"],
     "w07_invoices": lambda t: _pay(t).apply(t).invoices,
     "w07_rejected": lambda t: _pay(t).rejected,
@@ -344,6 +385,7 @@ CHANGES: dict[str, Callable[[Tables], DataFrame]] = {
 
 STREAMS: dict[str, Query] = {
     "actions_24h_stream": actions_24h_stream,
+    "actions_trailing_stream": actions_trailing_stream,
     "bookings_stream": demo.bookings_stream,
     "records_stream": demo.records_stream,
     "lines_stream": demo.lines_stream,

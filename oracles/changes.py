@@ -396,3 +396,10 @@ CHANGE_SQL = {
 }
 CHANGE_SQL["w18_ids_after_removal"] = CHANGE_SQL["w03_new_appointments"]
 CHANGE_SQL["lines_stream"] = CHANGE_SQL["w06_after_new_lines"].replace("DECIMAL(15,2)", "DECIMAL(10,2)")
+CHANGE_SQL["w04_late_commands"] = CHANGE_SQL["w04_appointments"]
+CHANGE_SQL["w06_late_changes"] = f"""
+    SELECT i.invoice_id, coalesce(CAST(r.total_amount AS DECIMAL(10,2)), i.total_amount) AS total_amount
+    FROM invoices i LEFT JOIN ({CHANGE_SQL["w06_repriced_invoices"]}) r USING (invoice_id)"""
+CHANGE_SQL["actions_trailing_stream"] = """
+    SELECT DISTINCT timestamp, count(*) OVER (ORDER BY timestamp RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING
+      AND CURRENT ROW) AS action_count FROM audit_logs"""

@@ -219,3 +219,25 @@ READ_SQL |= {
         SELECT patient_id, concat(full_name, ' ''O''''Neil'',', chr(10), 'NULL);', chr(10), phone) AS full_name, dob,
           if(patient_id % 2 = 0, gender, NULL) AS gender, phone, email FROM patients""",
 }
+
+#: Many questions in one plan, and the bill over tables stored by visit.
+READ_SQL |= {
+    "patient_bill_clustered": READ_SQL["patient_bill"],
+    "actions_trailing_24h": """
+        SELECT DISTINCT timestamp, count(*) OVER (ORDER BY timestamp RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING
+          AND CURRENT ROW) AS action_count FROM audit_logs""",
+    "patient_search_many": """
+        SELECT keyword, p.* FROM (
+          SELECT DISTINCT unnest([phone_number[7:10], concat(phone_number[7:8], '_', phone_number[10:10]),
+            concat('R#%', phone_number[9:10])]) AS keyword FROM staff) k
+        JOIN patients p ON full_name ILIKE concat('%', keyword, '%') OR phone ILIKE concat('%', keyword, '%')""",
+    "doctor_schedule_flow_at": f"""
+        SELECT as_of, doctor_id, flow_type, patient_name AS full_name, appt_date, {clock("appt_date")} AS clock FROM (
+          SELECT q.as_of, d.*, 'Active' AS flow_type FROM _diary d JOIN _questions q ON q.doctor_id = d.doctor_id
+            AND appt_date >= as_of - INTERVAL 30 MINUTE AND appt_date <= as_of
+          WHERE status IN ('CheckedIn', 'In-Progress')
+          UNION ALL
+          SELECT q.as_of, d.*, 'Next' FROM _questions q ASOF JOIN (
+            SELECT DISTINCT ON (doctor_id, appt_date) * FROM _diary WHERE status IN ('Scheduled', 'CheckedIn')
+            ORDER BY doctor_id, appt_date, appt_id) d ON d.doctor_id = q.doctor_id AND q.as_of < d.appt_date) flow""",
+}

@@ -48,6 +48,8 @@ SHAPES = {
         JOIN _states ON state = status""",
     "_today": f"SELECT * FROM _diary WHERE day = {TODAY}",
     "_ahead": f"SELECT * FROM _diary WHERE day >= {TODAY} - 7",
+    "_questions": """
+        SELECT DISTINCT doctor_id, appt_date + unnest([INTERVAL '-10' MINUTE, INTERVAL '10' MINUTE]) AS as_of FROM appointments""",
     "_lines": """
         SELECT presc_id, med_name, dosage, quantity, price, CAST(price * quantity AS DECIMAL(15,2)) AS subtotal
         FROM presc_details JOIN medicines USING (med_id)""",

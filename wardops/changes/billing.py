@@ -12,6 +12,7 @@ from wardops.operators.access import gate
 from wardops.operators.coverage import with_active_rate
 from wardops.operators.parents import linked_pairs, with_visit
 from wardops.operators.rewrite import last_per_key
+from wardops.operators.sequence import APPLIED, CHOSEN, marks_of, newest_only, with_marks
 from wardops.schemas import ACCOUNTANT, DOMAINS
 from wardops.session import Stage, keep
 from wardops.tables import Tables
@@ -110,7 +111,7 @@ def reprice_invoices(
         .agg(F.max(F.struct("change_seq", "presc_id")).alias("change"))
     )
     billed = t.invoices.select("invoice_id", "appt_id", "admission_id", "payment_status")
-    winners = stage(
+    paired = (
         linked_pairs(billed, touched)
         .groupBy("invoice_id")
         .agg(
@@ -118,7 +119,14 @@ def reprice_invoices(
             F.max("admission_id").alias("admission_id"),
             F.max("payment_status").alias("payment_status"),
         )
-        .select("invoice_id", "admission_id", "payment_status", F.col("last.presc_id").alias("presc_id"))
+    )
+    # An older change leaves the invoice with the prescription that decided it, at that one's present total.
+    known = with_marks(paired, t, "reprice", "invoice_id", F.col("last.change_seq"))
+    change = F.struct(F.col("last.change_seq").cast("bigint").alias("seq"), F.col("last.presc_id").cast("bigint").alias("presc_id"))
+    decided = F.when(F.col(APPLIED).isNotNull(), F.struct(F.col(APPLIED).alias("seq"), F.col(CHOSEN).alias("presc_id")))
+    winners = stage(
+        known.withColumn("last", F.greatest(change, decided))
+        .select("invoice_id", "admission_id", "payment_status", F.col("last.presc_id").alias("presc_id"), F.col("last.seq").alias("seq"))
     )
     totals = (
         t.presc_details.select("presc_id", "med_id", "quantity")
@@ -134,7 +142,8 @@ def reprice_invoices(
         winners.withColumn("old_status", F.col("payment_status")), t, as_of, only_on_transition
     )
     return Changes(
-        updates={"invoices": repriced, **released.updates}
+        inserts=marks_of(winners, t, "reprice", "invoice_id", F.col("seq"), F.col("presc_id")),
+        updates={"invoices": repriced, **released.updates},
     )
 
 
@@ -143,8 +152,10 @@ def set_payment_state(commands: DataFrame, t: Tables) -> Changes:
     known = F.col("payment_status").isin(DOMAINS["invoices", "payment_status"])
     accepted, refused = split(commands, [(known, "Unknown payment state")])
     chosen = last_per_key(accepted.select("invoice_id", "seq", "payment_status"), "invoice_id", "seq")
+    chosen, marks = newest_only(chosen, t, "payment-state", "invoice_id")
     return Changes(
-        updates={"invoices": chosen.select("invoice_id", "payment_status")}, rejected=reject(refused)
+        inserts=marks,
+        updates={"invoices": chosen.select("invoice_id", "payment_status")}, rejected=reject(refused),
     )
 
 
@@ -155,8 +166,10 @@ def update_policies(commands: DataFrame, t: Tables) -> Changes:
     chosen = last_per_key(
         accepted.select("insurance_id", "seq", "rate_percent", "expiry_date"), "insurance_id", "seq"
     )
+    chosen, marks = newest_only(chosen, t, "policy", "insurance_id")
     rate = (F.col("rate_percent").cast("decimal(5,2)") / 100).cast("decimal(3,2)")
     return Changes(
+        inserts=marks,
         updates={"insurance": chosen.select("insurance_id", rate.alias("coverage_rate"), "expiry_date")},
         rejected=reject(refused),
     )

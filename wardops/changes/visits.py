@@ -14,6 +14,7 @@ from wardops.operators.access import gate
 from wardops.operators.numbering import dense_number, last_id, new_ids
 from wardops.operators.references import delete_closure
 from wardops.operators.rewrite import last_per_key
+from wardops.operators.sequence import LATE, marks_of, newest_only, with_marks
 from wardops.operators.slots import clashing_requests, granted_requests
 from wardops.operators.spread import skew_join
 from wardops.schemas import ADMIN, DOMAINS, RECEPTIONIST
@@ -108,8 +109,8 @@ def booking_slips(changes: Changes, t: Tables) -> DataFrame:
 def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     """Commands (seq, appt_id, status); the last wins.
 
-    A Completed command stamps the completion time, even if a later command in
-    the batch moves the visit on.
+    A Completed command stamps the completion time, even if a later command
+    moves the visit on, and even if it arrives after that later one.
     """
     known = F.col("status").isin(DOMAINS["appointments", "status"])
     accepted, refused = split(commands, [(known, "Unknown appointment state")])
@@ -117,12 +118,14 @@ def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
         F.max(F.struct("seq", "status")).alias("last"),
         F.max(F.col("status") == "Completed").alias("ended"),
     )
-    current = t.appointments.select("appt_id", "completed_at")
+    chosen = with_marks(chosen, t, "visit-state", "appt_id", F.col("last.seq"))
+    current = t.appointments.select("appt_id", "status", "completed_at")
     return Changes(
+        inserts=marks_of(chosen.filter(~F.col(LATE)), t, "visit-state", "appt_id", F.col("last.seq")),
         updates={
             "appointments": current.join(chosen, "appt_id").select(
                 "appt_id",
-                F.col("last.status").alias("status"),
+                F.when(F.col(LATE), F.col("status")).otherwise(F.col("last.status")).alias("status"),
                 F.when(F.col("ended"), clock.instant(as_of))
                 .otherwise(F.col("completed_at")).alias("completed_at"),
             )
@@ -174,7 +177,9 @@ def add_records(
 def discharge(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
     """Commands (seq, admission_id, status); the bed is left as it is."""
     chosen = last_per_key(commands.select("admission_id", "seq", "status"), "admission_id", "seq")
+    chosen, marks = newest_only(chosen, t, "discharge", "admission_id")
     return Changes(
+        inserts=marks,
         updates={
             "admissions": chosen.select(
                 "admission_id", clock.instant(as_of).alias("discharge_date"),

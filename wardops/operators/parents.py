@@ -39,14 +39,18 @@ def visits(t: Tables) -> DataFrame:
 def records_of(rows: DataFrame, t: Tables, patient_id: int, key: str) -> DataFrame:
     """The rows that hang off a visit of one patient; the patient's visits are filtered at their scan."""
     own = visits(t).filter(F.col("patient_id") == patient_id).select(*VISIT_KEY)
-    return _per_parent(rows).join(own, VISIT_KEY, "left_semi").drop(*VISIT_KEY).dropDuplicates([key])
+    return per_parent(rows).join(own, VISIT_KEY, "left_semi").drop(*VISIT_KEY).dropDuplicates([key])
 
 
 def _both_set():
     return F.col("appt_id").isNotNull() & F.col("admission_id").isNotNull()
 
 
-def _single_parent(rows: DataFrame, key: str) -> DataFrame:
+def two_parents(rows: DataFrame) -> DataFrame:
+    return rows.filter(_both_set())
+
+
+def single_parent(rows: DataFrame, key: str) -> DataFrame:
     """Rows with at most one parent, plus their visit key.
 
     Rows without any parent get a key that matches nothing and differs per row,
@@ -64,7 +68,7 @@ def _single_parent(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _per_parent(rows: DataFrame) -> DataFrame:
+def per_parent(rows: DataFrame) -> DataFrame:
     """One row per set parent: (visit_kind, visit_id) next to the row."""
     keys = F.array(
         F.struct(F.lit(OUTPATIENT).alias("kind"), F.col("appt_id").alias("id")),
@@ -81,7 +85,7 @@ def _per_parent(rows: DataFrame) -> DataFrame:
 
 def _keyed(rows: DataFrame) -> DataFrame:
     """The looked-up side of a parent match."""
-    return _per_parent(rows).select(
+    return per_parent(rows).select(
         F.col("visit_kind").alias("right_kind"),
         F.col("visit_id").alias("right_id"),
         F.col("appt_id").alias("right_appt_id"),
@@ -105,7 +109,7 @@ _LOOKUP = ["right_kind", "right_id", "right_appt_id"]
 def linked_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Inner join on ``appt_id`` equal OR ``admission_id`` equal."""
     return (
-        _per_parent(left)
+        per_parent(left)
         .join(_keyed(right), _same_parent())
         .drop(*VISIT_KEY, *_LOOKUP)
     )
@@ -115,7 +119,7 @@ def _double_parent(rows: DataFrame, t: Tables, key: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     outpatient = F.col("visit_kind") == OUTPATIENT
     found = (
-        _per_parent(rows.filter(_both_set()))
+        per_parent(rows.filter(_both_set()))
         .join(visits(t), VISIT_KEY, "left")
         .groupBy(key)
         .agg(
@@ -142,7 +146,7 @@ def with_visit(rows: DataFrame, t: Tables, key: str) -> DataFrame:
     ``patient_id`` comes from the appointment, else from the admission;
     ``other_patient_id`` is set only where both parents exist and disagree.
     """
-    single = _single_parent(rows, key).join(visits(t), VISIT_KEY, "left").withColumn(
+    single = single_parent(rows, key).join(visits(t), VISIT_KEY, "left").withColumn(
         "other_patient_id", F.lit(None).cast("bigint")
     )
     return single.drop(*VISIT_KEY).unionByName(_double_parent(rows, t, key))
@@ -156,10 +160,10 @@ def left_linked(left: DataFrame, right: DataFrame, key: str, right_parents: Data
     (see ``left_spread``); ``key`` identifies left rows.
     """
     # Both single-parent joins read one shuffle of ``left``, so filter it alike.
-    single = _single_parent(left, key).filter(F.col("visit_id").isNotNull())
+    single = single_parent(left, key).filter(F.col("visit_id").isNotNull())
     same_visit = (F.col("visit_kind") == F.col("right_kind")) & (F.col("visit_id") == F.col("right_id"))
     parents = (
-        _per_parent(right_parents.select("appt_id", "admission_id"))
+        per_parent(right_parents.select("appt_id", "admission_id"))
         .select(F.col("visit_kind").alias("right_kind"), F.col("visit_id").alias("right_id"))
         .distinct()
     )

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock
+from wardops.operators.asof import trailing_counts
 from wardops.operators.numbering import running_number
 from wardops.operators.pruning import since
 from wardops.operators.spread import skew_join
@@ -34,6 +35,13 @@ def actions_last_24h(t: Tables, as_of: datetime) -> DataFrame:
     return newer.agg(F.count("*").alias("action_count"))
 
 
+def actions_trailing_24h(t: Tables) -> DataFrame:
+    """Per instant with an action: what ``actions_last_24h`` counted at that moment."""
+    stamped = t.audit_logs.filter(F.col("timestamp").isNotNull())
+    counted = trailing_counts(stamped.groupBy(F.col("timestamp").alias("at")).agg(F.count("*").alias("n")))
+    return counted.select(F.col("at").alias("timestamp"), F.col("trailing").alias("action_count"))
+
+
 def _logins(t: Tables) -> DataFrame:
     return t.audit_logs.filter(F.col("action") == LOGIN_ACTION).filter(F.col("user_id").isNotNull())
 

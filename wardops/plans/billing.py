@@ -80,12 +80,8 @@ def active_coverage(t: Tables, as_of: datetime) -> DataFrame:
     )
 
 
-def patient_bill(t: Tables) -> DataFrame:
-    """Paid invoices by record, prescription, line and *every* policy.
-
-    Policies are joined without an expiry test, one row each, as the bill view
-    defines it; a stored net amount always wins over a computed one.
-    """
+def treatments(t: Tables) -> DataFrame:
+    """(appt_id, admission_id, doctor_diagnosis, medicine_name, dosage): every record by prescription and line."""
     medicines = t.medicines.select("med_id", F.col("med_name").alias("medicine_name"))
     lines = (
         t.presc_details.select("presc_id", "med_id", "dosage")
@@ -95,23 +91,34 @@ def patient_bill(t: Tables) -> DataFrame:
     prescribed = left_spread(
         t.prescriptions.select("record_id", "presc_id"), lines, ["presc_id"], right_keys=t.presc_details
     ).select("record_id", "medicine_name", "dosage")
-    treated = left_spread(
+    return left_spread(
         t.medical_records.select(
             "record_id", "appt_id", "admission_id", F.col("diagnosis").alias("doctor_diagnosis")
         ),
         prescribed, ["record_id"], right_keys=t.prescriptions,
     ).select("appt_id", "admission_id", "doctor_diagnosis", "medicine_name", "dosage")
-    covered = (
-        t.patients.select("patient_id", F.col("full_name").alias("patient_name"))
-        .join(t.insurance.select("patient_id", "coverage_rate"), "patient_id", "left")
+
+
+def policies(t: Tables) -> DataFrame:
+    """(patient_id, patient_name, coverage_rate): every patient by policy."""
+    return t.patients.select("patient_id", F.col("full_name").alias("patient_name")).join(
+        t.insurance.select("patient_id", "coverage_rate"), "patient_id", "left"
     )
+
+
+def patient_bill(t: Tables) -> DataFrame:
+    """Paid invoices by record, prescription, line and *every* policy.
+
+    Policies are joined without an expiry test, one row each, as the bill view
+    defines it; a stored net amount always wins over a computed one.
+    """
     paid = with_visit(
         _paid(t).select("invoice_id", "invoice_date", "appt_id", "admission_id", "total_amount", "net_amount"),
         t, "invoice_id",
     ).select("invoice_id", "invoice_date", "appt_id", "admission_id", "total_amount", "net_amount", "patient_id")
-    billed = left_linked(paid, treated, "invoice_id", t.medical_records)
+    billed = left_linked(paid, treatments(t), "invoice_id", t.medical_records)
     rate = rate_or_zero(F.col("coverage_rate"))
-    return skew_join(billed, covered, ["patient_id"], "left").select(
+    return skew_join(billed, policies(t), ["patient_id"], "left").select(
         "invoice_id",
         "invoice_date",
         "patient_name",

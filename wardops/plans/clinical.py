@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardops.functions import clock, money, text
 from wardops.operators.parents import records_of, with_visit
 from wardops.operators.spread import skew_join
+from wardops.operators.trigrams import search_many
 from wardops.tables import Tables
 
 WAITING = ["Scheduled", "CheckedIn", "In-Progress"]  # fixed values
@@ -28,6 +29,12 @@ def patient_search(t: Tables, keyword: str, ignore_accents: bool = False) -> Dat
     return t.patients.filter(hit).select("patient_id", "full_name", "dob", "gender", "phone", "email")
 
 
+def patient_search_many(t: Tables, keywords: DataFrame) -> DataFrame:
+    """``patient_search`` for many keywords (keyword): one row per keyword and patient found."""
+    people = t.patients.select("patient_id", "full_name", "dob", "gender", "phone", "email")
+    return search_many(people, "patient_id", ["full_name", "phone"], keywords)
+
+
 def patient_profile(t: Tables, patient_id: int | None = None) -> DataFrame:
     profiles = t.patient_health_profile
     if patient_id is not None:

@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from wardops.functions import clock, text
+from wardops.operators.asof import next_after
 from wardops.operators.exclusion import not_in
 from wardops.operators.slots import busy_doctors
 from wardops.tables import Tables
@@ -148,6 +149,43 @@ def doctor_schedule_flow(t: Tables, as_of: datetime, doctor_id: int | None = Non
     )
 
 
+def doctor_schedule_flow_at(t: Tables, asked: DataFrame) -> DataFrame:
+    """``doctor_schedule_flow`` for many questions (doctor_id, as_of), each answered once.
+
+    Running visits lie in the question's half hour or the one before; the next
+    visit is an as-of lookup.
+    """
+    asked = asked.select("doctor_id", "as_of").dropna().distinct()
+    appointments = t.appointments.filter(F.col("patient_id").isNotNull() & F.col("doctor_id").isNotNull())
+    at, length = F.col("appt_date"), clock.VISIT_MINUTES * 60 * clock.MICROS
+
+    def cell(stamp):
+        return F.floor(clock.microseconds(stamp) / length)
+
+    started = appointments.filter(F.col("status").isin(STARTED)).select(
+        "doctor_id", "appt_date", "patient_id", cell(at).alias("_cell")
+    )
+    halves = F.explode(F.array(cell(F.col("as_of")) - 1, cell(F.col("as_of"))))
+    earliest = clock.minutes_from(F.col("as_of"), -clock.VISIT_MINUTES)
+    active = (
+        asked.withColumn("_cell", halves)
+        .join(started, ["doctor_id", "_cell"])
+        .filter((at <= F.col("as_of")) & (at >= earliest))
+        .select(F.lit("Active").alias("flow_type"), "doctor_id", "as_of", "appt_date", "patient_id")
+    )
+    expected = appointments.filter(F.col("status").isin(EXPECTED)).withColumn("as_of", at)
+    visit = F.struct("appt_date", "appt_id", "patient_id")
+    following = (
+        next_after(asked, expected, ["doctor_id"], "as_of", visit)
+        .filter(F.col("next").isNotNull())
+        .select(F.lit("Next").alias("flow_type"), "doctor_id", "as_of", "next.appt_date", "next.patient_id")
+    )
+    names = t.patients.select("patient_id", "full_name")
+    return active.unionByName(following).join(names, "patient_id").select(
+        "as_of", "doctor_id", "flow_type", "full_name", "appt_date", clock.clock_text(at).alias("clock")
+    )
+
+
 def _available(t: Tables, slot: datetime, other_than: int | None = None) -> DataFrame:
     doctors = _placed_doctors(t).select(
         "doctor_id", F.col("full_name").alias("doctor_name"), "specialty", "dept_name"

@@ -86,6 +86,7 @@ MAX_LENGTHS: dict[str, dict[str, int]] = {
 }
 
 KEYS: dict[str, str] = {table: columns[0][0] for table, columns in _COLUMNS.items()}
+KEYS["command_marks"] = "command"  # kept by states that commands reach out of order
 
 UNIQUE: list[tuple[str, str]] = [
     ("patients", "email"), ("users", "username"), ("staff", "email"),

@@ -174,3 +174,18 @@ def staff_removals(t: Tables) -> DataFrame:
 
 def logins(t: Tables) -> DataFrame:
     return t.users.select(F.col("user_id").alias("seq"), "user_id")
+
+
+def schedule_questions(t: Tables) -> DataFrame:
+    """Every doctor asks ten minutes before and after each of their visits."""
+    minutes = F.explode(F.array(F.expr("INTERVAL '-10' MINUTE"), F.expr("INTERVAL '10' MINUTE")))
+    return t.appointments.select("doctor_id", "appt_date", minutes.alias("apart")).select(
+        "doctor_id", (F.col("appt_date") + F.col("apart")).alias("as_of")
+    )
+
+
+def search_keywords(t: Tables) -> DataFrame:
+    """For every member of staff the end of a phone number, the same with a wildcard, and two letters of the department."""
+    digits = F.substring("phone_number", 7, 4)
+    wild = F.concat(F.substring("phone_number", 7, 2), F.lit("_"), F.substring("phone_number", 10, 1))
+    return t.staff.select(F.explode(F.array(digits, wild, F.concat(F.lit("R#%"), F.substring("phone_number", 9, 2)))).alias("keyword"))

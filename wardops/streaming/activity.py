@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wardops.operators.asof import trailing_counts
 from wardops.session import shared_folder
 from wardops.streaming.rules import stored_table
 
@@ -87,3 +88,36 @@ def actions_24h_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("window_end").cast("timestamp_ntz").alias("window_end"),
         "action_count", "is_open",
     )
+
+
+def write_instants(events: DataFrame, stamp: str, folder: str) -> StreamingQuery:
+    """Count every micro-batch's events per instant into the folder of its epoch; no state, no lateness."""
+    spark = events.sparkSession
+    spark.createDataFrame([], "at timestamp_ntz, n bigint").write.mode("overwrite").parquet(f"{folder}/instants/epoch=-1")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        at = F.col(stamp).cast("timestamp_ntz").alias("at")
+        counted = batch.filter(F.col(stamp).isNotNull()).groupBy(at).agg(F.count("*").alias("n"))
+        counted.write.mode("overwrite").parquet(f"{folder}/instants/epoch={epoch}")
+
+    return (
+        events.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/instants-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def trailing_24h(spark: SparkSession, folder: str) -> DataFrame:
+    """(timestamp, action_count) at every instant seen so far, however late or split its events came."""
+    seen = spark.read.schema("at timestamp_ntz, n bigint").parquet(f"{folder}/instants")
+    counted = trailing_counts(seen.groupBy("at").agg(F.sum("n").alias("n")))
+    return counted.select(F.col("at").alias("timestamp"), F.col("trailing").alias("action_count"))
+
+
+def actions_trailing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "actions-trailing")
+    path = stored_table(sf_dir, "events")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select("ts")
+    write_instants(events, "ts", folder).awaitTermination()
+    return trailing_24h(spark, folder)

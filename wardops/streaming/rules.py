@@ -20,7 +20,9 @@ def start_rule(
     """Start the stream; ``trigger`` defaults to working off what is there.
 
     The rule is the same function a batch job calls.  It sees the tables as
-    left by all earlier micro-batches.
+    left by all earlier micro-batches.  With ``command_marks`` among the tables the
+    store keeps (``guarded``), rules where the last command wins go by sequence
+    number, not by arrival.
     """
     def apply(batch: DataFrame, epoch: int) -> None:
         before = store.current(before=epoch)
