@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import brute
@@ -145,6 +146,36 @@ def test_line_filters_are_only_a_shortcut(spark, edge_dir, monkeypatch):
     assert rows_of(index.clean(docs)) == want
 
 
+def test_shards_agree_inside_and_outside_tasks(spark):
+    keys = [hashlib.md5(str(n).encode()).digest() for n in range(500)]
+    frame = spark.createDataFrame([(k,) for k in keys], "key binary")
+    for shards in (1, 64, 1000):
+        outside = {bytes(r.key): r.s for r in frame.select("key", lines.shard_of(F.col("key"), shards).alias("s")).collect()}
+        assert [outside[k] for k in keys] == lines.shards_of(keys, shards).tolist()
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_false_hits_do_not_grow_with_the_shards(spark, monkeypatch, sent):
+    """A line that is not repeated meets the filters of one shard, however many there are."""
+    text = F.concat(F.lit("a line that stands in three documents "), F.col("line"))
+    lone = F.concat(F.lit("a line that stands in one document "), F.col("id"))
+    copies = spark.range(9000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 3).alias("line")).select("doc_id", text.alias("text"))
+    alone = spark.range(20_000).select((F.col("id") + 9000).alias("doc_id"), lone.alias("text"))
+    docs = copies.union(alone).repartition(4)
+    if not sent:
+        monkeypatch.setattr(lines, "FILTER_BYTES", -1)
+    for shards in (4, 512):
+        index = lines.LineIndex.empty(spark, shards=shards).insert(docs)
+        bits = {}
+        for r in index.filters.collect():
+            bits.setdefault(r.shard, []).append(r.bits)
+        found = (
+            lines.postings(docs, 20, spark.sparkContext.broadcast(bits), shards) if sent else index._probed(lines.postings(docs, 20))
+        )
+        through = found.select("doc").distinct().count()
+        assert 9000 <= through <= 9000 + 20_000 * 0.01
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 63, 5000, np.uint64))

@@ -9,10 +9,11 @@ is one task; with more than ``shard_keys`` repeated keys a shard the number of s
 doubles and their filters are made anew from the exact counts, so a task's share does
 not grow with the corpus.
 
-When lines are looked up, the filters reject most of them inside the scan; they
-have no false negatives, and what they let through meets the exact counts in a
-join.  Filters are broadcast only while they take ``FILTER_BYTES`` together;
-beyond that all lines go to the exact join, with the same result.  Counts are
+When lines are looked up, a key probes the filters of its own shard and no other, so
+false hits do not grow with the shards; the filters have no false negatives, and what
+they let through meets the exact counts in a join.  While they take ``FILTER_BYTES``
+together they are sent to every task and reject most lines inside the scan; beyond
+that the lines are shuffled to their shard's filters and rejected there.  Counts are
 combined before they are shuffled, hot keys are joined with adaptive skew handling.
 
 A key is a line without the white space at its ends, A-Z lower-cased; keys of
@@ -27,6 +28,7 @@ for counting and are cleaned one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -43,6 +45,8 @@ SHARDS = 64
 #: Repeated keys a shard, on average, beyond which the shards are doubled.
 SHARD_KEYS = 1 << 18
 FILTER_BYTES = 64 << 20
+#: Parts a shard's postings are looked up in when filters are not sent everywhere.
+SPREAD = 16
 SLOTS = 4
 _STRIP = " \t\n\x0b\x0c\r"
 
@@ -129,15 +133,33 @@ def line_keys(text: str, least: int) -> list[bytes | None]:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    """The shard of a key: the last four bytes of its MD5, which the fingerprints in the filters do not use."""
+    return F.pmod(F.conv(F.hex(F.substring(key, 13, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
+
+
+def shards_of(keys: list[bytes], shards: int) -> np.ndarray:
+    """The same inside a task."""
+    return np.frombuffer(b"".join(keys), ">u4")[3::4].astype(np.int64) % shards if keys else np.zeros(0, np.int64)
+
+
+def _filters(bits: list[bytes]) -> list[CuckooFilter]:
+    return [CuckooFilter(np.frombuffer(b, np.uint16).reshape(-1, SLOTS)) for b in bits]
+
+
+def _maybe(filters: list[CuckooFilter], keys: list[bytes]) -> np.ndarray:
+    hashes = _hash_of(keys)
+    found = np.zeros(len(keys), bool)
+    for f in filters:
+        found |= f.contains(hashes)
+    return found
 
 
 def postings(docs: DataFrame, least: int, sent=None, shards: int = SHARDS) -> DataFrame:
-    """(key, doc) of every document's counted lines; with filters, only those that may be repeated."""
+    """(key, doc) of every document's counted lines; with filters, only those their shard's filters may hold."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [CuckooFilter(np.frombuffer(b, np.uint16).reshape(-1, SLOTS)) for b in sent.value] if sent else None
+        filters = {shard: _filters(bits) for shard, bits in sent.value.items()} if sent else None
         for batch in slices(batches):
             keys, owner = [], []
             for doc, text in zip(batch.column("doc").to_pylist(), texts_of(batch.column("text")).to_pylist()):
@@ -145,10 +167,12 @@ def postings(docs: DataFrame, least: int, sent=None, shards: int = SHARDS) -> Da
                 keys += own
                 owner += [doc] * len(own)
             if filters is not None:
-                hashes = _hash_of(keys)
                 maybe = np.zeros(len(keys), bool)
-                for f in filters:
-                    maybe |= f.contains(hashes)
+                own = shards_of(keys, shards)
+                order = np.argsort(own, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                    if len(part) and int(own[part[0]]) in filters:
+                        maybe[part] = _maybe(filters[int(own[part[0]])], [keys[i] for i in part.tolist()])
                 keys = [k for k, m in zip(keys, maybe.tolist()) if m]
                 owner = [d for d, m in zip(owner, maybe.tolist()) if m]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owner, pa.int64())], ["key", "doc"])
@@ -237,14 +261,54 @@ class LineIndex:
             filters=staged(filters, "lines-filters"), shards=shards,
         )
 
+    def _probed(self, found: DataFrame) -> DataFrame:
+        """The postings that the filters of their shard may hold, where filters are too large to be sent everywhere.
+
+        Postings meet their shard's filters in parts of a bounded number of keys' hashes
+        (``SPREAD`` parts a shard), so that no task holds a hot shard; the filters are copied
+        to those parts, and rows stream past them in slices.
+        """
+        part = F.pmod(F.xxhash64("key", "doc"), F.lit(SPREAD)).cast("int")
+        rows = found.select(shard_of(F.col("key"), self.shards).alias("shard"), part.alias("part"), "key", "doc")
+        none = F.lit(None)
+        bits = self.filters.select(
+            "shard", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), none.cast("binary").alias("key"),
+            none.cast("long").alias("doc"), "bits",
+        )
+        both = rows.withColumn("bits", none.cast("binary")).unionByName(bits)
+        ordered = both.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("bits").isNull())
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, filters = None, []
+            for batch in batches:
+                shard, part = (batch.column(c).to_numpy() for c in ("shard", "part"))
+                cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
+                    if lo == hi:
+                        continue
+                    if (shard[lo], part[lo]) != place:
+                        place, filters = (shard[lo], part[lo]), []
+                    run = batch.slice(lo, hi - lo)
+                    filters += _filters([b for b in run.column("bits").to_pylist() if b is not None])
+                    run = run.filter(run.column("key").is_valid())
+                    if filters and run.num_rows:
+                        kept = run.filter(pa.array(_maybe(filters, run.column("key").to_pylist())))
+                        yield kept.select(["key", "doc"])
+
+        return ordered.mapInArrow(probe, "key binary, doc long")
+
     def removals(self, docs: DataFrame) -> DataFrame:
         """(doc, keys): the line keys that each of the documents loses."""
         size = self.filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-        sent = None
         if size <= FILTER_BYTES:
-            sent = docs.sparkSession.sparkContext.broadcast([r.bits for r in self.filters.select("bits").collect()])
+            held = defaultdict(list)
+            for r in self.filters.collect():
+                held[r.shard].append(r.bits)
+            found = postings(docs, self.min_chars, docs.sparkSession.sparkContext.broadcast(dict(held)), self.shards)
+        else:
+            found = self._probed(postings(docs, self.min_chars))
         repeated = self.refs.where(F.col("n_docs") >= self.min_docs).select("key", "last_doc")
-        lost = postings(docs, self.min_chars, sent).join(repeated, "key").where("doc <> last_doc")
+        lost = found.join(repeated, "key").where("doc <> last_doc")
         return lost.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
     def clean(self, docs: DataFrame) -> DataFrame:
