@@ -234,6 +234,47 @@ def test_pii_tagger_finds_held_out_spans(spark):
     assert hit >= 0.6 * total and extra <= 0.05 * total
 
 
+def test_rewritten_spans_pass_their_check_and_escape_the_patterns():
+    rng = np.random.default_rng(4)
+    for kind, span in (("email", "a.b+c@mail-7.example.com"), ("ip", "10.0.255.3"), ("card", "4111 1111 1111 1111"), ("phone", "+44 (20) 7946-0958")):
+        forms = {pii.rewritten(kind, span, rng) for _ in range(200)}
+        assert len(forms) >= 6
+        for form in forms:
+            text, [(_, low, high)] = pii.with_rewrites(f"write {span} now", [(kind, 6, 6 + len(span))], np.random.default_rng(len(form)))
+            assert text[:low] == "write " and text[high:] == " now"
+            assert pii.plausible(kind, form) and (kind, 0, len(form)) not in pii.base_spans(form), form
+            assert pii.window_starts(f"some words, then {form} and more")
+    for kind, span in (("email", "at noon dot"), ("ip", "300 dot 1 dot 1 dot 1"), ("card", "4111.1111.1111.1112"), ("phone", "plus one two"), ("email", "end.\nthe [at] b.com")):
+        assert not pii.plausible(kind, span)
+
+
+def test_pii_tagger_finds_planted_spans_of_other_forms(spark):
+    """Held out: other documents, other draws; nothing is found in texts without personal data."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    tagger = pii.fit(docs.where("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.where("doc_id % 2 = 1").where("text IS NOT NULL").collect()]
+    rng = np.random.default_rng(99)
+    planted = [pii.with_rewrites(t, spans, rng) for t in texts if (spans := pii.base_spans(t)) for _ in range(2)]
+    found = pii.more_spans(tagger, [t for t, _ in planted], [pii.base_spans(t) for t, _ in planted])
+    hit, total = sum(len(set(f) & set(own)) for f, (_, own) in zip(found, planted)), sum(len(own) for _, own in planted)
+    wrong = sum(len(set(f) - set(own)) for f, (_, own) in zip(found, planted))
+    assert total > 500 and hit >= 0.9 * total and wrong <= 0.02 * total
+    clean = [t for t in texts if not pii.base_spans(t)]
+    assert not any(pii.more_spans(tagger, clean, [[] for _ in clean]))
+
+
+def test_pii_adds_planted_spans_in_the_query(spark, tmp_path):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    rng = np.random.default_rng(7)
+    some = [(r.doc_id, *pii.with_rewrites(r.text, spans, rng)) for r in docs.where("doc_id % 20 = 1 AND text IS NOT NULL").collect() if (spans := pii.base_spans(r.text))]
+    planted = spark.createDataFrame([(d, t) for d, t, _ in some], docs.schema)
+    rest = docs.join(planted.select("doc_id"), "doc_id", "left_anti")
+    rest.unionByName(planted).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.op7_pii(spark, str(tmp_path)).collect()}
+    want = [(d, "%s:%d:%d" % s) for d, _, spans in some for s in spans]
+    assert len(want) > 20 and sum(s in got[d] for d, s in want) >= 0.9 * len(want)
+
+
 def test_pii_gradient():
     rng = np.random.default_rng(0)
     tagger = pii.Tagger.fresh()

@@ -3,18 +3,21 @@ r"""Personal data: exact patterns, and a character tagger that finds further spa
 Base spans come from four patterns (``BASE``), leftmost and non-overlapping per
 kind, with a check of what matched.  The tagger is a character-level bidirectional
 LSTM whose label scores feed a linear-chain CRF with learned transitions, trained in
-numpy on windows labelled with base spans.  Every span of these kinds holds a digit
-or an ``@``, so windows are laid, half overlapping, over the neighbourhood of all
-such characters of the whole text.  Each window is decoded by Viterbi; each
-character takes its label from the window that holds it most centrally, and spans
-are read off the reconciled labels of the text.  A found span is added if it
-overlaps no base span, is certain enough (``CERTAIN``) and is plausible for its
-kind; base spans always stay.
+numpy on windows labelled with base spans and on copies of them in which each base
+span is written another way (``rewritten``): "at" and "dot" spelled out or bracketed,
+other separators, full-width characters, digits as words.  Windows are laid, half
+overlapping, over the neighbourhood of all characters and words that a span of
+these kinds holds: digits and ``@`` of either width, "dot", bracketed "at", five or
+more digits in words; the whole text is searched for them.  Each window is decoded by
+Viterbi; each character takes its label from the window that holds it most centrally,
+and spans are read off the reconciled labels of the text.  A found span is added if
+it overlaps no base span, is certain enough (``CERTAIN``) and, read back to its plain
+form, passes the check of its kind; base spans always stay.
 
 Training reads at most ``TRAIN_WINDOWS`` windows, those with the smallest hashes
 of document and place; windows are what the driver collects.  Tagging is one pass
-over all documents without a shuffle; its work follows the digits and ``@`` of a
-text.
+over all documents without a shuffle; its work follows the places of a text where
+windows are laid.
 
 Defined cases: null and empty texts have no spans; without a base span to learn
 from nothing is added; repeated rows and ids are tagged alike; an empty table gives
@@ -38,8 +41,10 @@ Span = tuple[str, int, int]
 WIDTH = 64
 STRIDE = 32
 MARGIN = 20
-TRAIN_WINDOWS = 2400
-STEPS = 250
+TRAIN_WINDOWS = 4800
+#: Copies of a text with base spans in which they are written another way.
+REWRITES = 3
+STEPS = 600
 BATCH = 96
 EMBED = 16
 HIDDEN = 24
@@ -53,7 +58,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+_NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_NUMBER = f"(?:{'|'.join(_NUMBER_WORDS)})"
+_ANCHOR = re.compile(
+    rf"[0-9@\uFF10-\uFF19\uFF20]|[\[({{] ?(?:at|dot|\.) ?[\])}}]|\bdot\b|\b{_NUMBER}(?:[ -]{_NUMBER}){{4,}}\b", re.IGNORECASE
+)
+_AT_WORD = re.compile(r" *[\[({] *(?:at|@) *[\])}] *| +at +| *@ *", re.IGNORECASE)
+_DOT_WORD = re.compile(r" *[\[({] *(?:dot|\.) *[\])}] *| +dot +| *\. *", re.IGNORECASE)
+_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 
 
 def luhn(digits: str) -> bool:
@@ -103,11 +115,12 @@ def base_spans(text: str) -> list[Span]:
 
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where((points >= 0xFF01) & (points <= 0xFF5E), points - 0xFEE0, points)  # full width reads as plain
     return np.where(points < 128, points + 1, 129).astype(np.int16)
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that cover every digit and @ with its neighbourhood."""
+    """Starts of the windows that cover every anchor with its neighbourhood."""
     regions: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
         low, high = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
@@ -263,11 +276,12 @@ class Tagger:
 
 
 def redrawn(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A third of the windows with other digits and small letters in the same places."""
+    """A third of the windows with other digits, and with other small letters where an ``@`` and no word marks a span."""
     out = x.copy()
     some = rng.random(len(x)) < 0.3
-    for low, high in ((49, 58), (98, 123)):
-        at = (x >= low) & (x < high) & some[:, None] & (rng.random(x.shape) < 0.5)
+    marked = (x == ord("@") + 1).any(axis=1)
+    for low, high, where in ((49, 58, some), (98, 123, some & marked)):
+        at = (x >= low) & (x < high) & where[:, None] & (rng.random(x.shape) < 0.5)
         out[at] = rng.integers(low, high, int(at.sum()))
     return out
 
@@ -286,13 +300,69 @@ def read_spans(labels: np.ndarray) -> list[Span]:
     return out
 
 
+def plain(kind: str, text: str) -> str:
+    """A span in its plain form: full width, spelled-out characters and other separators undone."""
+    text = text.translate(_WIDE)
+    if kind == "email":
+        return _DOT_WORD.sub(".", _AT_WORD.sub("@", text))
+    if kind == "ip":
+        return _DOT_WORD.sub(".", text)
+    if kind == "phone":
+        text = re.sub(_NUMBER, lambda m: str(_NUMBER_WORDS.index(m[0].lower())), text, flags=re.IGNORECASE)
+        text = re.sub(r"^(?:plus |00)", "+", text)
+    return text
+
+
 def plausible(kind: str, text: str) -> bool:
-    numbers = re.findall(r"[0-9]+", text)
+    read = plain(kind, text)
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+ ?@ ?[^\s@]+ ?\. ?[^\s@.]{2,}", text))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", read))
     if kind == "ip":
-        return len(numbers) == 4 and _is_ip(".".join(numbers))
-    return _is_card(text) if kind == "card" else _is_phone(text) and len(numbers) > 1
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", read)) and _is_ip(read)
+    if kind == "card":
+        return bool(re.fullmatch(r"[0-9](?:[\x20./_-]{0,3}[0-9])+", read)) and _is_card(read)
+    return bool(re.fullmatch(r"\+[0-9](?:[\x20()./-]{0,3}[0-9])+", read)) and _is_phone(read)
+
+
+def rewritten(kind: str, text: str, rng: np.random.Generator) -> str:
+    """A base span written another way, so that its pattern no longer finds it."""
+    def one_of(*forms):
+        return forms[int(rng.integers(len(forms)))]
+
+    def widened(value: str) -> str:
+        return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() or c in "@." else c for c in value)
+
+    if kind == "email":
+        local, domain = text.split("@", 1)
+        at, dot = one_of(
+            (" at ", " dot "), (" AT ", " DOT "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "),
+            ("[at]", "[dot]"), (" [at] ", "."), (" (at) ", "."), ("(at)", "."), (" @ ", " . "), (" @ ", "."), ("\uff20", "\uff0e"),
+        )
+        return local + at + domain.replace(".", dot)
+    if kind == "ip":
+        return one_of(widened(text), *(text.replace(".", s) for s in (" . ", "[.]", "(.)", " dot ", "[dot]", " (dot) ")))
+    digits = _digits(text)
+    if kind == "card":
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return one_of(widened(digits), *(s.join(fours) for s in (".", "/", " / ", "_", "  ", " - ")))
+    parts = re.findall("[0-9]+", text)
+    words = " ".join(_NUMBER_WORDS[int(d)] for d in digits)
+    return one_of("+" + "/".join(parts), "00" + " ".join(parts), "00" + "-".join(parts), widened(digits).join(("+", "")), "plus " + words, "\uff0b" + widened(" ".join(parts)))
+
+
+def with_rewrites(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with every span rewritten, and where the rewritten ones lie; of overlapping spans the first counts."""
+    out, moved, at, size = [], [], 0, 0
+    for kind, low, high in sorted(spans, key=lambda s: s[1]):
+        if low < at:
+            continue
+        form = rewritten(kind, text[low:high], rng)
+        size += low - at
+        moved.append((kind, size, size + len(form)))
+        size += len(form)
+        out += [text[at:low], form]
+        at = high
+    return "".join([*out, text[at:]]), moved
 
 
 def more_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
@@ -326,19 +396,23 @@ def more_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list
 
 def training_windows(docs: DataFrame, windows: int = TRAIN_WINDOWS) -> DataFrame:
     """(order, chars, labels) of the windows with the smallest hashes."""
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = docs.where(F.col("text").rlike(r"[0-9@]|\bdot\b")).select(F.xxhash64("doc_id", "text").alias("key"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             order, chars, labels = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                starts = window_starts(text)
                 rng = np.random.default_rng(key & (1 << 63) - 1)
-                shift = [max(0, s - int(j)) for s, j in zip(starts, rng.integers(0, MARGIN, len(starts)))]
-                x, y = cut_windows(codes(text), shift), cut_windows(label_text(len(text), base_spans(text)), shift)
-                order += rng.integers(0, 1 << 62, len(starts)).tolist()
-                chars += [w.astype(np.uint8).tobytes() for w in x]
-                labels += [w.astype(np.uint8).tobytes() for w in y]
+                spans = base_spans(text)
+                versions = [(text, spans), *(with_rewrites(text, spans, rng) for _ in range(REWRITES if spans else 0))]
+                for version, own in versions:
+                    starts = window_starts(version)
+                    shift = [max(0, s - int(j)) for s, j in zip(starts, rng.integers(0, MARGIN, len(starts)))]
+                    if not shift:
+                        continue
+                    order += rng.integers(0, 1 << 62, len(shift)).tolist()
+                    chars += [w.astype(np.uint8).tobytes() for w in cut_windows(codes(version), shift)]
+                    labels += [w.astype(np.uint8).tobytes() for w in cut_windows(label_text(len(version), own), shift)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(order, pa.int64()), pa.array(chars, pa.binary()), pa.array(labels, pa.binary())], ["order", "chars", "labels"]
             )
