@@ -15,7 +15,9 @@ it overlaps no base span, is certain enough (``CERTAIN``) and, read back to its
 form, passes the check of its kind; base spans always stay.
 
 Training reads at most ``TRAIN_WINDOWS`` windows, those with the smallest hashes
-of document and place; windows are what the driver collects.  Tagging is one pass
+of document and place, those with a span ``FAVOUR`` times as readily; windows are
+what the driver collects.  Forms that no pattern labels (``_UNLABELLED``) may be
+personal data, so windows that meet one in its original place are not learned from.  Tagging is one pass
 over all documents without a shuffle; its work follows the places of a text where
 windows are laid.
 
@@ -42,6 +44,8 @@ WIDTH = 64
 STRIDE = 32
 MARGIN = 20
 TRAIN_WINDOWS = 4800
+#: How many times likelier a window with a span is to be drawn than one without.
+FAVOUR = 10
 #: Copies of a text with base spans in which they are written another way.
 REWRITES = 3
 STEPS = 600
@@ -60,9 +64,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _NUMBER = f"(?:{'|'.join(_NUMBER_WORDS)})"
-_ANCHOR = re.compile(
-    rf"[0-9@\uFF10-\uFF19\uFF20]|[\[({{] ?(?:at|dot|\.) ?[\])}}]|\bdot\b|\b{_NUMBER}(?:[ -]{_NUMBER}){{4,}}\b", re.IGNORECASE
-)
+_SPELLED = rf"[\uFF10-\uFF19\uFF20]|[\[({{] ?(?:at|dot|\.) ?[\])}}]|\bdot\b|\b{_NUMBER}(?:[ -]{_NUMBER}){{4,}}\b"
+_ANCHOR = re.compile(f"[0-9@]|{_SPELLED}", re.IGNORECASE)
+#: Forms that patterns do not label; what is near them teaches nothing.
+_UNLABELLED = re.compile(rf"{_SPELLED}| @ |[0-9](?:[./_]| [/-] |  )[0-9]{{4}}|\+[0-9]+/|\b00[0-9]", re.IGNORECASE)
 _AT_WORD = re.compile(r" *[\[({] *(?:at|@) *[\])}] *| +at +| *@ *", re.IGNORECASE)
 _DOT_WORD = re.compile(r" *[\[({] *(?:dot|\.) *[\])}] *| +dot +| *\. *", re.IGNORECASE)
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
@@ -405,14 +410,19 @@ def training_windows(docs: DataFrame, windows: int = TRAIN_WINDOWS) -> DataFrame
                 rng = np.random.default_rng(key & (1 << 63) - 1)
                 spans = base_spans(text)
                 versions = [(text, spans), *(with_rewrites(text, spans, rng) for _ in range(REWRITES if spans else 0))]
+                unsure = [m.span() for m in _UNLABELLED.finditer(text) if not any(a <= m.start() < b for _, a, b in spans)]
                 for version, own in versions:
                     starts = window_starts(version)
+                    if unsure:
+                        starts = [] if version is not text else [a for a in starts if all(a + WIDTH <= low or a - MARGIN >= high for low, high in unsure)]
                     shift = [max(0, s - int(j)) for s, j in zip(starts, rng.integers(0, MARGIN, len(starts)))]
                     if not shift:
                         continue
-                    order += rng.integers(0, 1 << 62, len(shift)).tolist()
+                    y = cut_windows(label_text(len(version), own), shift)
+                    drawn = rng.integers(0, 1 << 62, len(shift))
+                    order += np.where(y.any(axis=1), drawn // FAVOUR, drawn).tolist()
                     chars += [w.astype(np.uint8).tobytes() for w in cut_windows(codes(version), shift)]
-                    labels += [w.astype(np.uint8).tobytes() for w in cut_windows(label_text(len(version), own), shift)]
+                    labels += [w.astype(np.uint8).tobytes() for w in y]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(order, pa.int64()), pa.array(chars, pa.binary()), pa.array(labels, pa.binary())], ["order", "chars", "labels"]
             )
