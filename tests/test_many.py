@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clinic import at, clinic, rows
 from test_plans import no_broadcast, plan_of  # noqa: F401
 from wardops.operators.asof import next_after, trailing_counts
+from wardops.operators.trigrams import keyword_grams, search_many
 from wardops.plans import audit, clinical, scheduling
 
 
@@ -27,6 +28,44 @@ def test_search_asks_no_product(spark, bridge, no_broadcast):  # noqa: F811
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_patterns_with_open_letters_look_up_four_letter_stretches(spark):
+    words = ["1234", "12_4", "1_3", "R#%12", "__", "", "a\\_b", "x___y", "50\\%", "ab%c_de"]
+    asked = spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = {}
+    for r in keyword_grams(asked).collect():
+        got.setdefault(r.keyword, set()).add(r.gram)
+    assert got == {
+        "1234": {"1234"}, "12_4": {"12_4"}, "1_3": {"1_3"}, "R#%12": {"r#", "12"}, "__": {""}, "": {""},
+        "a\\_b": {"a_b"}, "x___y": {"x", "y"}, "50\\%": {"50"}, "ab%c_de": {"c_de"},
+    }
+
+
+def test_search_of_open_letters_equals_single_ones(spark):
+    names = ["a_b", "aXb", "ab", "a%b", "12345", "1x3y5", "x\nb", "aab_", "𝒳b1", "İstanbul", "a\\b", ""]
+    t = clinic(spark, patients=[(n, name, None, None, f"0{n}7") for n, name in enumerate(names, start=200)])
+    words = ["a_b", "a\\_b", "a\\%b", "1_3_5", "_b", "b_", "1%5", "__b", "_", "a__", "x_b", "𝒳_1", "İs", "i_st", "2_37", "a\\\\b", "_____", "1___5"]
+    asked = spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = sorted((r.keyword, r.patient_id) for r in clinical.patient_search_many(t, asked).collect())
+    want = sorted((w, r.patient_id) for w in words for r in clinical.patient_search(t, w).collect())
+    assert got == want and len(got) > 40
+
+
+def test_search_spreads_texts_and_moves_what_is_asked_for(spark, bridge):
+    """Patients in one small file are one task; a wildcard among digits must not bring all that hold two of them."""
+    people = bridge.patients.select("patient_id", "full_name", "phone").coalesce(1)
+    words = [r[0] for r in bridge.patients.select(F.concat(F.substring("phone", 7, 2), F.lit("_"), F.substring("phone", 10, 1))).distinct().collect()]
+    staged = []
+
+    def stage(frame):
+        staged.append(frame)
+        return frame
+
+    found = search_many(people, "patient_id", ["full_name", "phone"], spark.createDataFrame([(w,) for w in words], "keyword string"), stage)
+    posted = staged[1]
+    assert "REPARTITION_BY_NUM" in plan_of(posted)
+    assert posted.count() <= 3 * found.count()
+
+
 def test_flow_at_instants_equals_single_instants(spark, bridge):
     stamps = [datetime(1999, 6, 15, 9, 55), datetime(1996, 2, 1, 0, 0), datetime(1990, 1, 1), datetime(2010, 1, 1)]
     first = bridge.appointments.agg(F.min("appt_date"), F.max("appt_date")).first()
