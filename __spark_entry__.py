@@ -287,7 +287,7 @@ def _clustered_bill(t: Tables) -> DataFrame:
 def _newest_first(t: Tables, commands: DataFrame, late: Column, rule: Callable[[DataFrame, Tables], Changes], writes: list[str]) -> Tables:
     """Two micro-batches: what is not late first, then the late commands."""
     t = guarded(t)
-    store = DeltaStore(t.users.sparkSession, _root(t, "late-commands"), t, [*writes, "command_marks"])
+    store = DeltaStore(t.users.sparkSession, _root(t, "late-commands"), t, [*writes, "command_marks"], _stage(t, "late-updates"))
     for epoch, part in enumerate((commands.filter(~late), commands.filter(late))):
         before = store.current(before=epoch)
         store.append(epoch, rule(part, before), before)
@@ -297,7 +297,7 @@ def _newest_first(t: Tables, commands: DataFrame, late: Column, rule: Callable[[
 def _late_states(t: Tables) -> DataFrame:
     """Every visit's second command arrives before its first."""
     first = F.col("seq") % 2 == 0
-    rule = lambda c, before: visits.set_visit_state(c, before, AS_OF)
+    rule = lambda c, before: visits.set_visit_state(c, before, AS_OF, stage=_stage(t, "late-states"))
     return _newest_first(t, batches.visit_states(t), first, rule, ["appointments"]).appointments
 
 

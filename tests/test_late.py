@@ -99,3 +99,35 @@ def test_marks_of_rules_do_not_mix(spark, rule):
     chosen = spark.createDataFrame([(1, 3)], "id bigint, seq bigint")
     fresh, _ = newest_only(chosen, t, rule, "id")
     assert fresh.count() == (0 if rule == "a" else 1)
+
+
+def test_marks_are_joined_by_their_key(spark):
+    """Rows grouped by their key meet its marks without a second shuffle."""
+    from test_plans import plan_of
+    from wardops.operators.sequence import APPLIED, with_marks
+
+    marks = spark.createDataFrame([("rule:1", 5, 7), ("rule:x", 6, 7), ("other:2", 9, 9)], "command string, seq bigint, choice bigint")
+    t = guarded(clinic(spark)).replace(**{MARKS: marks})
+    chosen = spark.createDataFrame([(1, 4), (1, 6), (2, 3), (None, 2)], "id bigint, seq bigint").groupBy("id").agg(F.min("seq").alias("seq"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = with_marks(chosen, t, "rule", "id", F.col("seq"))
+        assert {(r.id, r[APPLIED], r._late) for r in found.collect()} == {(1, 5, True), (2, None, False), (None, None, False)}
+        assert plan_of(found).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_update_meets_its_table_once(spark, tmp_path):
+    """Staged updates: the rows an epoch writes come from one join of the table with them."""
+    from test_plans import plan_of
+    from wardops.session import stager
+
+    t = guarded(clinic(spark, appointments=[(n, n, 1, NOW, None, "Scheduled") for n in range(1, 6)]))
+    commands = spark.createDataFrame([(1, 1, "Completed"), (2, 2, "Cancelled"), (3, 99, "Cancelled")], "seq bigint, appt_id bigint, status string")
+    store = DeltaStore(spark, str(tmp_path / "state"), t, ["appointments", MARKS], stager(spark, "updates"))
+    before = store.current(before=0)
+    changes = visits.set_visit_state(commands, before, NOW, stager(spark, "states"))
+    delta = store._delta("appointments", changes, {}, t)
+    assert plan_of(delta).count("Join") == 1
+    assert rows(delta, "appt_id", "status", "completed_at", "_removed") == [(1, "Completed", NOW, False), (2, "Cancelled", None, False)]

@@ -106,7 +106,7 @@ def booking_slips(changes: Changes, t: Tables) -> DataFrame:
     )
 
 
-def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
+def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime, stage: Stage = keep) -> Changes:
     """Commands (seq, appt_id, status); the last wins.
 
     A Completed command stamps the completion time, even if a later command
@@ -118,7 +118,7 @@ def set_visit_state(commands: DataFrame, t: Tables, as_of: datetime) -> Changes:
         F.max(F.struct("seq", "status")).alias("last"),
         F.max(F.col("status") == "Completed").alias("ended"),
     )
-    chosen = with_marks(chosen, t, "visit-state", "appt_id", F.col("last.seq"))
+    chosen = stage(with_marks(chosen, t, "visit-state", "appt_id", F.col("last.seq")))
     current = t.appointments.select("appt_id", "status", "completed_at")
     return Changes(
         inserts=marks_of(chosen.filter(~F.col(LATE)), t, "visit-state", "appt_id", F.col("last.seq")),

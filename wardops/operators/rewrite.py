@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def updated(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
-    """Overwrite the columns of ``changes`` (one row per key) where keys match.
+def updated(table: DataFrame, key: str, changes: DataFrame, only_touched: bool = False) -> DataFrame:
+    """Overwrite the columns of ``changes`` (one row per key) where keys match; all rows, or the matching ones.
 
     A new value of NULL does overwrite.  The change side is as large as the
     batch, so the optimizer can broadcast it when it is small and leave the
@@ -14,7 +14,7 @@ def updated(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
     """
     fields = [c for c in changes.columns if c != key]
     new = changes.select(key, F.struct(*fields).alias("_new"))
-    joined = table.join(new, key, "left")
+    joined = table.join(new, key, "inner" if only_touched else "left")
     hit = F.col("_new").isNotNull()
     return joined.select(
         *[

@@ -32,15 +32,17 @@ def _command(rule: str, key: str) -> Column:
 
 
 def with_marks(rows: DataFrame, t: Tables, rule: str, key: str, seq: Column) -> DataFrame:
-    """Add the remembered number and choice, and whether the row's own number is older."""
+    """Add the remembered number and choice, and whether the row's own number is older.
+
+    Marks are joined by the key they name, not by their text: rows grouped by it stay where they are.
+    """
     if MARKS not in t:
         none = F.lit(None).cast("bigint")
         return rows.withColumns({APPLIED: none, CHOSEN: none, LATE: F.lit(False)})
     own = F.col("command").startswith(f"{rule}:")
-    seen = t[MARKS].filter(own).select(
-        F.col("command").alias("_command"), F.col("seq").alias(APPLIED), F.col("choice").alias(CHOSEN)
-    )
-    found = rows.withColumn("_command", _command(rule, key)).join(seen, "_command", "left").drop("_command")
+    named = F.substr("command", F.lit(len(rule) + 2)).try_cast(rows.schema[key].dataType)
+    seen = t[MARKS].filter(own).select(named.alias(key), F.col("seq").alias(APPLIED), F.col("choice").alias(CHOSEN))
+    found = rows.join(seen, key, "left").select(*rows.columns, APPLIED, CHOSEN)
     return found.withColumn(LATE, F.coalesce(seq < F.col(APPLIED), F.lit(False)))
 
 

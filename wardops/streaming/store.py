@@ -16,6 +16,7 @@ from wardops.operators.numbering import gives_ids, highest_id, id_mark
 from wardops.operators.pruning import PARTITION_COLUMNS
 from wardops.operators.rewrite import updated, with_rows
 from wardops.schemas import KEYS
+from wardops.session import Stage, keep
 from wardops.tables import Tables
 
 REMOVED = "_removed"
@@ -23,8 +24,10 @@ MARKS = "_id_marks"
 
 
 class DeltaStore:
-    def __init__(self, spark: SparkSession, root: str, base: Tables, writes: list[str]):
-        self.spark, self.root, self.base, self.writes = spark, root.rstrip("/"), base, writes
+    """``stage`` takes a rule's updates before they meet the table they change, which most rules read already."""
+
+    def __init__(self, spark: SparkSession, root: str, base: Tables, writes: list[str], stage: Stage = keep):
+        self.spark, self.root, self.base, self.writes, self.stage = spark, root.rstrip("/"), base, writes, stage
         for name in writes:
             # An empty first folder, so that there is always something to read.
             empty = spark.createDataFrame([], self._schema(name))
@@ -115,8 +118,7 @@ class DeltaStore:
         key, table = KEYS[name], t[name]
         delta = table.limit(0).withColumn(REMOVED, F.lit(False))
         if name in changes.updates:
-            new = changes.updates[name]
-            rows = updated(table.join(new.select(key), key, "left_semi"), key, new)
+            rows = updated(table, key, self.stage(changes.updates[name]), only_touched=True)
             delta = delta.unionByName(rows.withColumn(REMOVED, F.lit(False)))
         if name in inserts:
             rows = with_rows(table.limit(0), with_defaults(name, inserts[name]))
