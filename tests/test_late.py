@@ -131,3 +131,64 @@ def test_an_update_meets_its_table_once(spark, tmp_path):
     delta = store._delta("appointments", changes, {}, t)
     assert plan_of(delta).count("Join") == 1
     assert rows(delta, "appt_id", "status", "completed_at", "_removed") == [(1, "Completed", NOW, False), (2, "Cancelled", None, False)]
+
+
+def test_an_empty_state_of_marks_is_not_joined(spark):
+    from test_plans import plan_of
+    from wardops.operators.sequence import with_marks
+
+    chosen = spark.createDataFrame([(1, 4), (2, 3)], "id bigint, seq bigint")
+    found = with_marks(chosen, guarded(clinic(spark)), "rule", "id", F.col("seq"))
+    assert "Join" not in plan_of(found)
+    assert {(r.id, r._late) for r in found.collect()} == {(1, False), (2, False)}
+
+
+def test_changed_rows_group_what_is_read(spark, tmp_path):
+    """Marks and prices are hashed, not sorted; columns that a query leaves out are not carried along."""
+    from test_plans import plan_of
+
+    t = guarded(clinic(spark, invoices=[(n, None, n, NOW, money("5.00"), "Unpaid") for n in range(1, 4)]))
+    store = DeltaStore(spark, str(tmp_path / "state"), t, ["invoices", MARKS])
+    for epoch, state in enumerate(("Paid", "Refunded")):
+        commands = spark.createDataFrame([(epoch + 1, n, state) for n in (1, 2 + epoch)], "seq bigint, invoice_id bigint, payment_status string")
+        before = store.current(before=epoch)
+        store.append(epoch, billing.set_payment_state(commands, before), before)
+    assert "SortAggregate" not in plan_of(store.changed_rows(MARKS))
+    prices = plan_of(store.changed_rows("invoices").select("invoice_id", "total_amount"))
+    assert "SortAggregate" not in prices and "payment_status" not in prices
+    assert rows(store.changed_rows(MARKS), "command", "seq") == [("payment-state:1", 2), ("payment-state:2", 1), ("payment-state:3", 2)]
+    assert rows(store.current().invoices, "invoice_id", "payment_status") == [(1, "Refunded"), (2, "Paid"), (3, "Refunded")]
+
+
+def test_repricing_groups_and_pairs_visits_in_one_shuffle(spark):
+    """Grouped changes meet the invoices where they are; pairs are sorted once to be grouped by invoice."""
+    from test_plans import plan_of
+
+    changed = spark.createDataFrame([(1, 1), (2, 5)], "presc_id bigint, change_seq bigint")
+    kept = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        billing.reprice_invoices(changed, clinic(spark), NOW, stage=lambda frame: kept.append(plan_of(frame)) or frame)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Changes, prescriptions, both sides by record, both sides by visit, pairs by invoice.
+    assert kept[0].count("Exchange hashpartitioning") == 7
+
+
+def test_the_largest_value_of_either_parent(spark):
+    """As pairing every row with every other and taking the largest; equal on both keys, equal values and NULLs included."""
+    from wardops.operators.parents import linked_max, linked_pairs
+
+    left = spark.createDataFrame(
+        [(1, 1, None), (2, None, 1), (3, 1, 1), (4, 2, 3), (5, None, None), (6, 9, None), (1, 2, None), (None, 1, 3)],
+        "id bigint, appt_id bigint, admission_id bigint",
+    )
+    right = spark.createDataFrame(
+        [(1, None, 5, 1), (1, None, 5, 2), (None, 1, 7, 3), (1, 1, 6, 4), (2, 3, None, 5), (2, None, None, 6), (None, 3, 1, 7), (None, None, 9, 8)],
+        "appt_id bigint, admission_id bigint, seq bigint, choice bigint",
+    ).select("appt_id", "admission_id", F.struct("seq", "choice").alias("last"))
+    largest = [
+        {(r.id, tuple(r.last)) for r in pairs.groupBy("id").agg(F.max("last").alias("last")).collect()}
+        for pairs in (linked_pairs(left, right), linked_max(left, right, "last"))
+    ]
+    assert largest[0] == largest[1] == {(1, (6, 4)), (2, (7, 3)), (3, (7, 3)), (4, (1, 7)), (None, (6, 4))}

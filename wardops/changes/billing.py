@@ -10,7 +10,7 @@ from wardops.changes.core import Changes, audit_of, reject, split
 from wardops.functions import clock, money
 from wardops.operators.access import gate
 from wardops.operators.coverage import with_active_rate
-from wardops.operators.parents import linked_pairs, with_visit
+from wardops.operators.parents import linked_max, with_visit
 from wardops.operators.rewrite import last_per_key
 from wardops.operators.sequence import APPLIED, CHOSEN, marks_of, newest_only, with_marks
 from wardops.schemas import ACCOUNTANT, DOMAINS
@@ -22,7 +22,8 @@ PAYMENT_DENIED = "Permission Denied: Only Accountants can process payments"
 
 
 def release_beds(
-    updated_invoices: DataFrame, t: Tables, as_of: datetime, only_on_transition: bool = False
+    updated_invoices: DataFrame, t: Tables, as_of: datetime, only_on_transition: bool = False,
+    stage: Stage = keep,
 ) -> Changes:
     """Free the bed and close the stay behind every paid inpatient invoice.
 
@@ -36,7 +37,7 @@ def release_beds(
     )
     if only_on_transition:
         paid = paid.filter(~F.col("old_status").eqNullSafe("Paid"))
-    stays = paid.select("admission_id").distinct()
+    stays = stage(paid.select("admission_id").distinct())
     closed = stays.select(
         "admission_id",
         clock.instant(as_of).alias("discharge_date"),
@@ -102,17 +103,17 @@ def reprice_invoices(
     hold is an error.
     """
     latest = changed.groupBy("presc_id").agg(F.max("change_seq").alias("change_seq"))
-    records = t.medical_records.select("record_id", "appt_id", "admission_id")
     touched = (
-        records.join(t.prescriptions.select("presc_id", "record_id"), "record_id")
+        t.prescriptions.select("presc_id", "record_id")
         .join(latest, "presc_id")
-        # Only the last change per visit can win, so one row per visit is paired.
-        .groupBy("appt_id", "admission_id")
-        .agg(F.max(F.struct("change_seq", "presc_id")).alias("change"))
+        .join(t.medical_records.select("record_id", "appt_id", "admission_id"), "record_id")
+        .select("appt_id", "admission_id", F.struct("change_seq", "presc_id").alias("change"))
     )
     billed = t.invoices.select("invoice_id", "appt_id", "admission_id", "payment_status")
     paired = (
-        linked_pairs(billed, touched)
+        linked_max(billed, touched, "change")
+        # At most one row per parent: combining them before the shuffle would only sort them once more.
+        .repartition("invoice_id")
         .groupBy("invoice_id")
         .agg(
             F.max("change").alias("last"),
@@ -139,7 +140,7 @@ def reprice_invoices(
         "invoice_id", F.coalesce("total", F.lit(0)).cast("decimal(15,2)").alias("total_amount")
     )
     released = release_beds(
-        winners.withColumn("old_status", F.col("payment_status")), t, as_of, only_on_transition
+        winners.withColumn("old_status", F.col("payment_status")), t, as_of, only_on_transition, stage
     )
     return Changes(
         inserts=marks_of(winners, t, "reprice", "invoice_id", F.col("seq"), F.col("presc_id")),

@@ -115,6 +115,18 @@ def linked_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def linked_max(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+    """Left rows with the largest ``value`` of each parent's right rows, one per parent that has any.
+
+    Equal on either key, as in ``linked_pairs``, where only the largest counts: one
+    row per visit is paired, and grouping and join share one shuffle and one sort.
+    The id leads, because few rows are told apart by their kind.
+    """
+    by_visit = ["visit_id", "visit_kind"]
+    largest = per_parent(right).groupBy(*by_visit).agg(F.max(value).alias(value))
+    return per_parent(left).join(largest, by_visit).drop(*by_visit)
+
+
 def _double_parent(rows: DataFrame, t: Tables, key: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     outpatient = F.col("visit_kind") == OUTPATIENT

@@ -24,7 +24,8 @@ def guarded(t: Tables) -> Tables:
     if MARKS in t:
         return t
     spark: SparkSession = next(iter(t.values())).sparkSession
-    return t.replace(**{MARKS: spark.createDataFrame([], MARKS_SCHEMA)})
+    # Known to be empty while a query is planned, so nothing is joined to it.
+    return t.replace(**{MARKS: spark.createDataFrame([], MARKS_SCHEMA).limit(0)})
 
 
 def _command(rule: str, key: str) -> Column:

@@ -30,7 +30,7 @@ class DeltaStore:
         self.spark, self.root, self.base, self.writes, self.stage = spark, root.rstrip("/"), base, writes, stage
         for name in writes:
             # An empty first folder, so that there is always something to read.
-            empty = spark.createDataFrame([], self._schema(name))
+            empty = spark.createDataFrame([], self._schema(name)).limit(0)
             empty.write.mode("overwrite").parquet(self._folder(name, -1))
         self._commit(-1, {name: id_mark(base, name) for name in self._numbered()})
 
@@ -74,13 +74,9 @@ class DeltaStore:
         key = KEYS[name]
         if key not in columns:
             return deltas.select(*columns)  # a table without key is only appended to
-        rest = [c for c in columns if c != key]
-        return (
-            deltas.groupBy(key)
-            .agg(F.max_by(F.struct(*rest), "epoch").alias("row"))
-            .select(key, "row.*")
-            .select(*columns)
-        )
+        # Column by column: what a query does not read is not grouped, and short values are hashed, not sorted.
+        latest = [F.max_by(c, "epoch").alias(c) for c in columns if c != key]
+        return deltas.groupBy(key).agg(*latest).select(*columns)
 
     def current(self, before: int | None = None) -> Tables:
         """All tables as they stand, or as they stood before an epoch."""
